@@ -8,6 +8,14 @@ from pyspark.sql import functions as F
 from quillspark.session import table
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of new batches with the earliest record they repeat."""
+    from .history import check_new
+
+    found = check_new(table(spark, sf_dir, "lexica_cleaned"), table(spark, sf_dir, "manifest"))
+    return found.select("first_id", "record_id")
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records whose two fields say the same as an earlier record's but for format."""
     from .formatdup import collapse

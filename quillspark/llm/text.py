@@ -36,3 +36,22 @@ def format_free(c: Column) -> Column:
         .when(labelled, in_order(F.transform(parts, plain_words)))
         .otherwise(plain_words(c))
     )
+
+
+#: What a generator adds to a prompt: add-on tags, parameters, the weight that closes a bracket.
+_ADD_ON, _PARAMETER, _WEIGHT = r"<[^<>]{0,200}>", r"(?<!\S)--\p{L}+(?:[ =]+[\w:.]+)?", r":\s*\d+(?:\.\d+)?(?=\s*[)\]])"
+_NEGATIVE = r"(?i)\bnegative[ _]+prompt\b\s*[\"”]?\s*:[^\n\r]*"
+#: Labels of labelled parts, and the names of JSON members.
+_LABELS = r"(?:^|(?<=[\n\r;]))\s*\p{L}[\p{L}\p{N} _]{0,20}\s*:|\"[^\"\n]{1,30}\"\s*:"
+#: Words that only tie phrases together when a list of phrases is written out in sentences.
+GLUE = ["a", "an", "and", "add", "has", "picture", "the"]
+
+
+def prompt_words(c: Column) -> Column:
+    """The distinct words of a prompt, sorted, without its format, labels, parameters, add-on tags, weights, glue
+    words and negative prompt. Null gives null."""
+    t = c
+    for pattern in (_NEGATIVE, _ADD_ON, _PARAMETER, _WEIGHT, _LABELS):
+        t = F.regexp_replace(t, pattern, " ")
+    words = F.split(plain_words(t), " ")
+    return F.array_sort(F.array_except(F.array_distinct(words), F.array(*[F.lit(w) for w in ["", *GLUE]])))
