@@ -32,6 +32,13 @@ def p3_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.where("record_id = first_id").select("first_id", "copies").distinct()
 
 
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a passage of an evaluation item."""
+    from .leak import leaks
+
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k[:1] == "p" and k[1:2].isdigit()}
 
