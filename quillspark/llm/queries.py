@@ -39,6 +39,20 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
 
+def p8_chosen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents drawn for each mix and how often each is taken."""
+    from .mixture import apportion
+
+    return apportion(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mixture_targets"))[0]
+
+
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The share of each source in each mix, wanted and reached."""
+    from .mixture import apportion
+
+    return apportion(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mixture_targets"))[1]
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k[:1] == "p" and k[1:2].isdigit()}
 
