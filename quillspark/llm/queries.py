@@ -53,6 +53,13 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return apportion(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mixture_targets"))[1]
 
 
+def p9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of every document that is longer than a limit."""
+    from .split import pieces
+
+    return pieces(table(spark, sf_dir, "documents"), table(spark, sf_dir, "split_limits"))
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k[:1] == "p" and k[1:2].isdigit()}
 
