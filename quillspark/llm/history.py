@@ -1,13 +1,13 @@
 """New batches against all accepted history: every record of a new batch with the earliest record it repeats.
 
-The metric is the Jaccard distance of the sets of words. Equal sets collapse into one class by aggregation. For the rest
-a pivot table holds, for each class, its distances to fixed pivots; candidates come from a join that is partitioned by
-the near pivots of each class, are pruned by the triangle inequality over the far pivots, and the true distance is
-verified on the words. Only the rows of new classes are added to the table; history is never compared with itself.
-
-Far pivots alone prune next to nothing here, since two prompts differ in up to half of their words while all distances
-to a far pivot lie close to 1 (README has figures). So each class is listed under its near pivots too: words under
-random priorities, weighted by rarity, of which the nearest ROWS together make one partition key, BANDS times over.
+The metric is the number of words in which two sets differ; a repeat lies within a radius that grows with their sizes.
+Equal sets collapse into one class by aggregation. For the rest a pivot table holds, for each class, its distances to
+fixed pivots: PIVOTS disjoint parts of all words, of which a bit says whether the class has any word. As the parts are
+disjoint, the triangle inequalities over them add up: two classes differ in at least as many words as bits, so a pair
+whose bits differ by more than the radius is pruned without reading its words. Candidates meet in a join partitioned by
+ranges of near pivots: words under random priorities weighted by rarity, of which the ROWS nearest make one partition
+key, BANDS times over. What is left is verified on the words. Rows of new classes are added to the table; history is
+never compared with itself.
 """
 
 from __future__ import annotations
@@ -25,23 +25,24 @@ from .text import prompt_words
 
 #: Largest distance of a repeat: three quarters of n words stay, so 0.75 n of 1.25 n different words are shared.
 RADIUS = 0.4
-#: Near pivots in a key, keys of a class, far pivots, buckets of the table of word frequencies (its size is fixed).
-ROWS, BANDS, FAR, BUCKETS = 4, 22, 4, 1 << 17
+#: Near pivots in a key, keys of a class, buckets of the table of word frequencies (its size is fixed).
+ROWS, BANDS, BUCKETS = 3, 14, 1 << 17
+#: Far pivots: bits in two longs.
+PIVOTS = 128
 _MASK = (1 << 64) - 1
 
 
 def classes_of(df: DataFrame, id_col: str, text_col: str, batch_col: str) -> tuple[DataFrame, DataFrame]:
     """(rows, classes). Rows: (class_id, id, batch); classes: (class_id, words, first_id, first_batch, last_batch).
 
-    Null or blank texts, and texts without a word of their own, are in neither."""
+    Ids rise with the batch, so the smallest id of a class lies in its first batch. Null or blank texts, and texts without
+    a word of their own, are in neither."""
     words = df.select(df[id_col].cast("bigint").alias("id"), df[batch_col].cast("bigint").alias("batch"), prompt_words(df[text_col]).alias("words"))
     words = words.where("id is not null and batch is not null and size(words) > 0")
     rows = materialise(words.select("id", "batch", F.xxhash64(F.array_join("words", " ")).alias("class_id"), "words"), "history-rows")
-    firsts = rows.groupBy("class_id").agg(
-        F.min(F.struct("batch", "id")).alias("first"), F.max("batch").alias("last_batch"), F.min("words").alias("words")
-    )
-    classes = firsts.select("class_id", "words", F.col("first.id").alias("first_id"), F.col("first.batch").alias("first_batch"), "last_batch")
-    return rows.select("class_id", "id", "batch"), classes
+    firsts = rows.groupBy("class_id").agg(F.min("id").alias("first_id"), F.min("batch").alias("first_batch"), F.max("batch").alias("last_batch"))
+    own = rows.select("class_id", F.col("id").alias("first_id"), "words").join(firsts, ["class_id", "first_id"])
+    return rows.select("class_id", "id", "batch"), own
 
 
 def word_frequencies(classes: DataFrame) -> np.ndarray:
@@ -58,7 +59,7 @@ def word_frequencies(classes: DataFrame) -> np.ndarray:
 
 
 def pivot_rows(classes: DataFrame, frequencies: np.ndarray, total: int) -> DataFrame:
-    """The pivot table: classes with keys (partition keys of near pivots) and far (distances to the far pivots)."""
+    """The pivot table: classes with keys (partition keys of near pivots), size and the bits of the far pivots."""
     shared = classes.sparkSession.sparkContext.broadcast(frequencies)
     n = ROWS * BANDS
 
@@ -75,67 +76,62 @@ def pivot_rows(classes: DataFrame, frequencies: np.ndarray, total: int) -> DataF
             weight = max(np.log((total + 1) / (shared.value[h % BUCKETS] + 1)), 0.05)
             return (-np.log(u) / weight).astype(np.float32)
 
+        salt = np.arange(BANDS, dtype=np.int64) * np.int64(0x1234567)
         for b in batches:
-            keys, far = [], []
-            for hs in b["hashes"]:
-                for h in hs:
-                    if h not in seen:
-                        if len(seen) > 200_000:
-                            seen.clear()
-                        seen[h] = priorities(int(h))
-                nearest = hs[np.argmin(np.stack([seen[h] for h in hs]), axis=0)].reshape(BANDS, ROWS)
-                with np.errstate(over="ignore"):
-                    key = np.arange(BANDS, dtype=np.int64) * np.int64(0x1234567)
+            keys, low, high = [], [], []
+            with np.errstate(over="ignore"):
+                for hs in b["hashes"]:
+                    for h in hs.tolist():
+                        if h not in seen:
+                            if len(seen) > 200_000:
+                                seen.clear()
+                            seen[h] = priorities(h)
+                    nearest = hs[np.argmin(np.stack([seen[h] for h in hs.tolist()]), axis=0)].reshape(BANDS, ROWS)
+                    key = salt
                     for k in range(ROWS):
                         key = key * np.int64(1_000_003) + nearest[:, k]
-                keys.append(np.unique(key))
-                # a far pivot is the half of all words with a bit of their hash; its distance is |x n p|, |x| known
-                far.append([int(((hs >> k) & 1).sum()) for k in range(7, 7 + FAR)])
-            yield pd.DataFrame({"class_id": b["class_id"], "size": [len(x) for x in b["hashes"]], "keys": keys, "far": far})
+                    keys.append(np.unique(key))
+                    bits = (hs >> 20) & (PIVOTS - 1)
+                    low.append(int(np.bitwise_or.reduce(np.where(bits < 64, np.int64(1) << (bits & 63), 0))))
+                    high.append(int(np.bitwise_or.reduce(np.where(bits >= 64, np.int64(1) << (bits & 63), 0))))
+            b["size"], b["keys"], b["low"], b["high"] = [len(x) for x in b["hashes"]], keys, low, high
+            yield b.drop(columns="hashes")
 
-    hashed = classes.select("class_id", F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"))
-    return hashed.mapInPandas(rows, "class_id bigint, size int, keys array<bigint>, far array<int>")
+    hashed = classes.select("class_id", "first_id", "first_batch", "last_batch", F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"))
+    return hashed.mapInPandas(rows, "class_id bigint, first_id bigint, first_batch bigint, last_batch bigint, size int, keys array<bigint>, low bigint, high bigint")
 
 
-def _near_enough(q: str, h: str) -> str:
-    """The triangle inequality over the far pivots. Two sets x, y within RADIUS differ in at most
-    RADIUS / (2 - RADIUS) of |x| + |y| elements, so their distances to any pivot by differing elements differ by no more;
-    to the empty pivot, of which the distance is the size, likewise."""
-    most = f"({RADIUS} / {2 - RADIUS} * ({q}.size + {h}.size) + 1e-6)"
-    to = [f"abs(({q}.size - 2 * {q}.far[{k}]) - ({h}.size - 2 * {h}.far[{k}])) <= {most}" for k in range(FAR)]
-    return " and ".join([f"abs({q}.size - {h}.size) <= {most}", *to])
+#: The triangle inequality over the far pivots: sets within RADIUS differ in at most RADIUS / (2 - RADIUS) of |x| + |y|.
+_NEAR_ENOUGH = f"bit_count(q.low ^ h.low) + bit_count(q.high ^ h.high) <= {RADIUS / (2 - RADIUS)} * (q.size + h.size) + 1e-6"
 
 
 def repeats(classes: DataFrame, first_new_batch: int) -> DataFrame:
-    """(class_id, id, batch) of the earliest record that a class with records in new batches repeats: for each such class
-    the smallest first record over itself and all classes within RADIUS that began before its last batch."""
+    """(class_id, first_id, first_batch) of the earliest record that a class with records in new batches repeats: for
+    each such class the smallest first record over itself and all classes within RADIUS that began before its last
+    batch."""
     total = classes.count()
-    pivots = materialise(
-        pivot_rows(classes, word_frequencies(classes), total).join(
-            classes.select("class_id", "first_id", "first_batch", "last_batch"), "class_id"
-        ),
-        "history-pivots",
-    )
-    listed = pivots.withColumn("key", F.explode("keys")).drop("keys")
-    new = listed.where(F.col("last_batch") >= first_new_batch).alias("q")
-    met = new.join(listed.alias("h"), F.expr("q.key = h.key and h.first_batch < q.last_batch and q.class_id <> h.class_id"))
-    pairs = met.where(_near_enough("q", "h")).select(F.col("q.class_id").alias("q"), F.col("h.class_id").alias("h")).distinct()
+    pivots = materialise(pivot_rows(classes, word_frequencies(classes), total), "history-pivots")
+    listed = pivots.select("class_id", "size", "low", "high", "first_batch", "last_batch", F.explode("keys").alias("key"))
+    new = listed.where(F.col("last_batch") >= first_new_batch).drop("first_batch").alias("q")
+    old = listed.drop("last_batch").alias("h")
+    met = new.join(old, F.expr(f"q.key = h.key and h.first_batch < q.last_batch and q.class_id <> h.class_id and {_NEAR_ENOUGH}"))
+    pairs = met.select(F.col("q.class_id").alias("q"), F.col("h.class_id").alias("h")).distinct()
     words = classes.select("class_id", "words", "first_id", "first_batch")
-    left = words.select(F.col("class_id").alias("q"), F.col("words").alias("qw"))
+    left = classes.where(F.col("last_batch") >= first_new_batch).select(F.col("class_id").alias("q"), F.col("words").alias("qw"))
     right = words.select(F.col("class_id").alias("h"), F.col("words").alias("hw"), "first_id", "first_batch")
     both = pairs.join(left, "q").join(right, "h")
     shared = F.size(F.array_intersect("qw", "hw"))
     near = both.where(shared >= (1 - RADIUS) * (F.size("qw") + F.size("hw") - shared))
     own = pivots.where(F.col("last_batch") >= first_new_batch).select(F.col("class_id").alias("q"), "first_id", "first_batch")
-    earliest = near.select("q", "first_id", "first_batch").unionByName(own).groupBy("q").agg(F.min(F.struct("first_id", "first_batch")).alias("e"))
-    return earliest.select(F.col("q").alias("class_id"), F.col("e.first_id").alias("first_id"), F.col("e.first_batch").alias("first_batch"))
+    earliest = near.select("q", "first_id", "first_batch").unionByName(own).groupBy("q").agg(F.min("first_id").alias("first_id"), F.min("first_batch").alias("first_batch"))
+    return earliest.withColumnRenamed("q", "class_id")
 
 
 def check_new(records: DataFrame, batches: DataFrame, id_col: str = "record_id", text_col: str = "original_prompt") -> DataFrame:
     """(first_id, record_id, exact) for each record of a batch whose state is `new` that repeats a record of an earlier
     batch; exact says that the words are the same.
 
-    Records without a batch, an id or a word are no cases; records of one batch are not repeats of each other; a record
+    Ids rise with the batch. Records without a batch, an id or a word are no cases; records of one batch are not repeats of each other; a record
     repeated by several is reported with the smallest id. Empty input gives no rows."""
     new = batches.where(F.lower(F.trim("batch_state")) == "new").select(F.col("batch_no").cast("bigint").alias("batch")).distinct()
     start = new.agg(F.min("batch")).first()[0]
@@ -143,7 +139,7 @@ def check_new(records: DataFrame, batches: DataFrame, id_col: str = "record_id",
     classes = materialise(classes, "history-classes")
     earliest = repeats(classes, start if start is not None else (1 << 62))
     own = classes.select("class_id", F.col("first_id").alias("own_first"))
-    asked = rows.join(F.broadcast(new) if new.count() < 1_000_000 else new, "batch", "left_semi")
+    asked = rows.join(new, "batch", "left_semi")
     return (
         asked.join(earliest.join(own, "class_id"), "class_id")
         .where("first_batch < batch")

@@ -27,7 +27,7 @@ def format_free(c: Column) -> Column:
     members = F.from_json(c, "map<string,string>")
     parts = F.filter(F.split(c, r"[\n\r;]+"), lambda p: p.rlike(r"\S"))
     labelled = (F.size(parts) > 1) & F.forall(parts, lambda p: p.rlike(LABEL))
-    in_order = lambda a: F.array_join(F.array_sort(a), " ")
+    in_order = lambda a: F.array_join(F.sort_array(a), " ")
     json_form = in_order(
         F.transform(F.map_entries(members), lambda e: plain_words(F.concat_ws(" ", e["key"], e["value"])))
     )
@@ -54,4 +54,4 @@ def prompt_words(c: Column) -> Column:
     for pattern in (_NEGATIVE, _ADD_ON, _PARAMETER, _WEIGHT, _LABELS):
         t = F.regexp_replace(t, pattern, " ")
     words = F.split(plain_words(t), " ")
-    return F.array_sort(F.array_except(F.array_distinct(words), F.array(*[F.lit(w) for w in ["", *GLUE]])))
+    return F.sort_array(F.array_except(F.array_distinct(words), F.array(*[F.lit(w) for w in ["", *GLUE]])))
