@@ -32,6 +32,36 @@ def p3_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.where("record_id = first_id").select("first_id", "copies").distinct()
 
 
+def _content_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts that are scored for content: (table_name, record_id, source, text)."""
+    a = table(spark, sf_dir, "lexica_cleaned").select(
+        F.lit("lexica_cleaned").alias("table_name"), "record_id", F.col("original_source").alias("source"), F.col("positive_template").alias("text")
+    )
+    b = table(spark, sf_dir, "civitai_rejected").select(
+        F.lit("civitai_rejected").alias("table_name"), F.col("rejected_id").alias("record_id"), F.col("original_source").alias("source"), F.col("original_prompt").alias("text")
+    )
+    return a.unionByName(b)
+
+
+def _content_scores(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    from .abuse import fit_on, score
+
+    texts = _content_texts(spark, sf_dir)
+    return texts, score(texts, fit_on(table(spark, sf_dir, "content_labels"), texts))
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts flagged as abusive, hateful or sexual."""
+    return _content_scores(spark, sf_dir)[1].where("flagged").select("table_name", "record_id", "category").distinct()
+
+
+def p6_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many texts of each source are flagged."""
+    from .abuse import rates
+
+    return rates(*_content_scores(spark, sf_dir))
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold a passage of an evaluation item."""
     from .leak import leaks
