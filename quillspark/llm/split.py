@@ -11,51 +11,73 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tokens import RANKS_FILE, encoder, parts, token_bytes
+from .tokens import RANKS_FILE, encoder, parts, token_sizes
 
 #: Boundary letters from strong to weak: paragraph, line, sentence, clause, word, character; x is inside a character.
 STRENGTHS = "plscwt"
-_ENDS = [
-    ("p", re.compile(r"(?:\r?\n|\r)[ \t]*(?:\r\n|\r|\n)\s*")),
-    ("l", re.compile(r"\r\n|\r|\n")),
-    ("s", re.compile(r"(?:[.!?…]+[\"'”’»)\]]*(?=\s))|[。！？]+[」』）]*")),
-    ("c", re.compile(r"[,;:](?=\s)|[、，；：]")),
-    ("w", re.compile(r"\S(?=\s)|_(?=[^\W_])")),
-]
+_LINE_ENDS = re.compile(r"(?:\r\n|\r|\n)\s*")
+_P, _L, _S, _C, _W, _T, _X = range(7)
+_LETTERS = np.frombuffer((STRENGTHS + "x").encode(), np.uint8)
 
 
-def boundaries(text: str, ranks: str = RANKS_FILE) -> tuple[str, list[int]]:
+def _class(of: str) -> np.ndarray:
+    """A table over the first 65,536 code points."""
+    out = np.zeros(1 << 16, bool)
+    out[[ord(c) for c in of]] = True
+    return out
+
+
+_SPACE = np.array([chr(c).isspace() for c in range(1 << 16)])
+_ALNUM = np.array([chr(c).isalnum() for c in range(1 << 16)])
+_STOP, _CLOSE, _PAUSE, _UNDERSCORE = _class(".!?…"), _class("\"'”’»)]"), _class(",;:"), _class("_")
+_CJK_STOP, _CJK_CLOSE, _CJK_PAUSE = _class("。！？"), _class("」』）"), _class("、，；：")
+
+
+def _strengths(text: str, codes: np.ndarray) -> np.ndarray:
+    """For each number of characters, how strong a boundary lies after so many."""
+    out = np.full(len(codes) + 1, _T, np.uint8)
+    c = np.minimum(codes, 0xFFFF)
+    last, following = c[:-1], c[1:]
+    space = _SPACE[following]
+    inner = out[1:-1]
+    inner[(space & ~_SPACE[last]) | (_UNDERSCORE[last] & _ALNUM[following])] = _W
+    inner[(_PAUSE[last] & space) | _CJK_PAUSE[last]] = _C
+    stop, cjk = _STOP[c], _CJK_STOP[c]
+    for _ in range(2):
+        # closing marks after the stop belong to the sentence
+        stop[1:] |= stop[:-1] & _CLOSE[c[1:]]
+        cjk[1:] |= cjk[:-1] & _CJK_CLOSE[c[1:]]
+    inner[stop[:-1] & space] = _S
+    inner[cjk[:-1] & ~(cjk[1:])] = _S
+    for m in _LINE_ENDS.finditer(text):
+        lines = m[0].count("\n") or m[0].count("\r")
+        out[m.end()] = _P if lines > 1 else _L
+    return out
+
+
+def boundaries(text: str, ranks: str = RANKS_FILE) -> tuple[str, np.ndarray]:
     """A letter for each token of the text and the number of characters up to each token's end."""
-    own, marks, ends = token_bytes(ranks), [], []
-    at = 0
-    for part in parts(text):
-        left = 0
-        if part.isascii():
-            for t in encoder(ranks).encode_ordinary(part):
-                at += len(own[t])
-                ends.append(at)
-        else:
-            for t in encoder(ranks).encode_ordinary(part):
-                # characters that begin in the token; the last of them may go on in the next
-                for byte in own[t]:
-                    if byte & 0xC0 != 0x80:
-                        at += 1
-                        left = 0 if byte < 0x80 else 1 if byte < 0xE0 else 2 if byte < 0xF0 else 3
-                    else:
-                        left -= 1
-                ends.append(-at if left else at)
-    strength: dict[int, str] = {}
-    for letter, pattern in reversed(_ENDS):
-        for m in pattern.finditer(text):
-            strength[m.end()] = letter
-    marks = ["x" if e < 0 else strength.get(e, "t") for e in ends]
-    if marks:
-        marks[-1] = "p"
-    return "".join(marks), [abs(e) for e in ends]
+    sizes, encode = token_sizes(ranks), encoder(ranks).encode_ordinary
+    ids = [t for part in parts(text) for t in encode(part)]
+    ends = np.cumsum(sizes[ids])
+    codes = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+    inside = None
+    if not text.isascii():
+        # characters that begin in so many bytes; a token may end within one
+        begins = (np.frombuffer(text.encode(), np.uint8) & 0xC0) != 0x80
+        inside = ~np.append(begins, True)[ends]
+        ends = np.append(0, np.cumsum(begins))[ends]
+    marks = _strengths(text, codes)[ends]
+    if inside is not None:
+        marks[inside] = _X
+    if len(marks):
+        marks[-1] = _P
+    return _LETTERS[marks].tobytes().decode(), ends.astype(np.int32)
 
 
 def pattern(most: int) -> str:

@@ -5,6 +5,8 @@ from __future__ import annotations
 import base64
 from functools import lru_cache
 
+import numpy as np
+
 #: The vocabulary file, as base64 token and rank a line, and the pattern that cuts text into the words it encodes.
 RANKS_FILE = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -21,10 +23,13 @@ def encoder(path: str = RANKS_FILE):
 
 
 @lru_cache(maxsize=2)
-def token_bytes(path: str = RANKS_FILE) -> dict[int, bytes]:
+def token_sizes(path: str = RANKS_FILE) -> np.ndarray:
     """The bytes of each token."""
     with open(path, "rb") as lines:
-        return {int(b): base64.b64decode(a) for a, b in map(bytes.split, lines)}
+        by = {int(b): len(base64.b64decode(a)) for a, b in map(bytes.split, lines)}
+    out = np.zeros(max(by) + 1, np.int64)
+    out[list(by)] = list(by.values())
+    return out
 
 
 def count(text: str | None, path: str = RANKS_FILE) -> int:
