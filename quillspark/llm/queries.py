@@ -32,6 +32,25 @@ def p3_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.where("record_id = first_id").select("first_id", "copies").distinct()
 
 
+def _subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .subjects import assign
+
+    areas = [r[0] for r in table(spark, sf_dir, "subject_areas").select("subject").limit(1000).collect() if r[0]]
+    return assign(table(spark, sf_dir, "lexica_cleaned"), table(spark, sf_dir, "subject_labels"), "record_id", ["positive_template", "concept"], areas)
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The subject areas of every record."""
+    return _subjects(spark, sf_dir)
+
+
+def p5_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The share of each subject in the corpus."""
+    from .subjects import composition
+
+    return composition(table(spark, sf_dir, "lexica_cleaned"), _subjects(spark, sf_dir), "record_id", "positive_template")
+
+
 def _content_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The texts that are scored for content: (table_name, record_id, source, text)."""
     a = table(spark, sf_dir, "lexica_cleaned").select(
