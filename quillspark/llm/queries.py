@@ -16,6 +16,20 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("first_id", "record_id")
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The noise found in scanned pages."""
+    from .scan import defects
+
+    return defects(table(spark, sf_dir, "inbox_pages"))
+
+
+def p2_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scanned pages as continuous paragraphs."""
+    from .scan import repair
+
+    return repair(table(spark, sf_dir, "inbox_pages"))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records whose two fields say the same as an earlier record's but for format."""
     from .formatdup import collapse
