@@ -46,6 +46,13 @@ def p3_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.where("record_id = first_id").select("first_id", "copies").distinct()
 
 
+def p4_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The records of each varied set."""
+    from .varied import fill_sets
+
+    return fill_sets(table(spark, sf_dir, "lexica_cleaned"), table(spark, sf_dir, "prompt_sets"))
+
+
 def _subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .subjects import assign
 
