@@ -236,8 +236,11 @@ CANDIDATES = {
 
 def syntax_candidates(c: Column) -> Column:
     """array<struct<type, text>> of every piece of special syntax."""
-    each = [F.transform(F.regexp_extract_all(c, F.lit(p), 0), lambda x, n=n: F.struct(F.lit(n).alias("type"), x.alias("text"))) for n, p in CANDIDATES.items()]
-    return F.flatten(F.array(*each))
+
+    def of(name: str, pattern: str) -> Column:
+        return F.transform(F.regexp_extract_all(c, F.lit(pattern), 0), lambda x: F.struct(F.lit(name).alias("type"), x.alias("text")))
+
+    return F.flatten(F.array(*[of(n, p) for n, p in CANDIDATES.items()]))
 
 
 def clean_negative(c: Column) -> Column:

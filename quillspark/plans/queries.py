@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from . import text_queries
+
+_PARTS = [text_queries.R]
+
 
 def queries() -> dict:
-    return {}
+    return {k: f for r in _PARTS for k, f in r.queries.items()}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {k: s for r in _PARTS for k, s in r.sql.items()}
