@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The word lists by which prompts are scored.
@@ -97,17 +99,40 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == 0) | (F.size(b) == 0), F.lit(0.0)).otherwise(F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b)))
 
 
-def score_parts(text: Column, keys: Column, common: Column | None = None) -> dict[str, Column]:
-    """Every part of a candidate's score and the score itself."""
-    t = tokens(text)
-    unique = F.array_distinct(t)
-    tag, difficulty = tags(text, TAG_WORDS), tags(text, DIFFICULTY_WORDS)
-    visual = F.size(F.array_intersect(unique, words(VISUAL_WORDS))) + sum((phrase_hits(text, w) for w in list(DOMAIN_WORDS.values())[1:]), phrase_hits(text, DOMAIN_WORDS["photography"]))
+def _once(df: DataFrame, name: str, c: Column) -> DataFrame:
+    """df with a column that passes through a generator, so that the optimiser computes it once and does not write it into
+    each of its uses."""
+    return df.select("*", F.explode(F.array(c)).alias(name))
+
+
+def score_frame(df: DataFrame, text: Column, keys: Column, common: Column | None = None) -> DataFrame:
+    """df with n_tokens, domain, tags, difficulty, signature and score of a text and its wildcard keys. Every hit is counted
+    once, over the text in lower case once. Null texts score as empty ones."""
+    b = _once(df, "_low", F.lower(F.coalesce(text, F.lit(""))))
+    low = F.col("_low")
+    hits = lambda ws: sum((low.contains(w).cast("int") for w in ws[1:]), low.contains(ws[0]).cast("int"))
+    found = lambda ws: reduce(lambda x, y: x | y, [low.contains(w) for w in ws])
+    tagged = lambda groups: F.slice(F.filter(F.array(*[F.when(found(w), F.lit(t)) for t, w in groups.items()]), lambda x: x.isNotNull()), 1, 6)
+    names = list(DOMAIN_WORDS)
+    b = _once(
+        b, "_h",
+        F.struct(
+            F.regexp_extract_all(low, F.lit("[a-z0-9][a-z0-9_-]*"), 0).alias("t"), *[hits(DOMAIN_WORDS[d]).alias(f"d{k}") for k, d in enumerate(names)],
+            hits(GENERIC_WORDS).alias("generic"), tagged(TAG_WORDS).alias("tags"), tagged(DIFFICULTY_WORDS).alias("difficulty"),
+        ),
+    )
+    h = F.col("_h")
+    d = [h[f"d{k}"] for k in range(len(names))]
+    where = F.when(F.greatest(*d) <= 0, F.lit(DOMAINS[-1]))
+    for k, n in enumerate(names):
+        where = where.when(d[k] == F.greatest(*d), F.lit(n))
+    unique = F.array_distinct(h["t"])
     shared = F.lit(0) if common is None else F.size(F.array_intersect(unique, common))
-    where = domain(text)
+    visual = F.size(F.array_intersect(unique, words(VISUAL_WORDS))) + sum(d[1:], d[0])
+    b = b.select("*", where.alias("domain"), F.size(h["t"]).alias("n_tokens"), h["tags"].alias("tags"), h["difficulty"].alias("difficulty"), signature(h["t"], common).alias("signature"))
     score = (
-        length_score(F.size(t)) + F.least(F.size(keys), F.lit(5)) * 3.0 + F.least(F.size(tag), F.lit(5)) * 2.5 + F.least(F.size(difficulty), F.lit(3)) * 1.5
-        + visual * 1.25 + F.log1p(F.size(F.array_except(unique, words(STOP_WORDS)))) * 3.0 - phrase_hits(text, GENERIC_WORDS) * 1.4 - shared * 0.45
-        + F.when(where == DOMAINS[-1], F.least(F.size(difficulty), F.lit(4)) * 1.8).otherwise(F.lit(0.0))
+        length_score(F.size(h["t"])) + F.least(F.size(keys), F.lit(5)) * 3.0 + F.least(F.size(h["tags"]), F.lit(5)) * 2.5 + F.least(F.size(h["difficulty"]), F.lit(3)) * 1.5
+        + visual * 1.25 + F.log1p(F.size(F.array_except(unique, words(STOP_WORDS)))) * 3.0 - h["generic"] * 1.4 - shared * 0.45
+        + F.when(F.col("domain") == DOMAINS[-1], F.least(F.size(h["difficulty"]), F.lit(4)) * 1.8).otherwise(F.lit(0.0))
     )
-    return {"n_tokens": F.size(t), "domain": where, "tags": tag, "difficulty": difficulty, "score": score, "signature": signature(t, common)}
+    return b.select("*", score.alias("score")).drop("_low", "_h")

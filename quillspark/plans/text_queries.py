@@ -378,9 +378,8 @@ def scored(spark, d):
     """(record_id, domain, n_tokens, tags, difficulty, signature, score) of every record, its references as keys."""
     r = table(spark, d, "lexica_cleaned")
     t = F.concat(F.coalesce("concept", F.lit("")), F.lit(" "), F.coalesce("positive_template", F.lit("")))
-    parts = S.score_parts(F.col("t"), F.col("keys"))
     b = r.select("record_id", t.alias("t"), F.coalesce(F.array_distinct("wildcard_refs"), F.array().cast("array<string>")).alias("keys"))
-    return b.select("record_id", "t", *[c.alias(n) for n, c in parts.items()])
+    return S.score_frame(b, F.col("t"), F.col("keys"))
 
 
 @R.add("m02_score", f"WITH {SCORED} SELECT record_id, domain, score FROM scored WHERE n >= 6 AND score >= 8")
