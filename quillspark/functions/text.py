@@ -21,7 +21,8 @@ ATTENTION = r"::[0-9]+"
 DOUBLE_BRACE = r"(?U)\{\{\s*([^}]+)\s*\}\}"
 NESTED_ROUND = r"\({2,}([^)]+)\){2,}"
 SCORE_TAG = r"(?U)\bscore_\d+\b"
-ARTIST_TAG = r"(?U)@\w+(?:[\s_]\w+)*"
+# words after the sign, each one space apart; written without a repeated group, which would recurse on long texts
+ARTIST_TAG = r"(?Us)@\w.*?(?=[^\w\s]|\s(?!\w)|\z)"
 BREAK = r"(?U)\bBREAK\b"
 MARKER = r"(?Umd)^(?:ye-pop|ye_pop)\s*"
 NEGATIVE_LINE = r"(?i)^(?:negative prompt|negative prompts)(?U:\s*):"
