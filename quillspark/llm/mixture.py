@@ -2,7 +2,7 @@
 
 Sainte-Lague apportionment of equal-token blocks: a mix of so many blocks gives each source the blocks with the highest
 quotients weight / (2k - 1), up to the blocks it can give with its documents repeated as often as is allowed; the
-blocks of a source are divided among its shards in the same way, in proportion to their tokens. Within a shard documents
+blocks of a source (the last may be a part of one) are divided among its shards in the same way, in proportion to their tokens. Within a shard documents
 lie in a seeded order, block after block, and the shard's quota takes them from the start, over again where it exceeds
 the shard. A source of any size is spread over shards of bounded size, so no task and no driver holds a source.
 """
@@ -70,7 +70,7 @@ def _per_mix(pdf: pd.DataFrame) -> pd.DataFrame:
     """Quotas of one mix: a row for each source named in it, so its size is that of the target table."""
     pdf = pdf.sort_values("source").reset_index(drop=True)
     seats = int(round(float(pdf["size_ratio"].iloc[0]) * float(pdf["total"].iloc[0]) / BLOCK))
-    supply = np.floor(pdf["supply"].fillna(0).to_numpy() / BLOCK * pdf["max_repeats"].fillna(0).clip(lower=0).to_numpy())
+    supply = np.ceil(pdf["supply"].fillna(0).to_numpy() / BLOCK * pdf["max_repeats"].fillna(0).clip(lower=0).to_numpy())
     pdf["quota"] = sainte_lague(pdf["target_share"].fillna(0).to_numpy(float), supply, seats)
     pdf["seats"] = seats
     return pdf[["mix_name", "source", "target_share", "max_repeats", "seats", "quota"]]
@@ -80,9 +80,8 @@ def _per_source(pdf: pd.DataFrame) -> pd.DataFrame:
     """A source's quota divided over its shards: a row for each shard."""
     pdf = pdf.sort_values("shard").reset_index(drop=True)
     tokens = pdf["shard_tokens"].to_numpy(float)
-    caps = np.floor(tokens / BLOCK * float(pdf["max_repeats"].iloc[0]))
+    caps = np.ceil(tokens / BLOCK * float(pdf["max_repeats"].iloc[0]))
     quota = sainte_lague(tokens, caps, int(pdf["quota"].iloc[0]))
-    # what whole blocks leave over in small shards goes where documents are left, token-wise
     pdf["shard_quota"] = quota
     return pdf[["mix_name", "source", "shard", "shard_quota"]]
 

@@ -97,11 +97,11 @@ def pieces(docs: DataFrame, limits: DataFrame, id_col: str = "doc_id", text_col:
     the piece ends.
 
     Without the overlaps the pieces make up the text exactly. Null ids and null or short texts give no rows; a limit
-    without max_tokens or name, or below 2, is left out; an overlap of half the limit or more counts as half. The table of limits must be
+    without max_tokens or name, or below 8 (a character has up to 4 tokens), is left out; an overlap of half the limit or more counts as half. The table of limits must be
     small: it is one expression each."""
     wanted = sorted(
         (r[0], int(r[1]), min(int(r[2] or 0), int(r[1]) // 2))
-        for r in limits.select("limit_name", "max_tokens", "overlap_tokens").where("limit_name is not null and max_tokens >= 2").distinct().limit(1000).collect()
+        for r in limits.select("limit_name", "max_tokens", "overlap_tokens").where("limit_name is not null and max_tokens >= 8").distinct().limit(1000).collect()
     )
     d = docs.select(docs[id_col].cast("bigint").alias("doc_id"), docs[text_col].alias("text")).where("doc_id is not null and text <> ''")
 

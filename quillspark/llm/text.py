@@ -12,8 +12,8 @@ _NOT_WORD = r"[^\p{L}\p{N}\p{M}]+"
 
 def plain_words(c: Column) -> Column:
     """Words in lower case with single spaces; every run of anything but letters, digits and marks separates words.
-    Upper-casing first folds letters with several lower-case forms together."""
-    return F.trim(F.regexp_replace(F.lower(F.upper(c)), _NOT_WORD, " "))
+    Upper-casing first folds letters with several lower-case forms together; a sharp s is written out."""
+    return F.trim(F.regexp_replace(F.replace(F.lower(F.upper(c)), F.lit("ß"), F.lit("ss")), _NOT_WORD, " "))
 
 
 def is_blank(c: Column) -> Column:
