@@ -135,4 +135,6 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {}
+    from . import sql
+
+    return {"p1_found": sql.P1_FOUND, "p3_found": sql.P3_FOUND, "p3_copies": sql.P3_COPIES}
