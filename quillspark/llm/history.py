@@ -27,6 +27,11 @@ from .text import prompt_words
 RADIUS = 0.4
 #: Near pivots in a key, keys of a class, buckets of the table of word frequencies (its size is fixed).
 ROWS, BANDS, BUCKETS = 3, 14, 1 << 17
+#: Bounds of a word's weight: a word of most texts still counts, so that large families of near copies meet, and a word of
+#: one text does not outweigh all others.
+LIGHTEST, HEAVIEST = 2.0, 6.0
+#: Classes under one key from which on it is hot, and about how many of them lead it.
+HOT, LEADERS = 20_000, 64
 #: Far pivots: bits in two longs.
 PIVOTS = 128
 _MASK = (1 << 64) - 1
@@ -73,7 +78,7 @@ def pivot_rows(classes: DataFrame, frequencies: np.ndarray, total: int) -> DataF
             x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
             x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
             u = ((x ^ (x >> np.uint64(31))) >> np.uint64(11)).astype(np.float64) / (1 << 53) + 1e-18
-            weight = max(np.log((total + 1) / (shared.value[h % BUCKETS] + 1)), 0.05)
+            weight = min(max(np.log((total + 1) / (shared.value[h % BUCKETS] + 1)), LIGHTEST), HEAVIEST)
             return (-np.log(u) / weight).astype(np.float32)
 
         salt = np.arange(BANDS, dtype=np.int64) * np.int64(0x1234567)
@@ -105,29 +110,59 @@ def pivot_rows(classes: DataFrame, frequencies: np.ndarray, total: int) -> DataF
 _NEAR_ENOUGH = f"bit_count(q.low ^ h.low) + bit_count(q.high ^ h.high) <= {RADIUS / (2 - RADIUS)} * (q.size + h.size) + 1e-6"
 
 
-def repeats(classes: DataFrame, first_new_batch: int) -> DataFrame:
+def _hot_keys(listed: DataFrame, hot: int) -> DataFrame:
+    """(key, leader): partition keys that hold more than about `hot` classes, found by the classes of one hash value in 16,
+    and the first_id up to which about LEADERS of their classes reach. Missing a hot key costs time, not rows."""
+    seen = listed.where(F.pmod("class_id", F.lit(16)) == 0).groupBy("key").count().where(F.col("count") > hot / 16).select("key")
+    keys = materialise(seen, "history-hot")
+    if keys.isEmpty():
+        return keys.withColumn("leader", F.lit(0).cast("bigint"))
+    sizes = listed.join(keys, "key").groupBy("key").agg(F.count("*").alias("n"), F.percentile_approx("first_id", F.array(*[F.lit(2.0**-k) for k in range(1, 31)]), 100_000).alias("p"))
+    nth = F.least(F.lit(30), F.greatest(F.lit(1), F.floor(F.log2(F.col("n") / LEADERS)).cast("int")))
+    return materialise(sizes.select("key", F.element_at("p", nth).alias("leader")), "history-leaders")
+
+
+def repeats(classes: DataFrame, first_new_batch: int, hot: int = HOT) -> DataFrame:
     """(class_id, first_id, first_batch) of the earliest record that a class with records in new batches repeats: for
     each such class the smallest first record over itself and all classes within RADIUS that began before its last
-    batch."""
+    batch.
+
+    Under a partition key that holds very many classes (a text sent again and again with small changes), new classes meet
+    the earliest classes of the key first; only those that repeat none of them meet the others. As the smallest id is
+    asked for, nothing is lost, and a large family of near copies does not meet itself in all pairs."""
     total = classes.count()
     pivots = materialise(pivot_rows(classes, word_frequencies(classes), total), "history-pivots")
-    listed = pivots.select("class_id", "size", "low", "high", "first_batch", "last_batch", F.explode("keys").alias("key"))
-    new = listed.where(F.col("last_batch") >= first_new_batch).drop("first_batch").alias("q")
-    old = listed.drop("last_batch").alias("h")
-    met = new.join(old, F.expr(f"q.key = h.key and h.first_batch < q.last_batch and q.class_id <> h.class_id and {_NEAR_ENOUGH}"))
-    pairs = met.select(F.col("q.class_id").alias("q"), F.col("h.class_id").alias("h")).distinct()
-    words = classes.select("class_id", "words", "first_id", "first_batch")
-    left = classes.where(F.col("last_batch") >= first_new_batch).select(F.col("class_id").alias("q"), F.col("words").alias("qw"))
-    right = words.select(F.col("class_id").alias("h"), F.col("words").alias("hw"), "first_id", "first_batch")
-    both = pairs.join(left, "q").join(right, "h")
-    shared = F.size(F.array_intersect("qw", "hw"))
-    near = both.where(shared >= (1 - RADIUS) * (F.size("qw") + F.size("hw") - shared))
+    listed = pivots.select("class_id", "size", "low", "high", "first_id", "first_batch", "last_batch", F.explode("keys").alias("key"))
+    new = listed.where(F.col("last_batch") >= first_new_batch).drop("first_batch", "first_id")
+    old = listed.drop("last_batch")
+    asked = classes.where(F.col("last_batch") >= first_new_batch).select(F.col("class_id").alias("q"), F.col("words").alias("qw"))
+    words = classes.select(F.col("class_id").alias("h"), F.col("words").alias("hw"), "first_id", "first_batch")
+
+    def met(q: DataFrame, h: DataFrame) -> DataFrame:
+        return q.alias("q").join(h.alias("h"), F.expr(f"q.key = h.key and h.first_batch < q.last_batch and q.class_id <> h.class_id and {_NEAR_ENOUGH}"))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(asked, "q").join(words, "h")
+        shared = F.size(F.array_intersect("qw", "hw"))
+        return both.where(shared >= (1 - RADIUS) * (F.size("qw") + F.size("hw") - shared)).select("q", "h", "first_id", "first_batch")
+
+    ids = [F.col("q.class_id").alias("q"), F.col("h.class_id").alias("h")]
+    keys = _hot_keys(listed, hot)
+    if keys.isEmpty():
+        near = verified(met(new, old).select(*ids).distinct())
+    else:
+        plain = met(new.join(keys, "key", "left_anti"), old.join(keys, "key", "left_anti")).select(*ids)
+        led = materialise(met(new.join(keys, "key").drop("leader"), old.join(keys, "key").where("first_id <= leader").drop("leader")).select(F.col("q.key").alias("key"), *ids), "history-led")
+        near = materialise(verified(plain.unionByName(led.select("q", "h")).distinct()), "history-near")
+        settled = led.join(near.select("q", "h"), ["q", "h"]).select("key", F.col("q").alias("class_id")).distinct()
+        rest = met(new.join(keys, "key").drop("leader").join(settled, ["key", "class_id"], "left_anti"), old.join(keys, "key").where("first_id > leader").drop("leader"))
+        near = near.unionByName(verified(rest.select(*ids).distinct()))
     own = pivots.where(F.col("last_batch") >= first_new_batch).select(F.col("class_id").alias("q"), "first_id", "first_batch")
     earliest = near.select("q", "first_id", "first_batch").unionByName(own).groupBy("q").agg(F.min("first_id").alias("first_id"), F.min("first_batch").alias("first_batch"))
     return earliest.withColumnRenamed("q", "class_id")
 
 
-def check_new(records: DataFrame, batches: DataFrame, id_col: str = "record_id", text_col: str = "original_prompt") -> DataFrame:
+def check_new(records: DataFrame, batches: DataFrame, id_col: str = "record_id", text_col: str = "original_prompt", hot: int = HOT) -> DataFrame:
     """(first_id, record_id, exact) for each record of a batch whose state is `new` that repeats a record of an earlier
     batch; exact says that the words are the same.
 
@@ -137,7 +172,7 @@ def check_new(records: DataFrame, batches: DataFrame, id_col: str = "record_id",
     start = new.agg(F.min("batch")).first()[0]
     rows, classes = classes_of(records, id_col, text_col, "batch_no")
     classes = materialise(classes, "history-classes")
-    earliest = repeats(classes, start if start is not None else (1 << 62))
+    earliest = repeats(classes, start if start is not None else (1 << 62), hot)
     own = classes.select("class_id", F.col("first_id").alias("own_first"))
     asked = rows.join(new, "batch", "left_semi")
     return (
