@@ -46,12 +46,12 @@ def f04(spark, d):
     return table(spark, d, "lexica_cleaned").where(F.col("identifier").like("gentle_%")).select("record_id", "identifier")
 
 
-_MEMBERS = "members AS (SELECT i % 4 + 1 AS set_id, record_id AS prompt_id, CAST(row_number() OVER (PARTITION BY i % 4 ORDER BY record_id) AS INT) AS position, record_id % 5 <> 0 AS enabled FROM (SELECT record_id, record_id // 10 AS i FROM lexica_cleaned WHERE record_id % 10 = 0))"
+_MEMBERS = "members AS (SELECT i % 4 + 1 AS set_id, record_id AS prompt_id, CAST(row_number() OVER (PARTITION BY i % 4 ORDER BY record_id) AS INT) AS position, record_id % 3 <> 0 AS enabled FROM (SELECT record_id, record_id // 10 AS i FROM lexica_cleaned WHERE record_id % 10 = 0))"
 
 
 def _members(lib):
     i = F.floor(F.col("record_id") / 10)
-    m = lib.records.where("record_id % 10 = 0").select((i % 4 + 1).alias("set_id"), F.col("record_id").alias("prompt_id"), (F.col("record_id") % 5 != 0).alias("enabled"))
+    m = lib.records.where("record_id % 10 = 0").select((i % 4 + 1).alias("set_id"), F.col("record_id").alias("prompt_id"), (F.col("record_id") % 3 != 0).alias("enabled"))
     return m.withColumn("position", F.row_number().over(W.partitionBy("set_id").orderBy("prompt_id")))
 
 
@@ -516,3 +516,38 @@ def x02(spark, d):
     from quillspark.streaming.ingest import sessions
 
     return sessions(table(spark, d, "events"))
+
+
+@R.add("j06_semi_join", BASE + f", {_MEMBERS} SELECT id FROM prompts WHERE EXISTS (SELECT 1 FROM members WHERE prompt_id = id AND enabled)")
+def j06(spark, d):
+    lib = Library(spark, d)
+    return lib.prompts.select("id").join(_members(lib).where("enabled").select(F.col("prompt_id").alias("id")), "id", "left_semi")
+
+
+@R.add("j10_unbound_keys", R.sql["g05_validate"])
+def j10(spark, d):
+    return g05(spark, d)
+
+
+@R.add("g09_worker", BASE + f", {_TARGETS}, {_JOBS}, {_CELLS} SELECT prompt_id, style_id, CASE WHEN prompt_id % 3 = 0 THEN 'no answer' END AS error FROM cells")
+def g09(spark, d):
+    lib = Library(spark, d)
+    styles = lib.t("prompt_style_profiles").select(F.col("id").alias("style_id"), F.col("identifier").alias("style"), "syntax_family", F.col("negative_prompt_strategy").alias("strategy"), F.coalesce("ordering_notes", F.lit("")).alias("description"))
+    cells = _cells(spark, d)
+    tasks = jobs.build_tasks(cells, lib.prompts.withColumn("identifier", F.col("id").cast("string")), lib.templates, styles)
+
+    def worker(task: str) -> str:
+        import json
+
+        t = json.loads(task)
+        if int(t["prompt_identifier"]) % 3 == 0:
+            raise RuntimeError("no answer")
+        return json.dumps({"positive_template": t["source_positive_template"], "negative_template": "", "notes": ""})
+
+    done = jobs.run_worker(tasks, worker)
+    return done.select("prompt_id", "style_id", "error")
+
+
+@R.add("u15_dry_run_actions", _UPS + " SELECT action, count(*) AS n FROM act GROUP BY 1")
+def u15(spark, d):
+    return _upsert(spark, d).actions.groupBy("action").agg(F.count("*").alias("n"))

@@ -8,6 +8,7 @@ from quillspark.functions import text as T
 from quillspark.functions.categories import CATEGORIES
 from quillspark.operators import mining
 from quillspark.session import table
+from quillspark.sources import files
 from quillspark.sources import parsers as P
 
 from . import pipelines
@@ -227,3 +228,32 @@ def g13(spark, d):
 def g13m(spark, d):
     docs = _inbox(spark, d)
     return pipelines.inbox_manifest(docs, pipelines.inbox_entries(docs))
+
+
+_IMPORT = """SELECT '{"wildcard_library": {"Part Kind": ["' || p_name || '", {"value": "x' || p_partkey || '", "weight": 2.5}], "none": "no list"}, "prompt_identifiers": [{"identifier": "p' || p_partkey || '", "concept": "' || p_brand || '"}]}' AS value FROM part"""
+
+
+def _import(spark, d):
+    t = F.format_string('{"wildcard_library": {"Part Kind": ["%s", {"value": "x%d", "weight": 2.5}], "none": "no list"}, "prompt_identifiers": [{"identifier": "p%d", "concept": "%s"}]}', "p_name", "p_partkey", "p_partkey", "p_brand")
+    return files.parse_import(table(spark, d, "part").select(t.alias("value")))
+
+
+@R.add("s03_import_values", f"SELECT 'Part Kind' AS raw_key, CAST(o AS INT) AS ord, CASE o WHEN 0 THEN json_extract_string(value, '$.wildcard_library.\"Part Kind\"[0]') ELSE json_extract_string(value, '$.wildcard_library.\"Part Kind\"[1].value') END AS value, CASE o WHEN 0 THEN 1.0 ELSE 2.5 END AS weight FROM ({_IMPORT}), (VALUES (0), (1)) AS t(o)")
+def s03(spark, d):
+    return _import(spark, d)[0]
+
+
+@R.add("s03_import_prompts", "SELECT CAST(0 AS INT) AS ord, 'p' || p_partkey AS identifier, p_brand AS concept, 'draft' AS status, '{}' AS metadata FROM part")
+def s03p(spark, d):
+    return _import(spark, d)[1].select("ord", "identifier", "concept", "status", "metadata")
+
+
+@R.add("s15_flat_entries")
+def s15(spark, d):
+    r = table(spark, d, "lexica_cleaned").where("positive_template is not null and source_index is not null")
+    return files.flat_entries(r.select(F.col("source_index").alias("idx"), F.col("concept").alias("title"), F.col("positive_template").alias("prompt"), F.lit("any").alias("platform"), F.col("syntax_family").alias("category"), F.col("original_source").alias("source")))
+
+
+@R.add("s21_sections_of_sheets", f"WITH {_DOCS} SELECT doc_id, count(*) AS n FROM (SELECT doc_id, {_STRIP.format('unnest(regexp_split_to_array(text, chr(10) || chr(91) || chr(92) || chr(115) || chr(93) || chr(42) || chr(10)))')} AS b FROM docs WHERE NOT contains(text, '#')) WHERE b <> '' GROUP BY 1")
+def s21(spark, d):
+    return P.sectioned(_docs(spark, d).where(~F.col("text").contains("#"))).groupBy("doc_id").agg(F.count("*").alias("n"))

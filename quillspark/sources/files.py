@@ -12,6 +12,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillspark.functions.text import concept as concept_of
+from quillspark.functions.text import detect_syntax, identifier
+
 IMPORT_SCHEMA = (
     "wildcard_library string, prompt_identifiers array<struct<identifier:string, concept:string, status:string, metadata:string, wildcard_refs:array<string>, "
     "style_variations:array<struct<identifier:string, syntax_family:string, positive_template:string, negative_template:string, negative_prompt_strategy:string, notes:string>>>>"
@@ -25,12 +28,18 @@ def texts(spark: SparkSession, path: str) -> DataFrame:
 
 
 def import_document(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(values, prompts) of import JSON. values: (raw_key, ord, value, weight), a value as text or as an object with a
-    weight, 1 by default; prompts: (ord, identifier, concept, status, metadata, wildcard_refs, style_variations), status draft
-    and metadata {} where they are missing."""
-    d = spark.read.schema(IMPORT_SCHEMA).option("multiLine", True).json(path)
-    library = F.from_json("wildcard_library", "map<string,array<string>>")
-    v = d.select(F.explode(library).alias("raw_key", "vs")).select("raw_key", F.posexplode("vs").alias("ord", "v"))
+    """(values, prompts) of import JSON files; see parse_import()."""
+    return parse_import(spark.read.text(path, wholetext=True))
+
+
+def parse_import(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(values, prompts) of import documents as JSON in a column value. values: (raw_key, ord, value, weight), a value as text
+    or as an object with a weight, 1 by default, a list only; prompts: (ord, identifier, concept, status, metadata, wildcard_refs,
+    style_variations), status draft and metadata {} where they are missing."""
+    d = docs.select(F.from_json("value", IMPORT_SCHEMA).alias("d")).select("d.*")
+    library = F.from_json("wildcard_library", "map<string,string>")
+    lists = d.select(F.explode(library).alias("raw_key", "vs")).where(F.col("vs").startswith("["))
+    v = lists.select("raw_key", F.posexplode(F.from_json("vs", "array<string>")).alias("ord", "v"))
     o = F.from_json("v", "value string, weight double")
     is_object = F.col("v").startswith("{")
     values = v.select("raw_key", "ord", F.when(is_object, o["value"]).otherwise(F.col("v")).alias("value"), F.coalesce(F.when(is_object, o["weight"]), F.lit(1.0)).alias("weight")).where("value <> ''")
@@ -39,6 +48,15 @@ def import_document(spark: SparkSession, path: str) -> tuple[DataFrame, DataFram
     return values, prompts
 
 
+def flat_entries(items: DataFrame) -> DataFrame:
+    """(identifier, concept, status, metadata, style, positive_template) of a flat list (idx, title, prompt, platform, category,
+    source): what the import reads, one template in the style the prompt is written in."""
+    concept = concept_of(F.col("prompt"), drop_parameters=True)
+    meta = F.to_json(F.struct(F.col("source").alias("original_source"), F.col("prompt").alias("original_prompt"), F.col("idx").alias("source_index"), "title", "platform", "category"))
+    style = detect_syntax(F.col("prompt"), parameters=True)
+    return items.select(identifier(concept, F.col("idx")).alias("identifier"), concept.alias("concept"), F.lit("active").alias("status"), meta.alias("metadata"), style.alias("style"), F.col("prompt").alias("positive_template"))
+
+
 def _packed(data: bytes, member: str | None) -> list[tuple[int, str, str]]:
     out, negative, inside = [], "", False
     with zipfile.ZipFile(io.BytesIO(data)) as z:
