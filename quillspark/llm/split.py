@@ -9,7 +9,6 @@ Array functions turn runs into character offsets and look back for the overlap.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -105,16 +104,15 @@ def pieces(docs: DataFrame, limits: DataFrame, id_col: str = "doc_id", text_col:
     )
     d = docs.select(docs[id_col].cast("bigint").alias("doc_id"), docs[text_col].alias("text")).where("doc_id is not null and text <> ''")
 
-    def marked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for lo in range(0, len(b), 256):
-                x = b.iloc[lo : lo + 256].copy()
-                both = [boundaries(t, ranks) for t in x["text"]]
-                x["marks"], x["ends"] = [m for m, _ in both], [e for _, e in both]
-                yield x
+    @F.pandas_udf("marks string, ends array<int>")
+    def marked(texts: pd.Series) -> pd.DataFrame:
+        both = [boundaries(t, ranks) for t in texts]
+        return pd.DataFrame({"marks": [m for m, _ in both], "ends": [e for _, e in both]})
 
+    # so marked, the optimiser runs the function once and not for each use of its result
+    once = marked.asNondeterministic()
     least = min((m for _, m, _ in wanted), default=0)
-    m = d.mapInPandas(marked, "doc_id bigint, text string, marks string, ends array<int>").where(F.length("marks") > least)
+    m = d.select("doc_id", "text", once("text").alias("b")).select("doc_id", "text", "b.marks", "b.ends").where(F.length("marks") > least)
     runs = []
     for name, most, overlap in wanted:
         cut = F.when(F.length("marks") > most, F.regexp_extract_all("marks", F.lit(pattern(most - overlap)), 0))
