@@ -42,8 +42,9 @@ def classes_of(df: DataFrame, id_col: str, text_col: str, batch_col: str) -> tup
 
     Ids rise with the batch, so the smallest id of a class lies in its first batch. Null or blank texts, and texts without
     a word of their own, are in neither."""
-    words = df.select(df[id_col].cast("bigint").alias("id"), df[batch_col].cast("bigint").alias("batch"), prompt_words(df[text_col]).alias("words"))
-    words = words.where("id is not null and batch is not null and size(words) > 0")
+    # through a generator, so that the words are worked out once and not again for the filter
+    words = df.where(df[id_col].isNotNull() & df[batch_col].isNotNull()).select(df[id_col].cast("bigint").alias("id"), df[batch_col].cast("bigint").alias("batch"), F.explode(F.array(prompt_words(df[text_col]))).alias("words"))
+    words = words.where("size(words) > 0")
     rows = materialise(words.select("id", "batch", F.xxhash64(F.array_join("words", " ")).alias("class_id"), "words"), "history-rows")
     firsts = rows.groupBy("class_id").agg(F.min("id").alias("first_id"), F.min("batch").alias("first_batch"), F.max("batch").alias("last_batch"))
     own = rows.select("class_id", F.col("id").alias("first_id"), "words").join(firsts, ["class_id", "first_id"])
@@ -88,7 +89,7 @@ def pivot_rows(classes: DataFrame, frequencies: np.ndarray, total: int) -> DataF
                 for hs in b["hashes"]:
                     for h in hs.tolist():
                         if h not in seen:
-                            if len(seen) > 200_000:
+                            if len(seen) > 60_000:
                                 seen.clear()
                             seen[h] = priorities(h)
                     nearest = hs[np.argmin(np.stack([seen[h] for h in hs.tolist()]), axis=0)].reshape(BANDS, ROWS)
