@@ -28,15 +28,17 @@ _BREAKS = "[,.;:!?|\\n\\r\"“”„(){}\\[\\]—–…•<>/\\\\]+|\\s-\\s|\\s-
 
 def phrases(c: Column) -> Column:
     """The distinct phrases of a text: lower case, underscores as spaces, cut at punctuation; windows of a long one."""
-    t = F.translate(F.lower(F.upper(c)), "_‐‑", " --")
-    words = F.filter(F.transform(F.split(t, _BREAKS), lambda p: F.split(F.trim(F.regexp_replace(p, r"\s+", " ")), " ")), lambda w: w[0] != "")
-    whole = F.transform(F.filter(words, lambda w: F.size(w) <= LONG), lambda w: F.array_join(w, " "))
-    cut = F.flatten(
-        F.transform(
-            F.filter(words, lambda w: F.size(w) > LONG),
-            lambda w: F.transform(F.sequence(F.lit(1), F.size(w) - STEP, F.lit(STEP)), lambda i: F.array_join(F.slice(w, i, WINDOW), " ")),
-        )
-    )
+    t = F.regexp_replace(F.translate(F.lower(F.upper(c)), "_‐‑", " --"), _BREAKS, "\u0001")
+    t = F.regexp_replace(F.regexp_replace(t, r"(?U)\s+", " "), " ?\u0001[\u0001 ]*", "\u0001")
+    parts = F.filter(F.split(F.btrim(t, F.lit(" \u0001")), "\u0001"), lambda p: p != "")
+    spaces = lambda p: F.length(p) - F.length(F.replace(p, F.lit(" "), F.lit("")))
+
+    def windows(p: Column) -> Column:
+        w = F.split(p, " ")
+        return F.transform(F.sequence(F.lit(1), F.size(w) - STEP, F.lit(STEP)), lambda i: F.array_join(F.slice(w, i, WINDOW), " "))
+
+    whole = F.filter(parts, lambda p: spaces(p) < LONG)
+    cut = F.flatten(F.transform(F.filter(parts, lambda p: spaces(p) >= LONG), windows))
     return F.array_distinct(F.concat(whole, cut))
 
 
