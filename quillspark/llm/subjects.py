@@ -26,20 +26,21 @@ ROUNDS = 2
 _BREAKS = "[,.;:!?|\\n\\r\"“”„(){}\\[\\]—–…•<>/\\\\]+|\\s-\\s|\\s--"
 
 
-def phrases(c: Column) -> Column:
-    """The distinct phrases of a text: lower case, underscores as spaces, cut at punctuation; windows of a long one."""
-    t = F.regexp_replace(F.translate(F.lower(F.upper(c)), "_‐‑", " --"), _BREAKS, "\u0001")
+def with_phrases(df: DataFrame, text: Column) -> DataFrame:
+    """df with phrases, the distinct phrases of a text: lower case, underscores as spaces, cut at punctuation; windows of a
+    long one. The cut text passes through a generator, as it is used twice and would be worked out twice."""
+    t = F.regexp_replace(F.translate(F.lower(F.upper(text)), "_‐‑", " --"), _BREAKS, "\u0001")
     t = F.regexp_replace(F.regexp_replace(t, r"(?U)\s+", " "), " ?\u0001[\u0001 ]*", "\u0001")
-    parts = F.filter(F.split(F.btrim(t, F.lit(" \u0001")), "\u0001"), lambda p: p != "")
+    b = df.select("*", F.explode(F.array(F.split(F.btrim(t, F.lit(" \u0001")), "\u0001"))).alias("_parts"))
     spaces = lambda p: F.length(p) - F.length(F.replace(p, F.lit(" "), F.lit("")))
 
     def windows(p: Column) -> Column:
         w = F.split(p, " ")
         return F.transform(F.sequence(F.lit(1), F.size(w) - STEP, F.lit(STEP)), lambda i: F.array_join(F.slice(w, i, WINDOW), " "))
 
-    whole = F.filter(parts, lambda p: spaces(p) < LONG)
-    cut = F.flatten(F.transform(F.filter(parts, lambda p: spaces(p) >= LONG), windows))
-    return F.array_distinct(F.concat(whole, cut))
+    whole = F.filter("_parts", lambda p: (p != "") & (spaces(p) < LONG))
+    cut = F.flatten(F.transform(F.filter("_parts", lambda p: spaces(p) >= LONG), windows))
+    return b.select("*", F.array_distinct(F.concat(whole, cut)).alias("phrases")).drop("_parts")
 
 
 def terms(phrase: Column) -> Column:
@@ -70,7 +71,7 @@ def assign(records: DataFrame, labels: DataFrame, id_col: str, text_cols: list[s
     first = records[text_cols[0]]
     text = F.concat_ws("\n", *[records[c] for c in text_cols])
     parsed = materialise(
-        records.where(records[id_col].isNotNull() & first.rlike(r"\S")).select(records[id_col].cast("bigint").alias("record_id"), phrases(text).alias("phrases")),
+        with_phrases(records.where(records[id_col].isNotNull() & first.rlike(r"\S")).select(records[id_col].cast("bigint").alias("record_id"), text.alias("_text")), F.col("_text")).drop("_text"),
         "subjects-phrases",
     )
     given = labels.select(F.col("record_id").cast("bigint").alias("record_id"), F.lower(F.trim("subject")).alias("subject")).where("record_id is not null and subject is not null").distinct()
