@@ -191,7 +191,7 @@ def leaked(doc_words: list[str], doc_starts: list[int], doc: str, items: Items,
     tiles = tiles_of(doc, item, seeds)
     if any(bisect_right(starts, i + n) - 1 - bisect_left(starts, i) >= RUN for _, i, n in tiles):
         return True
-    if len(words) < PASSAGE or sum(n for _, _, n in tiles) < 3 * PASSAGE:
+    if len(words) < PASSAGE or sum(n for _, _, n in tiles) < 2 * PASSAGE:
         return False
     # stretches of tiles near each other in the document, aligned word by word with a margin on both sides
     tiles.sort()
