@@ -93,7 +93,7 @@ def j05(spark, d):
 
 
 _JOBS = "jobs AS (SELECT record_id AS prompt_id, record_id % 8 + 1 AS style_id, CASE record_id % 5 WHEN 0 THEN 'failed' WHEN 1 THEN 'completed' WHEN 2 THEN 'pending' WHEN 3 THEN 'running' ELSE 'skipped' END AS status FROM lexica_cleaned WHERE record_id % 4 = 0)"
-_TARGETS = "targets(style_id, ord) AS (VALUES (1, 0), (2, 1), (3, 2), (4, 3), (5, 4), (7, 5))"
+_TARGETS = "targets(style_id, ord) AS (SELECT CAST(a AS BIGINT), b FROM (VALUES (1, 0), (2, 1), (3, 2), (4, 3), (5, 4), (7, 5)) AS t(a, b))"
 
 
 def _jobs(lib):

@@ -92,13 +92,13 @@ def s16(spark, d):
 _BOOK = "'Intro' || chr(10) || '1. ' || p_brand || chr(10) || 'Prompt sample: \"' || p_name || chr(10) || ' wide\"' || chr(10) || '2. ' || p_type || chr(10) || 'text' || chr(10) || 'Prompt sample: \"dim\"' || chr(10) || 'Prompt sample: \"lit\"'"
 
 
-@R.add("s17_headed_samples", "SELECT p_partkey AS doc_id, n AS num, CASE n WHEN 1 THEN p_brand ELSE p_type END AS title, CASE s WHEN 'a' THEN p_name || ' wide' WHEN 'b' THEN 'dim' ELSE 'lit' END AS sample FROM part, (VALUES (1, 'a'), (2, 'b'), (2, 'c')) AS t(n, s)")
+@R.add("s17_headed_samples", "SELECT p_partkey AS doc_id, CAST(n AS BIGINT) AS num, CASE n WHEN 1 THEN p_brand ELSE p_type END AS title, CASE s WHEN 'a' THEN p_name || ' wide' WHEN 'b' THEN 'dim' ELSE 'lit' END AS sample FROM part, (VALUES (1, 'a'), (2, 'b'), (2, 'c')) AS t(n, s)")
 def s17(spark, d):
     t = F.concat(F.lit("Intro\n1. "), "p_brand", F.lit('\nPrompt sample: "'), "p_name", F.lit('\n wide"\n2. '), "p_type", F.lit('\ntext\nPrompt sample: "dim"\nPrompt sample: "lit"'))
     return P.headed_samples(table(spark, d, "part").select(F.col("p_partkey").alias("doc_id"), t.alias("text")))
 
 
-@R.add("s18_continued_titles", "SELECT p_partkey AS doc_id, n AS num, CASE n WHEN 1 THEN p_brand ELSE p_type END AS title, CASE n WHEN 1 THEN p_name || ' and more' ELSE 'plain' END AS text, CASE n WHEN 1 THEN 'General' ELSE 'Design' END AS category FROM part, (VALUES (1), (2)) AS t(n)")
+@R.add("s18_continued_titles", "SELECT p_partkey AS doc_id, CAST(n AS BIGINT) AS num, CASE n WHEN 1 THEN p_brand ELSE p_type END AS title, CASE n WHEN 1 THEN p_name || ' and more' ELSE 'plain' END AS text, CASE n WHEN 1 THEN 'General' ELSE 'Design' END AS category FROM part, (VALUES (1), (2)) AS t(n)")
 def s18(spark, d):
     t = F.concat(F.lit("note\n#1. "), "p_brand", F.lit(": "), "p_name", F.lit("\n12/44\nand more\nDesign\n#2. "), "p_type", F.lit(": plain"))
     return P.continued_titles(table(spark, d, "part").select(F.col("p_partkey").alias("doc_id"), t.alias("text")), {"Design": "Design", "Photographic": "Photorealistic"})
@@ -238,7 +238,7 @@ def _import(spark, d):
     return files.parse_import(table(spark, d, "part").select(t.alias("value")))
 
 
-@R.add("s03_import_values", f"SELECT 'Part Kind' AS raw_key, CAST(o AS INT) AS ord, CASE o WHEN 0 THEN json_extract_string(value, '$.wildcard_library.\"Part Kind\"[0]') ELSE json_extract_string(value, '$.wildcard_library.\"Part Kind\"[1].value') END AS value, CASE o WHEN 0 THEN 1.0 ELSE 2.5 END AS weight FROM ({_IMPORT}), (VALUES (0), (1)) AS t(o)")
+@R.add("s03_import_values", f"SELECT 'Part Kind' AS raw_key, CAST(o AS INT) AS ord, CASE o WHEN 0 THEN json_extract_string(value, '$.wildcard_library.\"Part Kind\"[0]') ELSE json_extract_string(value, '$.wildcard_library.\"Part Kind\"[1].value') END AS value, CAST(CASE o WHEN 0 THEN 1.0 ELSE 2.5 END AS DOUBLE) AS weight FROM ({_IMPORT}), (VALUES (0), (1)) AS t(o)")
 def s03(spark, d):
     return _import(spark, d)[0]
 
