@@ -11,7 +11,7 @@ from quillspark.session import table
 from quillspark.sources import files
 from quillspark.sources import parsers as P
 
-from . import pipelines
+from . import pipelines, text_queries
 from .fixtures import BASE, Library
 from .registry import Registry
 
@@ -56,7 +56,13 @@ def s07(spark, d):
     return P.structured(_docs(spark, d))
 
 
-@R.add("s08_generator_lines")
+@R.add(
+    "s08_generator_lines",
+    f"""WITH {_DOCS}, l AS (SELECT doc_id, pos, line FROM (SELECT doc_id, unnest(range(len(p))) AS pos, {_STRIP.format('unnest(p)')} AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS p FROM docs)) WHERE line <> '' AND NOT starts_with(line, '#')),
+    k AS (SELECT *, CASE WHEN regexp_matches(line, '(?i)^\\[config\\]') THEN 'c' WHEN regexp_matches(line, '(?i)^\\[prompts\\]') THEN 'p' END AS mark FROM l),
+    s AS (SELECT *, last_value(mark IGNORE NULLS) OVER w AS sec, sum(CASE WHEN mark = 'p' THEN 1 ELSE 0 END) OVER w AS b FROM k WINDOW w AS (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING))
+    SELECT doc_id, CAST(dense_rank() OVER (PARTITION BY doc_id ORDER BY b) - 1 AS INT) AS block, CAST(row_number() OVER (PARTITION BY doc_id, b ORDER BY pos) - 1 AS INT) AS pos, line FROM s WHERE mark IS NULL AND sec = 'p'""",
+)
 def s08(spark, d):
     return P.generator(_docs(spark, d))[1]
 
@@ -72,7 +78,17 @@ def s09(spark, d):
     return f.where(F.size("fields") > 0).select("doc_id", "idx", "concept", F.array_join(F.transform(F.sort_array(F.map_entries("fields")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), "|").alias("fields"))
 
 
-@R.add("s10_inbox_blocks")
+_ENTRY = r"(?i)^[\s\pZ]*(?:(?:prompt[\s\pZ]*)?[0-9]{1,5}[\s\pZ]*[\.):-][\s\pZ]*|prompt[\s\pZ]*[0-9]{0,5}[\s\pZ]*[:.-][\s\pZ]*|/imagine[\s\pZ]+prompt:?[\s\pZ]*)"
+_NORMAL = "trim(regexp_replace(replace(replace(replace(replace(replace(unnest(p), '&amp;', '&'), chr(64257), 'fi'), chr(64258), 'fl'), chr(8212), '-'), chr(8211), '-'), '[\\s\\pZ]+', ' ', 'g'))"
+
+
+@R.add(
+    "s10_inbox_blocks",
+    f"""WITH l AS (SELECT doc_id, pos, line FROM (SELECT doc_id, unnest(range(len(p))) AS pos, {_NORMAL} AS line FROM (SELECT page_id AS doc_id, regexp_split_to_array(original_prompt, '\\r\\n|[\\n\\r]') AS p FROM inbox_pages WHERE original_prompt IS NOT NULL)) WHERE NOT regexp_matches(line, '^[0-9]{{1,4}}$')),
+    s AS (SELECT *, regexp_matches(line, '{_ENTRY}') AS st FROM l), o AS (SELECT *, coalesce(last_value(CASE WHEN st THEN true WHEN line = '' THEN false END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING), false) AS inside FROM s),
+    g AS (SELECT *, sum(CASE WHEN st OR NOT inside THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING) - 1 AS idx FROM o WHERE line <> '')
+    SELECT doc_id, CAST(idx AS INT) AS idx, block FROM (SELECT doc_id, idx, trim(string_agg(CASE WHEN st THEN trim(regexp_replace(line, '{_ENTRY}', '')) ELSE line END, ' ' ORDER BY pos)) AS block FROM g GROUP BY 1, 2) WHERE block <> ''""",
+)
 def s10(spark, d):
     p = table(spark, d, "inbox_pages").where("original_prompt is not null").select(F.col("page_id").alias("doc_id"), F.col("original_prompt").alias("text"))
     return P.inbox_blocks(p)
@@ -207,7 +223,22 @@ def g10(spark, d):
     return r.groupBy(T.detect_style(F.col("original_prompt")).alias("style")).agg(F.count("*").alias("n"))
 
 
-@R.add("g12_pack_ingest")
+def _chain(x: str) -> str:
+    for name, _ in T.clean_steps():
+        x = text_queries._SQL_STEPS[name](x)
+    return x
+
+
+_CLEANED = _chain(r"replace(regexp_replace(original_prompt, '\{([^{}]*)\}', '\1', 'g'), '__', '_')")
+
+
+@R.add(
+    "g12_pack_ingest",
+    f"""WITH r AS (SELECT rejected_id AS idx, 'pack_' || substr(sha1(original_prompt), 1, 16) AS identifier, {_CLEANED} AS cleaned FROM civitai_rejected WHERE original_prompt IS NOT NULL),
+    k AS (SELECT DISTINCT identifier FROM r WHERE idx % 10 = 0), n AS (SELECT r.*, row_number() OVER (PARTITION BY identifier ORDER BY idx) AS nth, identifier IN (SELECT identifier FROM k) AS stored, {_STRIP.format("coalesce(cleaned, '')")} AS t FROM r),
+    v AS (SELECT *, {text_queries._REASON} AS reject_reason FROM n)
+    SELECT idx, identifier, CASE WHEN stored OR nth > 1 THEN 'skipped' WHEN reject_reason IS NOT NULL THEN 'rejected' ELSE 'imported' END AS outcome, reject_reason, cleaned, {text_queries._CONCEPT.format("cleaned")} AS concept FROM v""",
+)
 def g12(spark, d):
     r = table(spark, d, "civitai_rejected").where("original_prompt is not null").select(F.col("rejected_id").alias("idx"), F.col("original_prompt").alias("line"), F.lit("blurry").alias("negative"))
     known = r.where("idx % 10 = 0").select(F.concat(F.lit("pack_"), F.substring(F.sha1("line"), 1, 16)).alias("identifier"))
