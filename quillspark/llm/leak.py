@@ -201,7 +201,8 @@ def leaked(doc_words: list[str], doc_starts: list[int], doc: str, items: Items,
             lo, hi = group[0][0], max(d + n for d, _, n in group)
             first = min(i for _, i, _ in group)
             last = max(i + n for _, i, n in group)
-            if hi - lo >= 2 * PASSAGE:
+            # what is right in a passage is mostly in tiles, of which scattered short ones do not make up as much
+            if sum(n for _, _, n in group) >= 2 * PASSAGE:
                 x, y = bisect_right(starts, first) - 1, bisect_left(starts, last)
                 u, v = bisect_right(doc_starts, lo) - 1, bisect_left(doc_starts, hi)
                 margin = PASSAGE - 4
