@@ -38,14 +38,16 @@ _MASK = (1 << 64) - 1
 
 
 def classes_of(df: DataFrame, id_col: str, text_col: str, batch_col: str) -> tuple[DataFrame, DataFrame]:
-    """(rows, classes). Rows: (class_id, id, batch); classes: (class_id, words, first_id, first_batch, last_batch).
+    """(rows, classes). Rows: (class_id, id, batch); classes: (class_id, words, first_id, first_batch, last_batch), words as
+    their 64-bit hashes.
 
     Ids rise with the batch, so the smallest id of a class lies in its first batch. Null or blank texts, and texts without
     a word of their own, are in neither."""
     # through a generator, so that the words are worked out once and not again for the filter
     words = df.where(df[id_col].isNotNull() & df[batch_col].isNotNull()).select(df[id_col].cast("bigint").alias("id"), df[batch_col].cast("bigint").alias("batch"), F.explode(F.array(prompt_words(df[text_col]))).alias("words"))
     words = words.where("size(words) > 0")
-    rows = materialise(words.select("id", "batch", F.xxhash64(F.array_join("words", " ")).alias("class_id"), "words"), "history-rows")
+    hashes = F.transform("words", lambda w: F.xxhash64(w)).alias("words")
+    rows = materialise(words.select("id", "batch", F.xxhash64(F.array_join("words", " ")).alias("class_id"), hashes), "history-rows")
     firsts = rows.groupBy("class_id").agg(F.min("id").alias("first_id"), F.min("batch").alias("first_batch"), F.max("batch").alias("last_batch"))
     own = rows.select("class_id", F.col("id").alias("first_id"), "words").join(firsts, ["class_id", "first_id"])
     return rows.select("class_id", "id", "batch"), own
@@ -55,7 +57,7 @@ def word_frequencies(classes: DataFrame) -> np.ndarray:
     """How many classes hold a word of each hash bucket: a table of fixed size, whatever the data."""
     counts = (
         classes.select(F.explode("words").alias("w"))
-        .groupBy(F.pmod(F.xxhash64("w"), F.lit(BUCKETS)).alias("b"))
+        .groupBy(F.pmod("w", F.lit(BUCKETS)).alias("b"))
         .count()
     )
     out = np.zeros(BUCKETS, np.int64)
@@ -103,7 +105,7 @@ def pivot_rows(classes: DataFrame, frequencies: np.ndarray, total: int) -> DataF
             b["size"], b["keys"], b["low"], b["high"] = [len(x) for x in b["hashes"]], keys, low, high
             yield b.drop(columns="hashes")
 
-    hashed = classes.select("class_id", "first_id", "first_batch", "last_batch", F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"))
+    hashed = classes.select("class_id", "first_id", "first_batch", "last_batch", F.col("words").alias("hashes"))
     return hashed.mapInPandas(rows, "class_id bigint, first_id bigint, first_batch bigint, last_batch bigint, size int, keys array<bigint>, low bigint, high bigint")
 
 
