@@ -109,3 +109,40 @@ def test_streaming_ingest_is_idempotent(spark, tmp_path):
     (src / "b.txt").write_text("a fine old picture of hills\nanother picture of the sea\n")
     ingest.ingest(spark, str(src), out, ck, "s")
     assert rows(spark.read.parquet(out), "cleaned") == [("a fine old picture of hills",), ("another picture of the sea",)]
+
+
+def test_chunks_on_disk(spark, tmp_path):
+    rows_ = spark.createDataFrame([(g, i, "x") for g, n in (("a", 7), ("b", 2)) for i in range(n)], "slug string, number int, t string")
+    pipelines.write_chunks(rows_, str(tmp_path / "c"), "slug", "number", 3)
+    got = spark.read.json(str(tmp_path / "c"))
+    assert rows(got.groupBy("slug", "part").count(), "slug", "part", "count") == [("a", 1, 3), ("a", 2, 3), ("a", 3, 1), ("b", 1, 2)]
+    pipelines.write_chunks(rows_.where("slug = 'b'"), str(tmp_path / "c"), "slug", "number", 3)
+    assert spark.read.json(str(tmp_path / "c")).count() == 2  # stale parts are gone
+
+
+def test_inbox_entries(spark):
+    text = "1. A wide landscape painting, low light over hills\n\nA wide  landscape painting, low light over hills\n2. studio portrait photo, (:1.2)\nplain words only here\n3. Copyright page of the portrait book, all rights reserved"
+    d = spark.createDataFrame([(1, "book", text), (2, "none", "nothing here")], "doc_id bigint, slug string, text string")
+    e = pipelines.inbox_entries(d)
+    assert rows(e, "idx", "outcome", "identifier") == [(0, "accepted", "book_00000"), (2, "accepted", "book_00001")]
+    assert rows(pipelines.inbox_manifest(d, e), "slug", "prompts", "rejected", "chunks") == [("book", 2, 0, 1), ("none", 0, 0, 0)]
+
+
+def test_event_windows_as_a_stream(spark, tmp_path):
+    src = tmp_path / "ev"
+    spark.sql("select timestamp'2025-01-01 00:10:00' as ts, 'view' as event_type, 1.0D as value union all select timestamp'2025-01-01 00:50:00', 'view', 2.0D union all select timestamp'2025-01-01 03:00:00', 'view', 4.0D").write.parquet(str(src))
+    s = spark.readStream.schema("ts timestamp, event_type string, value double").parquet(str(src))
+    q = ingest.windowed_counts(s).writeStream.format("memory").queryName("w").outputMode("complete").trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert [(r["n"], r["total"]) for r in spark.table("w").orderBy("start").collect()] == [(2, 3.0), (1, 4.0)]
+
+
+def test_catalog_views_and_snapshots(spark, tmp_path):
+    c = Catalog(spark, str(tmp_path / "lib"))
+    c.initialise()
+    old = c.load("prompt_sets")
+    c.save("prompt_sets", spark.createDataFrame([(1, "s", "active")], "id bigint, name string, status string"))
+    c.views()
+    assert spark.sql("select name from prompt_sets").collect()[0][0] == "s" and old.count() == 0
+    c.reset()
+    assert c.load("prompt_sets").count() == 0
