@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillspark.functions.scoring import DOMAINS, SET_NAMES
+from quillspark.session import materialise
 
 # Similarity in the first and the second pass.
 STRICT, RELAXED = 0.72, 0.86
@@ -91,11 +92,21 @@ def build_sets(pool: DataFrame, target: int, special: int) -> DataFrame:
 
 
 def similar_pairs(pool: DataFrame, threshold: float = STRICT) -> DataFrame:
-    """(domain, a, b, similarity) of rows of a bounded pool, within a domain, at least so alike."""
+    """(domain, a, b, similarity) of rows of a bounded pool, within a domain, at least so alike; the threshold is above 0.
+
+    Two sets that alike share so much of the larger that one of the rarest words of each, as many as it could miss and
+    one more, is common to both: pairs meet by these, none is lost, and each is verified on all words."""
+    pool = materialise(pool.select("domain", "record_id", "rank", "signature"), "similar-pool")
+    words = pool.select("domain", "rank", F.size("signature").alias("size"), F.explode("signature").alias("word"))
+    rarity = words.groupBy("domain", "word").agg(F.count("*").alias("n"))
+    nth = F.row_number().over(W.partitionBy("domain", "rank").orderBy("n", "word"))
+    rare = words.join(rarity, ["domain", "word"]).withColumn("nth", nth).where(F.col("nth") <= F.col("size") - F.ceil(F.col("size") * threshold - 1e-9) + 1)
+    ra, rb = (rare.select("domain", "word", F.col("rank").alias(r)) for r in ("ra", "rb"))
+    met = ra.join(rb, ["domain", "word"]).where("ra < rb").select("domain", "ra", "rb").distinct()
     a = pool.select("domain", F.col("record_id").alias("a"), F.col("signature").alias("sa"), F.col("rank").alias("ra"))
     b = pool.select("domain", F.col("record_id").alias("b"), F.col("signature").alias("sb"), F.col("rank").alias("rb"))
     shared = F.size(F.array_intersect("sa", "sb"))
-    j = a.join(b, "domain").where("ra < rb").withColumn("similarity", F.when((F.size("sa") == 0) | (F.size("sb") == 0), 0.0).otherwise(shared / (F.size("sa") + F.size("sb") - shared)))
+    j = met.join(a, ["domain", "ra"]).join(b, ["domain", "rb"]).withColumn("similarity", shared / (F.size("sa") + F.size("sb") - shared))
     return j.where(F.col("similarity") >= threshold).select("domain", "a", "b", "similarity")
 
 

@@ -455,6 +455,11 @@ def j14(spark, d):
     return evalset.similar_pairs(_pool(spark, d, 200)).select("domain", "a", "b", F.round("similarity", 6).alias("similarity"))
 
 
+@R.add("j14_pool_pairs")
+def j14_pool(spark, d):
+    return evalset.similar_pairs(_pool(spark, d, 2500)).select("domain", "a", "b", F.round("similarity", 6).alias("similarity"))
+
+
 @R.add("m06_jaccard", f"""SELECT record_id, CASE WHEN len(a) = 0 OR len(b) = 0 THEN 0.0 ELSE round(len(list_intersect(a, b)) / CAST(len(list_distinct(list_concat(a, b))) AS DOUBLE), 6) END AS similarity FROM
  (SELECT record_id, list_distinct(regexp_extract_all(lower(coalesce(original_prompt, '')), '[a-z0-9][a-z0-9_-]*')) AS a, list_distinct(regexp_extract_all(lower(coalesce(positive_template, '')), '[a-z0-9][a-z0-9_-]*')) AS b FROM lexica_cleaned)""")
 def m06(spark, d):

@@ -116,6 +116,28 @@ def test_sets(spark):
     assert evalset.diverse(df, 4).groupBy("domain").count().collect()[0][1] == 4
 
 
+def test_similar_pairs_of_the_whole_pool_equal_brute_force(spark, monkeypatch):
+    from quillspark.plans import relational_queries as Q
+
+    rng = random.Random(14)
+    seen = []
+    for i in range(2600):  # every pair of neighbours is alike, those of rank 201 to 2,500 too; some signatures are empty
+        base = seen[-1][:] if i % 2 else [f"w{rng.randrange(4000)}" for _ in range(rng.choice([0, 1, 5, 18, 25]))]
+        seen.append(base[: max(1, len(base) * rng.choice([72, 80, 100]) // 100)] if i % 2 else sorted(set(base)))
+    data = [(i, "photography", 1000.0 - i // 7, 9, ["x"], s) for i, s in enumerate(seen)]
+    data += [(3000 + i, "cgi-render", 50.0, 9, ["x"], s) for i, s in enumerate(seen[:30])]
+    df = spark.createDataFrame(data, "record_id bigint, domain string, score double, n_tokens int, tags array<string>, signature array<string>")
+    monkeypatch.setattr(Q, "scored", lambda spark, d: df)
+    pool = [r for r in data if r[0] < 2500 or r[0] >= 3000]
+    sets = {r[0]: set(r[5]) for r in pool}
+    want = []
+    for x, a in enumerate(pool):
+        for b in pool[x + 1 :]:
+            if a[1] == b[1] and (s := evalset._alike(sets[a[0]], sets[b[0]])) >= evalset.STRICT:
+                want.append((a[1], a[0], b[0], round(s, 6)))
+    assert rows(Q.R.queries["j14_pool_pairs"](spark, "")) == sorted(want) and sum(w[1] > 200 for w in want) > 500
+
+
 def test_rewriting_literals(spark):
     w = mining.Rewriter([("storm light", "other"), ("storm light", "lighting"), ("rim light", "lighting"), ("soft rim light", "lighting"), ("cat", "animal"), ("bad hands", "style_negative")])
     # neighbouring hits of one key become one; of two keys with the same value the later holds; single words stay
