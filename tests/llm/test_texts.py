@@ -29,6 +29,13 @@ def test_misread_words():
     assert x.segments("warmlight") == ["warm", "light"] and x.segments("afterwards") is None
 
 
+def test_frequent_misread_forms_do_not_pass():
+    for times in (1, 100, 10_000):  # the same text over and over
+        x = scan.Lexicon({"prompt": 30 * 24 * times, "first": 400 * times, "prompf": 24 * times, "light": 300 * times, "old": 900 * times})
+        defects, lines = scan.decode("The prompf, (prompf old light first prompf", "", x)
+        assert defects == [("char_error", "prompt")] and lines == [("The prompt, (prompt old light first prompt", False)]
+
+
 def test_page_is_decoded():
     page = "CHAPTER 2 MOOD OF KOLTAS | 14\r\nReaders aftcrwards desc-\r\n[15]\r\nribe the three-\r\nquarter view. ISO 100\n9:9\n\nxiv\nA BOOK OF LlGHT".replace("LlGHT", "LIGHT")
     defects, lines = scan.decode(page, scan.title_of("inbox/A Book of Light.txt"), _lexicon())
