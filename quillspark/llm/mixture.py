@@ -56,13 +56,13 @@ def sainte_lague(weights: np.ndarray, caps: np.ndarray, seats: int) -> np.ndarra
 
 
 def with_tokens(docs: DataFrame, id_col: str, text_col: str, source_col: str, ranks: str = RANKS_FILE) -> DataFrame:
-    """(doc_id, source, tokens) of every document with an id, a source and at least one token."""
+    """(doc_id, source, tokens) of every document with at least one token; without an id or a source these are null."""
     @F.pandas_udf("bigint")
     def sizes(texts: pd.Series) -> pd.Series:
         return pd.Series([count(t, ranks) for t in texts], dtype="int64")
 
     d = docs.select(docs[id_col].cast("bigint").alias("doc_id"), source_name(docs[source_col]).alias("source"), docs[text_col].alias("t"))
-    d = d.where("doc_id is not null and source is not null and t is not null and t <> ''")
+    d = d.where("t is not null and t <> ''")
     return d.select("doc_id", "source", sizes("t").alias("tokens")).where("tokens > 0")
 
 
@@ -96,11 +96,13 @@ def apportion(docs: DataFrame, targets: DataFrame, seed: int = 7, id_col: str =
     A source without documents, with a share of 0 or null, or with no repeats allowed gets nothing and its blocks go to
     the others; a mix whose sources cannot fill its size is as large as they allow. Spellings of a source count as one;
     repeated target rows of a source are added up (the least of their repeats holds). Ids are taken as unique."""
-    sized = materialise(with_tokens(docs, id_col, text_col, source_col, ranks), "mixture-sizes")
+    everything = materialise(with_tokens(docs, id_col, text_col, source_col, ranks), "mixture-sizes")
+    sized = everything.where("doc_id is not null and source is not null")
     t = targets.select("mix_name", source_name(targets["source"]).alias("source"), F.col("target_share").cast("double").alias("target_share"), F.col("max_repeats").cast("int").alias("max_repeats"), F.col("size_ratio").cast("double").alias("size_ratio"))
     t = t.where("mix_name is not null and source is not null").groupBy("mix_name", "source").agg(F.sum("target_share").alias("target_share"), F.min("max_repeats").alias("max_repeats"), F.max("size_ratio").alias("size_ratio"))
     supply = sized.groupBy("source").agg(F.sum("tokens").alias("supply"))
-    total = supply.agg(F.coalesce(F.sum("supply"), F.lit(0)).alias("total"))
+    # a mix is a multiple of the tokens of all documents, those that cannot be drawn for want of a source or id included
+    total = everything.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("total"))
     ratio = W.partitionBy("mix_name")
     asked = t.join(supply, "source", "left").crossJoin(F.broadcast(total)).withColumn("size_ratio", F.coalesce(F.max("size_ratio").over(ratio), F.lit(0.0)))
     quotas = asked.groupBy("mix_name").applyInPandas(_per_mix, "mix_name string, source string, target_share double, max_repeats int, seats bigint, quota bigint")

@@ -212,3 +212,15 @@ def test_mix_reaches_its_shares(spark):
     assert again == c
     none, empty = mixture.apportion(df.where("false"), t)
     assert none.count() == 0 and empty.count() == 6 and mixture.apportion(df, t.where("false"))[1].count() == 0
+
+
+def test_mix_size_counts_documents_without_a_source(spark):
+    docs = [(i, "word " * 300, s) for i, s in enumerate(["big"] * 60 + [None] * 30 + [" "] * 10)] + [(None, "word " * 300, "big"), (200, None, None), (201, "", "big")]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string, source string")
+    t = spark.createDataFrame([("m", "big", 1.0, 3, 0.5)], "mix_name string, source string, target_share double, max_repeats int, size_ratio double")
+    chosen, shares = mixture.apportion(df, t)
+    tokens = mixture.count("word " * 300)
+    wanted = round(0.5 * 101 * tokens / mixture.BLOCK) * mixture.BLOCK
+    s = shares.first()
+    assert s["mix_tokens_wanted"] == wanted and abs(s["tokens"] - wanted) <= tokens
+    assert {r[0] for r in chosen.select("doc_id").collect()} <= set(range(60))
