@@ -191,7 +191,7 @@ def leaked(doc_words: list[str], doc_starts: list[int], doc: str, items: Items,
     tiles = tiles_of(doc, item, seeds)
     if any(bisect_right(starts, i + n) - 1 - bisect_left(starts, i) >= RUN for _, i, n in tiles):
         return True
-    if len(words) < PASSAGE or sum(n for _, _, n in tiles) < 2 * PASSAGE:
+    if len(words) < PASSAGE:
         return False
     # stretches of tiles near each other in the document, aligned word by word with a margin on both sides
     tiles.sort()
@@ -201,16 +201,17 @@ def leaked(doc_words: list[str], doc_starts: list[int], doc: str, items: Items,
             lo, hi = group[0][0], max(d + n for d, _, n in group)
             first = min(i for _, i, _ in group)
             last = max(i + n for _, i, n in group)
-            # what is right in a passage is mostly in tiles, of which scattered short ones do not make up as much
-            if sum(n for _, _, n in group) >= 2 * PASSAGE:
-                x, y = bisect_right(starts, first) - 1, bisect_left(starts, last)
-                u, v = bisect_right(doc_starts, lo) - 1, bisect_left(doc_starts, hi)
-                margin = PASSAGE - 4
-                a = words[max(0, x - margin) : y + margin]
-                b = doc_words[max(0, u - margin - 2) : v + margin + 2]
-                # free ends: words of the document beside the passage cost nothing
-                if _passage(_align(a, b)):
-                    return True
+            x, y = bisect_right(starts, first) - 1, bisect_left(starts, last)
+            u, v = bisect_right(doc_starts, lo) - 1, bisect_left(doc_starts, hi)
+            # the passage may have its only tile at either end
+            margin = PASSAGE - 1
+            a = words[max(0, x - margin) : y + margin]
+            b = doc_words[max(0, u - margin - 2) : v + margin + 2]
+            # so many words of the item must be right, which is quickly seen; then free ends: words of the document beside
+            # the passage cost nothing
+            there = {*b, *map("".join, zip(b, b[1:]))}
+            if sum(w in there for w in a) >= PASSAGE - PASSAGE // ONE_IN and _passage(_align(a, b)):
+                return True
             group = []
         if t is not None:
             group.append(t)

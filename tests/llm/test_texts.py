@@ -195,6 +195,21 @@ def test_leaks_by_rule(spark):
     assert leak.leaks(df.where("false"), it).count() == 0 and leak.leaks(df, it.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("flip", [False, True])
+def test_a_passage_of_short_right_runs_leaks(spark, flip):
+    # right runs of 10, 8, 10 and 34 letters: only the last holds a seed, at one end of the passage
+    runs = ["abc de fgh ij", "kl mn op qr", "stu vw xyz ab", "quarrelsomely brightening harbours"]
+    item, doc = [], []
+    for k, r in enumerate(runs):
+        item += r.split() + ["wrong"] * (k < 3)
+        doc += r.split() + ["9999"] * (k < 3)
+    assert len(item) == 18
+    put = lambda w, x: " ".join([x] * 20 + (w[::-1] if flip else w) + [x] * 20)
+    items = spark.createDataFrame([(1, put(item, "mmm"))], "item_id bigint, text string")
+    docs = [(1, put(doc, "77")), (2, put(["8888", *doc[1:]], "77"))]  # the second has a fourth error
+    assert rows(leak.leaks(spark.createDataFrame(docs, "doc_id bigint, text string"), items)) == [(1, 1)]
+
+
 def test_common_sentences_do_not_count(spark):
     rng = random.Random(12)
     opening = "Write one long picture prompt for the old scene that stands below here."
