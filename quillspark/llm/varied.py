@@ -22,9 +22,8 @@ from pyspark.sql import functions as F
 
 from quillspark.session import materialise
 
-#: Length of a vector; records of a partition; swaps tried before a search ends even if it still gains.
+#: Length of a vector; records of a partition.
 DIMENSIONS, PARTITION = 256, 4_000
-MOST_SWAPS = 20_000
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -65,34 +64,48 @@ def _distances(v: np.ndarray, to: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(2 - 2 * (v @ to.T), 0))
 
 
-def local_search(v: np.ndarray, ids: np.ndarray, k: int, most: int = MOST_SWAPS) -> tuple[np.ndarray, float, float]:
-    """(indices, total distance before, after): from the farthest-first choice of k rows, the best swap of a selected
-    with an unselected row is made while it increases the total pairwise distance."""
+def local_search(v: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, float, float]:
+    """(indices, total distance before, after): from the farthest-first choice of k rows, a swap of a selected with an
+    unselected row is made while any increases the total pairwise distance."""
     k = min(k, len(v))
     if k <= 0:
         return np.zeros(0, int), 0.0, 0.0
     chosen = _farthest_first(v, ids, k)
     inside = np.zeros(len(v), bool)
     inside[chosen] = True
-    # each row's total distance to the selection
-    total = np.concatenate([_distances(v[lo : lo + 2000], v[inside]).sum(1, dtype=np.float64) for lo in range(0, len(v), 2000)])
-    before = float(total[inside].sum() / 2)
+    # in double precision, so that rounding stays far below the least gain and no swap is made back and forth
+    v = v.astype(np.float64)
+    norms = np.linalg.norm(v, axis=1, keepdims=True)
+    v /= np.where(norms > 0, norms, 1)
+    # each row's total distance to the selection, in which a selected row counts its distance to itself too
+    total = np.concatenate([_distances(v[lo : lo + 2000], v[inside]).sum(1) for lo in range(0, len(v), 2000)])
+    own = np.sqrt(np.maximum(2 - 2 * (v * v).sum(1), 0))
+
+    def best(outs: np.ndarray, ins: np.ndarray) -> tuple[float, int, int]:
+        top = (-np.inf, -1, -1)
+        for lo in range(0, len(outs), 256):
+            part = outs[lo : lo + 256]
+            gain = total[ins][None, :] - (total - own)[part][:, None] - _distances(v[part], v[ins])
+            a, b = np.unravel_index(int(np.argmax(gain)), gain.shape)
+            if gain[a, b] > top[0]:
+                top = (float(gain[a, b]), int(part[a]), int(ins[b]))
+        return top
+
+    before = float((total - own)[inside].sum() / 2)
     sum_now = before
-    for _ in range(most):
-        if k == len(v):
+    while k < len(v):
+        outs, ins = np.flatnonzero(inside), np.flatnonzero(~inside)
+        outs = outs[np.argsort((total - own)[outs], kind="stable")]
+        ins = ins[np.argsort(-total[ins], kind="stable")]
+        least = 1e-6 * max(1.0, sum_now)
+        # the least useful selected rows against the most useful others, and all pairs if none of these gains
+        gain, out, new = best(outs[:32], ins[:64])
+        if gain <= least:
+            gain, out, new = best(outs, ins)
+        if gain <= least:
             break
-        # the least useful selected rows against the most useful others
-        outs = np.flatnonzero(inside)
-        outs = outs[np.argsort(total[outs], kind="stable")[:32]]
-        ins = np.flatnonzero(~inside)
-        ins = ins[np.argsort(-total[ins], kind="stable")[:64]]
-        gain = total[ins][None, :] - total[outs][:, None] - _distances(v[outs], v[ins])
-        a, b = np.unravel_index(int(np.argmax(gain)), gain.shape)
-        if gain[a, b] <= 1e-6 * max(1.0, sum_now):
-            break
-        out, new = outs[a], ins[b]
         inside[out], inside[new] = False, True
-        sum_now += float(gain[a, b])
+        sum_now += gain
         total += _distances(v, v[[new]])[:, 0] - _distances(v, v[[out]])[:, 0]
     picked = np.flatnonzero(inside)
     return picked[np.argsort(ids[picked], kind="stable")], before, sum_now

@@ -157,6 +157,19 @@ def test_local_search_ends_where_no_swap_gains():
     assert best >= 0
 
 
+def test_local_search_ends_only_when_no_pair_gains():
+    for seed in range(6):  # near copies: the best swap is often of two rows close to each other, on no shortlist
+        rng = np.random.default_rng(seed)
+        base = rng.normal(size=(300, 16)).astype(np.float32)
+        v = np.concatenate([base, base + 0.15 * rng.normal(size=base.shape).astype(np.float32)])
+        v /= np.linalg.norm(v, axis=1, keepdims=True)
+        at, _, after = varied.local_search(v, np.arange(len(v)), 150)
+        d = varied._distances(v.astype(np.float64), v.astype(np.float64))
+        np.fill_diagonal(d, 0)
+        total, rest = d[:, at].sum(1), np.setdiff1d(np.arange(len(v)), at)
+        assert (total[rest][None, :] - total[at][:, None] - d[np.ix_(at, rest)]).max() <= 1.1e-6 * after
+
+
 def test_sets_are_filled_and_groups_do_not_dominate(spark):
     rng = random.Random(4)
     data = [(i, f"same motif here {rng.choice(WORDS)} {rng.choice(WORDS)}", "m") for i in range(900)] + [(900 + i, " ".join(rng.sample(WORDS, 8)), f"c{i}") for i in range(300)]
