@@ -253,10 +253,13 @@ TEXTS = [
 @pytest.mark.parametrize("most,overlap", [(64, 8), (128, 16), (40, 0), (16, 100), (8, 0)])
 def test_pieces_make_up_the_text(spark, most, overlap):
     df = spark.createDataFrame([(i, t, 7, "z") for i, t in enumerate(TEXTS)] + [(None, "x " * 999, 7, "z"), (99, None, 7, "z")], "doc_id bigint, text string, n int, marks string")
-    lim = spark.createDataFrame([("l", most, overlap), ("l", most, overlap), (None, 5, 0), ("bad", None, 0), ("one", 7, 0)], "limit_name string, max_tokens int, overlap_tokens int")
+    lim = spark.createDataFrame([("l", most, overlap), ("l", most, overlap), (None, 5, 0), ("bad", None, 0), ("least", 4, 2)], "limit_name string, max_tokens int, overlap_tokens int")
     by: dict[int, list] = {}
-    for r in split.pieces(df, lim).orderBy("doc_id", "piece_no").collect():
-        by.setdefault(r["doc_id"], []).append(r)
+    got = split.pieces(df, lim).orderBy("doc_id", "piece_no").collect()
+    assert {r["limit_name"] for r in got} == {"l", "least"} and max(r["tokens"] for r in got if r["limit_name"] == "least") <= 4
+    for r in got:
+        if r["limit_name"] == "l":
+            by.setdefault(r["doc_id"], []).append(r)
     assert set(by) == {i for i, t in enumerate(TEXTS) if len(encoder().encode_ordinary(t)) > most}
     for i, ps in by.items():
         at = 0
@@ -267,6 +270,32 @@ def test_pieces_make_up_the_text(spark, most, overlap):
         assert at == len(TEXTS[i])
 
 
+def test_limits_that_cannot_be_kept_raise(spark):
+    lim = spark.createDataFrame([("tiny", 3, 0)], "limit_name string, max_tokens int, overlap_tokens int")
+    with pytest.raises(ValueError):
+        split.limits_of(lim)
+    with pytest.raises(ValueError):
+        split.limits_of(spark.range(split.MOST_LIMITS + 1).selectExpr("cast(id as string) as limit_name", "64 as max_tokens", "0 as overlap_tokens"))
+
+
+def test_time_is_in_proportion_to_length(spark):
+    import time
+
+    lim = spark.createDataFrame([("l", 128, 16)], "limit_name string, max_tokens int, overlap_tokens int")
+    unit = "A sentence of some words, with a clause and é. " * 4_000
+
+    def took(n: int) -> float:
+        df = spark.createDataFrame([(1, unit * n)], "doc_id bigint, text string")
+        began = time.time()
+        total = split.pieces(df, lim).selectExpr("sum(end - start - overlap_chars)").first()[0]
+        assert total == len(unit) * n
+        return time.time() - began
+
+    took(1)
+    small, large = took(10), took(100)
+    assert large < 25 * max(small, 0.5), (small, large)
+
+
 def test_boundaries_are_natural(spark):
     t = "\n\n".join(["One two three four five. Six seven eight nine ten. "] * 60)
     df = spark.createDataFrame([(1, t)], "doc_id bigint, text string")
