@@ -1,4 +1,4 @@
-"""A library of stored tables: a folder with one parquet snapshot a table, replaced as a whole."""
+"""A library of stored tables: a folder a table, with parquet parts that are added to or replaced as a whole."""
 
 from __future__ import annotations
 
@@ -11,8 +11,8 @@ from .schema import TABLES
 
 
 class Catalog:
-    """Snapshots live in <root>/<table>/<version>; a small pointer file names the current one, so readers of an old snapshot
-    are not disturbed and a failed write changes nothing."""
+    """Parts live in <root>/<table>/<version>; a small pointer file names those that make up the current snapshot, so readers of
+    an old snapshot are not disturbed and a failed write changes nothing."""
 
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark, self.root = spark, root.rstrip("/")
@@ -20,13 +20,13 @@ class Catalog:
         self._path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
-    def _current(self, table: str) -> str | None:
+    def _current(self, table: str) -> list[str] | None:
         p = self._path(f"{self.root}/{table}/_current")
         if not self._fs.exists(p):
             return None
         stream = self._fs.open(p)
         try:
-            return bytes(stream.readAllBytes()).decode()
+            return bytes(stream.readAllBytes()).decode().split()
         finally:
             stream.close()
 
@@ -43,16 +43,26 @@ class Catalog:
 
     def load(self, table: str) -> DataFrame:
         at = self._current(table)
-        return self.spark.createDataFrame([], TABLES[table][0]) if at is None else self.spark.read.schema(TABLES[table][0]).parquet(f"{self.root}/{table}/{at}")
+        return self.spark.createDataFrame([], TABLES[table][0]) if at is None else self.spark.read.schema(TABLES[table][0]).parquet(*[f"{self.root}/{table}/{x}" for x in at])
 
     def save(self, table: str, df: DataFrame) -> None:
         """Stores a snapshot and makes it the current one; columns it lacks are null."""
+        self._point(table, [self._write(table, df)])
+
+    def append(self, table: str, df: DataFrame) -> None:
+        """Adds rows to the current snapshot; what is stored is not written again."""
+        self._point(table, [*(self._current(table) or []), self._write(table, df)])
+
+    def _write(self, table: str, df: DataFrame) -> str:
         at = uuid.uuid4().hex
         empty = self.spark.createDataFrame([], TABLES[table][0])
         empty.unionByName(df.select(*[c for c in df.columns if c in empty.columns]), allowMissingColumns=True).write.parquet(f"{self.root}/{table}/{at}")
+        return at
+
+    def _point(self, table: str, parts: list[str]) -> None:
         stream = self._fs.create(self._path(f"{self.root}/{table}/_current"), True)
         try:
-            stream.write(bytearray(at.encode()))
+            stream.write(bytearray("\n".join(parts).encode()))
         finally:
             stream.close()
 
@@ -66,4 +76,4 @@ class Catalog:
         old = self.load("imports")
         top = old.agg({"id": "max"}).first()[0] or 0
         row = Row(id=top + 1, source_file=source_file, status=status, rows_imported=imported, rows_skipped=skipped, error_log=error, started_at=started, completed_at=datetime.now())
-        self.save("imports", old.unionByName(self.spark.createDataFrame([row], TABLES["imports"][0])))
+        self.append("imports", self.spark.createDataFrame([row], TABLES["imports"][0]))

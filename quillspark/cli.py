@@ -5,6 +5,7 @@ from __future__ import annotations
 import argparse
 import json
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .catalog import Catalog
@@ -25,6 +26,15 @@ def _tables(c: Catalog) -> dict:
     }
 
 
+def _listed(df: DataFrame) -> int:
+    """Prints all rows as JSON lines, a partition at a time, and returns how many."""
+    n = 0
+    for line in df.toJSON().toLocalIterator():
+        print(line)
+        n += 1
+    return n
+
+
 def main(argv: list[str] | None = None) -> int:
     p = argparse.ArgumentParser(prog="quillspark")
     p.add_argument("--root", default="library", help="folder of the stored tables")
@@ -47,39 +57,36 @@ def main(argv: list[str] | None = None) -> int:
     s.add_argument("--set", action="append", default=[], metavar="KEY=VALUE")
     a = p.parse_args(argv)
     c = Catalog(get_spark(), a.root)
-    show = lambda df: print("\n".join(df.toJSON().take(10_000)))
     if a.command in ("init", "reset"):
         (c.initialise if a.command == "init" else c.reset)()
         return 0
     if a.command == "import":
-        show(import_file(c, a.file, a.dry_run)["actions"].groupBy("action").count())
+        _listed(import_file(c, a.file, a.dry_run)["actions"].groupBy("action").count())
         return 0
     t = _tables(c)
     if a.command == "diff":
         values, prompts = import_document(c.spark, a.file)
-        show(library.diff_prompts(prompts, t["prompts"]))
-        show(library.diff_keys(values.select(F.col("raw_key").alias("raw")), t["definitions"]))
+        _listed(library.diff_prompts(prompts, t["prompts"]))
+        _listed(library.diff_keys(values.select(F.col("raw_key").alias("raw")), t["definitions"]))
     elif a.command == "list-prompts":
-        show(library.list_prompts(t["prompts"], a.status))
+        _listed(library.list_prompts(t["prompts"], a.status))
     elif a.command == "list-styles":
-        show(t["profiles"].orderBy("style"))
+        _listed(t["profiles"].orderBy("style"))
     elif a.command == "list-wildcards":
-        show(library.list_wildcards(t["definitions"], t["values"]).orderBy("wildcard_key"))
+        _listed(library.list_wildcards(t["definitions"], t["values"]).orderBy("wildcard_key"))
     elif a.command == "search":
-        show(library.search(t["prompts"], a.query).orderBy("identifier"))
+        _listed(library.search(t["prompts"], a.query).orderBy("identifier"))
     elif a.command == "validate":
         bad = library.unbound_keys(t["templates"], t["bindings"])
-        show(bad)
+        _listed(bad)
         return int(not bad.isEmpty())
     elif a.command == "render":
         one = t["prompts"].where(F.col("identifier") == a.identifier)
         given = dict(x.split("=", 1) for x in a.set)
         out = render.render(one, t["templates"], t["profiles"], t["bindings"], t["definitions"], t["values"], a.seed, a.style, a.all_styles, given)
-        rows = out.toJSON().collect()
-        if not rows:
+        if not _listed(out):
             print(json.dumps({"error": f"no template found for prompt {a.identifier!r}"}))
             return 1
-        print("\n".join(rows))
     return 0
 
 

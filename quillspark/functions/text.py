@@ -27,7 +27,7 @@ BREAK = r"(?U)\bBREAK\b"
 MARKER = r"(?Umd)^(?:ye-pop|ye_pop)\s*"
 NEGATIVE_LINE = r"(?i)^(?:negative prompt|negative prompts)(?U:\s*):"
 LABELS = ["Subject", "Clothing", "Action", "Environment", "Camera", "Lighting", "Objects", "Style Details", "Hair", "Accessories"]
-FIELD = "(?i)^(" + "|".join(LABELS) + r")(?U:\s*):(?U:\s*)(.+)$"
+FIELD = "(?id)^(" + "|".join(LABELS) + r")(?U:\s*):(?U:\s*)(.+)$"
 #: Add-ons with a description that takes their place.
 ADD_ON_TEXT = {"niji3d": "anime 3D render style, cel-shaded anime aesthetic", "edg90hh": "urban streetwear style, edgy fashion"}
 SYNTAX_FAMILIES = ["comma-separated", "everyday-speech", "booru-tags", "enhanced-prompt", "structured-fields", "natural_language", "lisp-like", "pony-booru"]
@@ -236,10 +236,14 @@ CANDIDATES = {
 
 
 def syntax_candidates(c: Column) -> Column:
-    """array<struct<type, text>> of every piece of special syntax."""
+    """array<struct<type, text, start>> of every piece of special syntax; start counts characters from 0."""
 
     def of(name: str, pattern: str) -> Column:
-        return F.transform(F.regexp_extract_all(c, F.lit(pattern), 0), lambda x: F.struct(F.lit(name).alias("type"), x.alias("text")))
+        found, between = F.regexp_extract_all(c, F.lit(pattern), 0), F.split(c, pattern)
+        # what stands between the pieces and the pieces themselves, up to each
+        length = lambda texts, n: F.aggregate(F.slice(texts, 1, n), F.lit(0), lambda acc, x: acc + F.length(x))
+        start = lambda i: length(between, i + 1) + length(found, i)
+        return F.transform(found, lambda x, i: F.struct(F.lit(name).alias("type"), x.alias("text"), start(i).alias("start")))
 
     return F.flatten(F.array(*[of(n, p) for n, p in CANDIDATES.items()]))
 

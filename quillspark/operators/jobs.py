@@ -31,7 +31,7 @@ def missing_cells(prompts: DataFrame, targets: DataFrame, templates: DataFrame,
     for k, s in reversed(list(enumerate(PREFERRED))):
         rank = F.when(F.col("source_style") == s, k).otherwise(rank)
     sources = templates.where("enabled").select("prompt_id", F.col("style_id").alias("source_style_id"), F.col("template_id").alias("source_id"))
-    sources = sources.join(F.broadcast(profiles.select(F.col("style_id").alias("source_style_id"), F.col("style").alias("source_style"))), "source_style_id").withColumn("rank", rank)
+    sources = sources.join(profiles.select(F.col("style_id").alias("source_style_id"), F.col("style").alias("source_style")), "source_style_id").withColumn("rank", rank)
     found = cells.join(sources, "prompt_id").where("source_style_id <> style_id")
     best = found.groupBy("prompt_id", "style_id", "ord").agg(F.min(F.struct("rank", "source_id", "source_style")).alias("b"))
     out = best.select("prompt_id", "style_id", "ord", "b.source_id", "b.source_style")
@@ -43,7 +43,7 @@ def build_tasks(cells: DataFrame, prompts: DataFrame, templates: DataFrame, styl
     description)."""
     s = templates.select(F.col("template_id").alias("source_id"), "positive", "negative")
     p = prompts.select(F.col("id").alias("prompt_id"), "identifier", "concept")
-    b = cells.join(s, "source_id").join(p, "prompt_id").join(F.broadcast(styles), "style_id")
+    b = cells.join(s, "source_id").join(p, "prompt_id").join(styles, "style_id")
     task = F.struct(
         F.lit("rewrite_prompt_style_variant").alias("task"), F.col("identifier").alias("prompt_identifier"), "concept",
         F.struct(F.col("style").alias("identifier"), "syntax_family", F.col("strategy").alias("negative_prompt_strategy"), "description").alias("target_style"),
@@ -54,6 +54,11 @@ def build_tasks(cells: DataFrame, prompts: DataFrame, templates: DataFrame, styl
     return b.select("prompt_id", "style_id", F.to_json(task).alias("task"))
 
 
+def write_tasks(tasks: DataFrame, path: str) -> None:
+    """One JSON file a task, under prompt_id=.../style_id=...; the files of one prompt are written by one task."""
+    tasks.repartition("prompt_id").sortWithinPartitions("prompt_id", "style_id").write.mode("overwrite").partitionBy("prompt_id", "style_id").text(path)
+
+
 def response_error(response: Column, required: Column, allow_drop: bool = False) -> Column:
     """What is wrong with a response (JSON text), null if nothing: not an object, a missing key, a value that is no
     string, placeholders that were not asked for, or asked for and left out."""

@@ -57,7 +57,7 @@ def diff_keys(incoming: DataFrame, definitions: DataFrame) -> DataFrame:
 
 def in_set(prompts: DataFrame, members: DataFrame, sets: DataFrame, name: str) -> DataFrame:
     """Active prompts that are an enabled member of the named set."""
-    m = members.where("enabled").join(F.broadcast(sets.where(F.col("name") == name).select("set_id")), "set_id", "left_semi")
+    m = members.where("enabled").join(sets.where(F.col("name") == name).select("set_id"), "set_id", "left_semi")
     return prompts.where(F.col("status") == "active").join(m.select(F.col("prompt_id").alias("id")), "id", "left_semi")
 
 

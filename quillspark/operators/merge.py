@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quillspark.session import materialise
+
 
 def keep_first(df: DataFrame, keys: list[str], order: list[str | Column]) -> DataFrame:
     """One row for each key, the first in order."""
@@ -28,11 +30,23 @@ def with_ids(new: DataFrame, stored: DataFrame, id_col: str, order: list[str]) -
     """New rows with ids that go on from the largest stored one, in order. The numbering sorts new rows by range and
     counts rows before each partition, so no task holds them all."""
     top = stored.agg(F.coalesce(F.max(id_col), F.lit(0)).alias("_top"))
-    sorted_ = new.orderBy(*order).withColumn("_p", F.spark_partition_id()).withColumn("_k", F.row_number().over(W.partitionBy(F.spark_partition_id()).orderBy(*order)))
-    before = W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)
-    sizes = sorted_.groupBy("_p").agg(F.count("*").alias("_m")).withColumn("_before", F.coalesce(F.sum("_m").over(before), F.lit(0))).drop("_m")
-    joined = sorted_.join(F.broadcast(sizes), "_p").crossJoin(F.broadcast(top))
-    return joined.withColumn(id_col, F.col("_top") + F.col("_before") + F.col("_k")).drop("_p", "_k", "_before", "_top")
+    numbered = number_within(new.withColumn("_all", F.lit(0)), "_all", order, "_k").drop("_all")
+    return numbered.crossJoin(F.broadcast(top)).withColumn(id_col, F.col("_top") + F.col("_k")).drop("_k", "_top")
+
+
+def number_within(rows: DataFrame, group: str, order: list[str | Column], name: str) -> DataFrame:
+    """rows with a column of their number within their group, from 1 in order. No task holds a group: rows are sorted by
+    range once and written, so that both readings number alike, and each range goes on counting where the group's part
+    in the ranges before it ended."""
+    spread = rows.repartitionByRange(F.col(group), *[F.col(c) if isinstance(c, str) else c for c in order]).withColumn("_p", F.spark_partition_id())
+    spread = materialise(spread, "numbered")
+    sizes = spread.groupBy(group, "_p").agg(F.count("*").alias("_n"))
+    # as many rows for a group as it has ranges, not as it has rows
+    before = F.sum("_n").over(W.partitionBy(group).orderBy("_p").rowsBetween(W.unboundedPreceding, -1))
+    sizes = sizes.select(F.col(group).alias("_g"), F.col("_p").alias("_q"), F.coalesce(before, F.lit(0)).alias("_before"))
+    j = spread.join(sizes, F.col(group).eqNullSafe(F.col("_g")) & (F.col("_p") == F.col("_q")))
+    in_range = F.row_number().over(W.partitionBy("_p", group).orderBy(*order))
+    return j.withColumn(name, F.col("_before") + in_range).drop("_p", "_q", "_g", "_before")
 
 
 @dataclass
@@ -75,8 +89,8 @@ def upsert(stored: DataFrame, incoming: DataFrame, key: list[str], compare: list
 def replace_members(members: DataFrame, set_ids: DataFrame, chosen: DataFrame, order: list[str]) -> DataFrame:
     """The members with those of the named sets replaced by chosen (set_id, prompt_id, order...), positions from 1."""
     kept = members.join(set_ids.select("set_id").distinct(), "set_id", "left_anti")
-    position = F.row_number().over(W.partitionBy("set_id").orderBy(*order)).cast("int")
-    return kept.unionByName(chosen.select("set_id", "prompt_id", position.alias("position"), F.lit(True).alias("enabled")))
+    placed = number_within(chosen, "set_id", order, "position")
+    return kept.unionByName(placed.select("set_id", "prompt_id", F.col("position").cast("int").alias("position"), F.lit(True).alias("enabled")))
 
 
 def patch_json(c: Column, path: str, value: Column) -> Column:

@@ -56,27 +56,44 @@ def top_terms(vocab: DataFrame, k: int = 5) -> DataFrame:
 
 def grouped_values(definitions: DataFrame, values: DataFrame) -> DataFrame:
     """(wildcard_key, values): the sorted values of every active definition."""
-    v = values.join(F.broadcast(definitions.where("status = 'active'")), "definition_id")
+    v = values.join(definitions.where("status = 'active'"), "definition_id")
     return v.groupBy("wildcard_key").agg(F.sort_array(F.collect_set("value")).alias("values"))
 
 
 class Rewriter:
     """Replaces values in text by the placeholder of their key, the longest first. Only values of several words take part;
-    of a value in two keys the later key in order holds; neighbouring hits of one key become one."""
+    of a value in two keys the later key in order holds; neighbouring hits of one key become one.
+
+    Values are looked up in a dictionary at the starts of words, by how long values with the same first letters are, so time
+    does not grow with the vocabulary."""
 
     def __init__(self, pairs: list[tuple[str, str]], negative: bool = False) -> None:
         kept = [(v, k) for v, k in pairs if (" " in v or "-" in v) and (negative or k not in NEGATIVE_ONLY)]
-        self.keys = {v.lower(): k for v, k in sorted(kept, key=lambda x: x[1])}
-        longest_first = sorted({v for v, _ in kept}, key=lambda v: (-len(v), v))
-        self.pattern = re.compile(r"\b(?:" + "|".join(map(re.escape, longest_first)) + r")\b", re.I) if kept else None
+        self.keys = {_low(v): k for v, k in sorted(kept, key=lambda x: x[1])}
+        self.lengths: dict[str, list[int]] = {}
+        for v in self.keys:
+            self.lengths.setdefault(v[:3], []).append(len(v))
+        self.lengths = {head: sorted(set(n), reverse=True) for head, n in self.lengths.items()}
+
+    def hits(self, text: str) -> Iterator[tuple[int, int, str]]:
+        """(start, end, key) of the values in a text, leftmost first, of those that begin alike the longest."""
+        low, edges, done = _low(text), [m.start() for m in _EDGE.finditer(text)], 0
+        ends = set(edges)
+        for s in edges:
+            if s < done:
+                continue
+            for n in self.lengths.get(low[s : s + 3], ()):
+                if s + n in ends and (key := self.keys.get(low[s : s + n])):
+                    yield s, s + n, key
+                    done = s + n
+                    break
 
     def __call__(self, text: str | None) -> tuple[str | None, list[str]]:
-        if not text or self.pattern is None:
+        if not text or not self.keys:
             return text, []
         out, used, last, end = [], set(), None, 0
-        for m in self.pattern.finditer(text):
-            between, key = text[end : m.start()], self.keys[m[0].lower()]
-            end = m.end()
+        for s, e, key in self.hits(text):
+            between, end = text[end:s], e
             if key == last and not between.strip():
                 continue
             out += [between, "{" + key + "}"]
@@ -85,16 +102,26 @@ class Rewriter:
         return "".join([*out, text[end:]]), sorted(used)
 
 
-def retrofit(templates: DataFrame, definitions: DataFrame, values: DataFrame, most_values: int = 200_000) -> DataFrame:
-    """(template_id, prompt_id, positive, negative, keys) of templates after rewriting. The vocabulary is one pattern in
-    every worker, so its size is checked: more than most_values values raise an error."""
-    v = values.join(F.broadcast(definitions.where("status = 'active'")), "definition_id").select("value", "wildcard_key").distinct()
+_EDGE = re.compile(r"\b")
+
+
+def _low(text: str) -> str:
+    """Lower case, letter by letter, so that places stay the same."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+
+
+def retrofit(templates: DataFrame, definitions: DataFrame, values: DataFrame, most_values: int = 1_000_000) -> DataFrame:
+    """(template_id, prompt_id, positive, negative, keys) of templates after rewriting. Every worker holds the vocabulary, so
+    its size is checked: more than most_values values raise an error."""
+    v = values.join(definitions.where("status = 'active'"), "definition_id").select("value", "wildcard_key").distinct()
     pairs = sorted((r[0], r[1]) for r in v.limit(most_values + 1).collect())
     if len(pairs) > most_values:
-        raise ValueError(f"more than {most_values} values: mine a smaller vocabulary or rewrite by category")
+        raise ValueError(f"more than {most_values} values: rewrite category by category")
+    shared = templates.sparkSession.sparkContext.broadcast(pairs)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        positive, negative = Rewriter(pairs), Rewriter(pairs, negative=True)
+        positive, negative = Rewriter(shared.value), Rewriter(shared.value, negative=True)
         for b in batches:
             p, n = [positive(t) for t in b["positive"]], [negative(t) for t in b["negative"]]
             yield pd.DataFrame({"template_id": b["template_id"], "prompt_id": b["prompt_id"], "positive": [x for x, _ in p], "negative": [x for x, _ in n], "keys": [sorted({*a, *c}) for (_, a), (_, c) in zip(p, n)]})
@@ -104,5 +131,5 @@ def retrofit(templates: DataFrame, definitions: DataFrame, values: DataFrame, mo
 
 def new_bindings(rewritten: DataFrame, definitions: DataFrame, bindings: DataFrame) -> DataFrame:
     """(prompt_id, definition_id) for keys that rewriting brought in and that are not bound yet."""
-    k = rewritten.select("prompt_id", F.explode("keys").alias("wildcard_key")).distinct().join(F.broadcast(definitions), "wildcard_key")
+    k = rewritten.select("prompt_id", F.explode("keys").alias("wildcard_key")).distinct().join(definitions, "wildcard_key")
     return k.select("prompt_id", "definition_id").join(bindings.select("prompt_id", "definition_id"), ["prompt_id", "definition_id"], "left_anti")

@@ -19,7 +19,7 @@ def choose_values(definitions: DataFrame, values: DataFrame, u: float | Column)
     """(definition_id, wildcard_key, value) chosen for every active definition with values; null weights count as 1, and
     where all weights are 0 there is no choice."""
     active = definitions.where(F.col("status") == "active").select("definition_id", "wildcard_key")
-    v = values.select("definition_id", "value_id", "value", F.coalesce("weight", F.lit(1.0)).alias("weight")).join(F.broadcast(active), "definition_id")
+    v = values.select("definition_id", "value_id", "value", F.coalesce("weight", F.lit(1.0)).alias("weight")).join(active, "definition_id")
     line = W.partitionBy("definition_id").orderBy("value_id")
     whole = line.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     v = v.withColumn("run", F.sum("weight").over(line.rowsBetween(W.unboundedPreceding, 0))).withColumn("total", F.sum("weight").over(whole))
@@ -36,13 +36,13 @@ def render(prompts: DataFrame, templates: DataFrame, profiles: DataFrame, bindin
     with the first syntax family, the smallest template id among equals. Overrides hold for bound keys only. Keys are filled in the order
     of their definitions, the concept last."""
     picked = choose_values(definitions, values, random.Random(seed).random())
-    bound = bindings.join(F.broadcast(picked.select("definition_id", "value")), "definition_id", "left")
+    bound = bindings.join(picked.select("definition_id", "value"), "definition_id", "left")
     if overrides:
         given = F.create_map(*[F.lit(x) for kv in overrides.items() for x in kv])
         bound = bound.withColumn("value", F.coalesce(F.try_element_at(given, F.col("wildcard_key")), "value"))
     entry = F.struct("definition_id", F.col("wildcard_key").alias("key"), "value")
     per_prompt = bound.where("value is not null").groupBy(F.col("prompt_id").alias("id")).agg(F.sort_array(F.collect_list(entry)).alias("entries"))
-    t = templates.join(F.broadcast(profiles), "style_id").select("template_id", F.col("prompt_id").alias("id"), "style", "syntax_family", "positive", "negative", "enabled")
+    t = templates.join(profiles, "style_id").select("template_id", F.col("prompt_id").alias("id"), "style", "syntax_family", "positive", "negative", "enabled")
     if style is not None:
         t = t.where(F.col("style") == style)
     else:

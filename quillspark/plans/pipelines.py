@@ -4,28 +4,28 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillspark.catalog import Catalog
 from quillspark.functions import text as T
-from quillspark.operators.merge import insert_or_ignore, keep_first, upsert, with_ids
+from quillspark.operators.merge import insert_or_ignore, keep_first, number_within, upsert, with_ids
 from quillspark.schema import quarantine
 from quillspark.session import materialise
 from quillspark.sources import parsers as P
 from quillspark.sources.files import import_document
 
 
-def clean_records(records: DataFrame, structured: bool = False) -> DataFrame:
+def clean_records(records: DataFrame, structured: Column | None = None) -> DataFrame:
     """Records (doc_id, idx, raw) with everything the cleaner derives: positive, negative_raw, is_json, cleaned, reject_reason,
-    concept, identifier, variants and flags. One stage without a shuffle; kept and rejected rows are two filters."""
+    concept, identifier, variants and flags; structured says which are labelled records. One stage without a shuffle; kept
+    and rejected rows are two filters."""
     positive, negative = T.split_negative(F.col("raw"))
+    structured = F.lit(False) if structured is None else structured
+    concept, fields = P.fields(F.col("raw"))
     b = records.select("*", positive.alias("positive"), negative.alias("negative_raw")).withColumn("is_json", T.is_json_object(F.col("positive")))
-    if structured:
-        b = b.join(P.fields_of(records).withColumnRenamed("concept", "field_concept"), ["doc_id", "idx"], "left")
-    else:
-        b = b.withColumn("fields", F.create_map().cast("map<string,string>")).withColumn("field_concept", F.lit(None).cast("string"))
+    b = b.withColumn("fields", F.when(structured, fields).otherwise(F.create_map().cast("map<string,string>"))).withColumn("field_concept", F.when(structured, concept))
     has_fields = F.size("fields") > 0
     b = b.withColumn("cleaned", F.when(F.col("is_json") | has_fields, T.strip(F.col("positive"))).otherwise(T.clean_positive(F.col("positive"))))
     concept = F.when(F.col("is_json"), F.lit("structured json prompt")).when(has_fields & (F.col("field_concept") != ""), F.col("field_concept")).otherwise(T.concept(F.col("cleaned")))
@@ -36,13 +36,15 @@ def clean_records(records: DataFrame, structured: bool = False) -> DataFrame:
 
 
 def clean_documents(docs: DataFrame) -> DataFrame:
-    """All documents (doc_id, text) of the three generic formats, each by its detected format."""
-    d = docs.where("text is not null").withColumn("format", P.detect_format(F.col("text")))
+    """All documents (doc_id, text) of the three generic formats, each by its detected format. Documents are read once and
+    nothing is shuffled: format and records are worked out side by side in one projection."""
+    # through a generator, so that the format is worked out once and not again for each use
+    d = docs.where("text is not null").select("doc_id", "text", F.explode(F.array(P.detect_format(F.col("text")))).alias("format"))
+    text, form = F.col("text"), F.col("format")
+    texts = F.when(form == "raw", P.block_texts(text)).when(form == "sectioned", P.section_texts(text)).when(form == "structured", P.record_texts(text))
+    records = d.select("doc_id", "format", F.posexplode(texts).alias("idx", "raw"))
     cols = ["doc_id", "idx", "format", "raw", "cleaned", "negative_raw", "is_json", "reject_reason", "concept", "identifier", "variants"]
-    raw = clean_records(P.blocks(d.where("format = 'raw'"))).withColumn("format", F.lit("raw"))
-    sec = clean_records(P.sectioned(d.where("format = 'sectioned'")).withColumnRenamed("pos", "idx")).withColumn("format", F.lit("sectioned"))
-    fld = clean_records(P.structured(d.where("format = 'structured'")), structured=True).withColumn("format", F.lit("structured"))
-    return raw.select(*cols).unionByName(sec.select(*cols)).unionByName(fld.select(*cols))
+    return clean_records(records, F.col("format") == "structured").select(*cols)
 
 
 def pack_rows(lines: DataFrame, existing: DataFrame, slug: str) -> DataFrame:
@@ -57,6 +59,31 @@ def pack_rows(lines: DataFrame, existing: DataFrame, slug: str) -> DataFrame:
     return b.select("idx", "identifier", outcome.alias("outcome"), reason.alias("reject_reason"), "cleaned", T.concept(F.col("cleaned")).alias("concept"), "negative")
 
 
+def import_pack(catalog: Catalog, lines: DataFrame, slug: str, commit_every: int = 5_000) -> list[tuple[int, int, int]]:
+    """Imports a pack's lines (idx, line, negative) into a catalog, commit_every lines a commit, and returns for each commit
+    made (first idx, imported, not imported). Every commit adds a part to the tables and rewrites none; what is stored
+    already is skipped, so an import that broke off goes on where it stood when it is run again."""
+    lines = materialise(lines.select("idx", "line", "negative"), "pack-lines")
+    done, top = [], lines.agg(F.max("idx")).first()[0]
+    for lo in range(0, (-1 if top is None else top) + 1, commit_every):
+        started, now, stored = datetime.now(), F.current_timestamp(), catalog.load("prompts")
+        rows = materialise(pack_rows(lines.where(F.col("idx").between(lo, lo + commit_every - 1)), stored, slug), "pack-rows")
+        n = {r[0]: r[1] for r in rows.groupBy("outcome").count().collect()}
+        good = rows.where("outcome = 'imported'")
+        if n.get("imported"):
+            prompts = good.select("identifier", "concept", F.lit("draft").alias("status"), F.to_json(F.struct(F.lit(slug).alias("original_source"), F.col("idx").alias("source_index"))).alias("metadata"), "idx", "cleaned", "negative")
+            prompts = materialise(with_ids(prompts, stored, "id", ["idx"]), "pack-prompts")
+            templates = prompts.select(F.col("id").alias("prompt_id"), F.lit(1).cast("bigint").alias("style_profile_id"), F.col("cleaned").alias("positive_template"), F.coalesce("negative", F.lit("")).alias("negative_template"), F.lit(True).alias("enabled"))
+            # prompts last: they say what is stored, so a commit that broke off is made again
+            catalog.append("prompt_templates", with_ids(templates, catalog.load("prompt_templates"), "id", ["prompt_id"]).withColumn("created_at", now).withColumn("updated_at", now))
+            catalog.append("prompts", prompts.withColumn("created_at", now).withColumn("updated_at", now))
+        total = sum(n.values())
+        if n.get("imported"):
+            catalog.ledger(f"{slug}#{lo}", "completed", n["imported"], total - n["imported"], None, started)
+            done.append((lo, n["imported"], total - n["imported"]))
+    return done
+
+
 def inbox_entries(docs: DataFrame) -> DataFrame:
     """(doc_id, idx, block, outcome, identifier, cleaned, reject_reason): blocks that look like prompts, the first of equal ones
     in a document; accepted ones are numbered in order. docs: (doc_id, slug, text)."""
@@ -80,11 +107,15 @@ def inbox_manifest(docs: DataFrame, entries: DataFrame, chunk: int = 500) -> Dat
     return j.select("doc_id", "slug", p.alias("prompts"), F.coalesce("r", F.lit(0)).alias("rejected"), F.ceil(p / chunk).alias("chunks"))
 
 
+def with_parts(rows: DataFrame, group: str, order: str, chunk: int = 500) -> DataFrame:
+    """rows with part: their number, from 1, in groups of chunk rows by order within a group."""
+    n = number_within(rows, group, [order], "_number")
+    return n.withColumn("part", F.floor((F.col("_number") - 1) / chunk) + 1).drop("_number")
+
+
 def write_chunks(rows: DataFrame, path: str, group: str, order: str, chunk: int = 500) -> None:
-    """JSON files with at most chunk rows for each part of a group; stale parts of the path are replaced. Groups are spread over
-    tasks part by part, so a large group is not one task's."""
-    number = F.row_number().over(W.partitionBy(group).orderBy(order)) - 1
-    parts = rows.withColumn("part", F.floor(number / chunk) + 1)
+    """JSON files with at most chunk rows for each part of a group; stale parts of the path are replaced."""
+    parts = with_parts(rows, group, order, chunk)
     parts.repartition(group, "part").sortWithinPartitions(group, "part", order).write.mode("overwrite").partitionBy(group, "part").json(path)
 
 

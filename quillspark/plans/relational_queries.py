@@ -11,6 +11,7 @@ from quillspark.functions import text as T
 from quillspark.operators import evalset, jobs, library, merge, mining, render
 from quillspark.session import table
 
+from . import pipelines
 from .fixtures import BASE, Library
 from .registry import Registry
 from .text_queries import SCORED, scored
@@ -46,13 +47,14 @@ def f04(spark, d):
     return table(spark, d, "lexica_cleaned").where(F.col("identifier").like("gentle_%")).select("record_id", "identifier")
 
 
-_MEMBERS = "members AS (SELECT i % 4 + 1 AS set_id, record_id AS prompt_id, CAST(row_number() OVER (PARTITION BY i % 4 ORDER BY record_id) AS INT) AS position, record_id % 3 <> 0 AS enabled FROM (SELECT record_id, record_id // 10 AS i FROM lexica_cleaned WHERE record_id % 10 = 0))"
+#: Every record is a member of one set, by its source, so one set holds most of them.
+_MEMBERS = "members AS (SELECT CAST(CASE WHEN original_source = 'lexica' THEN 2 WHEN original_source IS NULL THEN 3 WHEN original_source < 'd' THEN 4 ELSE 1 END AS BIGINT) AS set_id, record_id AS prompt_id, source_index AS position, negative_template IS NOT NULL AS enabled FROM lexica_cleaned)"
 
 
 def _members(lib):
-    i = F.floor(F.col("record_id") / 10)
-    m = lib.records.where("record_id % 10 = 0").select((i % 4 + 1).alias("set_id"), F.col("record_id").alias("prompt_id"), (F.col("record_id") % 3 != 0).alias("enabled"))
-    return m.withColumn("position", F.row_number().over(W.partitionBy("set_id").orderBy("prompt_id")))
+    source = F.col("original_source")
+    of = F.when(source == "lexica", 2).when(source.isNull(), 3).when(source < "d", 4).otherwise(1).cast("bigint")
+    return lib.records.select(of.alias("set_id"), F.col("record_id").alias("prompt_id"), F.col("source_index").alias("position"), F.col("negative_template").isNotNull().alias("enabled"))
 
 
 @R.add("f09_in_set", BASE + f", {_MEMBERS} SELECT id, identifier FROM prompts WHERE status = 'active' AND EXISTS (SELECT 1 FROM members m JOIN prompt_sets s ON s.id = m.set_id WHERE m.prompt_id = prompts.id AND m.enabled AND s.name = 'varied_200')")
@@ -92,13 +94,13 @@ def j05(spark, d):
     return lib.templates.where("enabled").join(lib.bindings, "prompt_id", "left_semi").select("template_id")
 
 
-_JOBS = "jobs AS (SELECT record_id AS prompt_id, record_id % 8 + 1 AS style_id, CASE record_id % 5 WHEN 0 THEN 'failed' WHEN 1 THEN 'completed' WHEN 2 THEN 'pending' WHEN 3 THEN 'running' ELSE 'skipped' END AS status FROM lexica_cleaned WHERE record_id % 4 = 0)"
+_JOBS = "jobs AS (SELECT record_id AS prompt_id, record_id % 8 + 1 AS style_id, CASE record_id % 5 WHEN 0 THEN 'failed' WHEN 1 THEN 'completed' WHEN 2 THEN 'pending' WHEN 3 THEN 'running' ELSE 'skipped' END AS status FROM lexica_cleaned)"
 _TARGETS = "targets(style_id, ord) AS (SELECT CAST(a AS BIGINT), b FROM (VALUES (1, 0), (2, 1), (3, 2), (4, 3), (5, 4), (7, 5)) AS t(a, b))"
 
 
 def _jobs(lib):
     s = F.element_at(F.array(*[F.lit(x) for x in ("failed", "completed", "pending", "running", "skipped")]), (F.col("record_id") % 5 + 1).cast("int"))
-    return lib.records.where("record_id % 4 = 0").select(F.col("record_id").alias("prompt_id"), (F.col("record_id") % 8 + 1).alias("style_id"), s.alias("status"))
+    return lib.records.select(F.col("record_id").alias("prompt_id"), (F.col("record_id") % 8 + 1).alias("style_id"), s.alias("status"))
 
 
 def _targets(spark):
@@ -237,8 +239,7 @@ def k03(spark, d):
 
 @R.add("k02_chunk_numbers", "SELECT record_id, (row_number() OVER (PARTITION BY batch_no ORDER BY record_id) - 1) // 10 + 1 AS part FROM lexica_cleaned")
 def k02(spark, d):
-    n = F.row_number().over(W.partitionBy("batch_no").orderBy("record_id")) - 1
-    return table(spark, d, "lexica_cleaned").select("record_id", (F.floor(n / 10) + 1).alias("part"))
+    return pipelines.with_parts(table(spark, d, "lexica_cleaned").select("record_id", "batch_no"), "batch_no", "record_id", 10).select("record_id", "part")
 
 
 @R.add("t01_order_by_key", BASE + "SELECT wildcard_key, status FROM definitions ORDER BY wildcard_key")
@@ -334,19 +335,19 @@ def u05(spark, d):
     return m.versions.select("identifier", "version")
 
 
-@R.add("u06_job_upsert", BASE + f", {_JOBS}, inc AS (SELECT record_id AS prompt_id, record_id % 8 + 1 AS style_id, record_id * 2 AS source_id FROM lexica_cleaned WHERE record_id % 6 = 0) SELECT coalesce(j.prompt_id, i.prompt_id) AS prompt_id, coalesce(j.style_id, i.style_id) AS style_id, coalesce(j.status, 'pending') AS status, i.source_id FROM jobs j FULL JOIN inc i USING (prompt_id, style_id)")
+@R.add("u06_job_upsert", BASE + f", {_JOBS}, inc AS (SELECT record_id AS prompt_id, (record_id + CASE lower(status) WHEN 'draft' THEN 1 ELSE 0 END) % 8 + 1 AS style_id, record_id * 2 AS source_id FROM lexica_cleaned) SELECT coalesce(j.prompt_id, i.prompt_id) AS prompt_id, coalesce(j.style_id, i.style_id) AS style_id, coalesce(j.status, 'pending') AS status, i.source_id FROM jobs j FULL JOIN inc i USING (prompt_id, style_id)")
 def u06(spark, d):
     lib = Library(spark, d)
     stored = _jobs(lib).withColumn("source_id", F.lit(None).cast("bigint"))
-    inc = lib.records.where("record_id % 6 = 0").select(F.col("record_id").alias("prompt_id"), (F.col("record_id") % 8 + 1).alias("style_id"), (F.col("record_id") * 2).alias("source_id"))
+    inc = lib.records.select(F.col("record_id").alias("prompt_id"), ((F.col("record_id") + F.when(F.lower("status") == "draft", 1).otherwise(0)) % 8 + 1).alias("style_id"), (F.col("record_id") * 2).alias("source_id"))
     return merge.upsert_jobs(stored, inc, ["prompt_id", "style_id"], ["source_id"])
 
 
-@R.add("u07_replace_members", BASE + f", {_MEMBERS} SELECT set_id, prompt_id, position, enabled FROM members WHERE set_id <> 2 UNION ALL SELECT 2, id, CAST(row_number() OVER (ORDER BY id DESC) AS INT), true FROM (SELECT id FROM prompts WHERE id % 50 = 0)")
+@R.add("u07_replace_members", BASE + f", {_MEMBERS} SELECT set_id, prompt_id, position, enabled FROM members WHERE set_id <> 2 UNION ALL SELECT 2, id, CAST(row_number() OVER (ORDER BY id DESC) AS INT), true FROM (SELECT id FROM prompts WHERE status = 'active')")
 def u07(spark, d):
     lib = Library(spark, d)
     members = _members(lib).select("set_id", "prompt_id", "position", "enabled")
-    chosen = lib.prompts.where("id % 50 = 0").select(F.lit(2).cast("bigint").alias("set_id"), F.col("id").alias("prompt_id"))
+    chosen = lib.prompts.where("status = 'active'").select(F.lit(2).cast("bigint").alias("set_id"), F.col("id").alias("prompt_id"))
     return merge.replace_members(members, chosen.select("set_id"), chosen, [F.desc("prompt_id")])
 
 
@@ -447,16 +448,11 @@ def _pool(spark, d, k):
 
 
 _POOL = f"""WITH {SCORED}, sig AS (SELECT record_id, list_sort(list_distinct(list_slice(list_filter(regexp_extract_all(lower(coalesce(concept, '') || ' ' || coalesce(positive_template, '')), '[a-z0-9][a-z0-9_-]*'), lambda x: length(x) > 2 AND NOT list_contains({S.STOP_WORDS + S.GENERIC_WORDS}, x)), 1, 80))) AS s FROM lexica_cleaned),
- pool AS (SELECT record_id, domain, s, rank FROM (SELECT record_id, domain, row_number() OVER (PARTITION BY domain ORDER BY score DESC, record_id) AS rank FROM scored WHERE n >= 6 AND score >= 8) JOIN sig USING (record_id) WHERE rank <= 200)"""
+ pool AS (SELECT record_id, domain, s, rank FROM (SELECT record_id, domain, row_number() OVER (PARTITION BY domain ORDER BY score DESC, record_id) AS rank FROM scored WHERE n >= 6 AND score >= 8) JOIN sig USING (record_id) WHERE rank <= 2500)"""
 
 
 @R.add("j14_similar_pairs", _POOL + """ SELECT domain, a, b, similarity FROM (SELECT x.domain, x.record_id AS a, y.record_id AS b, CASE WHEN len(x.s) = 0 OR len(y.s) = 0 THEN 0.0 ELSE round(len(list_intersect(x.s, y.s)) / CAST(len(x.s) + len(y.s) - len(list_intersect(x.s, y.s)) AS DOUBLE), 6) END AS similarity FROM pool x JOIN pool y ON x.domain = y.domain AND x.rank < y.rank) WHERE similarity >= 0.72""")
 def j14(spark, d):
-    return evalset.similar_pairs(_pool(spark, d, 200)).select("domain", "a", "b", F.round("similarity", 6).alias("similarity"))
-
-
-@R.add("j14_pool_pairs")
-def j14_pool(spark, d):
     return evalset.similar_pairs(_pool(spark, d, 2500)).select("domain", "a", "b", F.round("similarity", 6).alias("similarity"))
 
 

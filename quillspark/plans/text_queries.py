@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from quillspark.functions import scoring as S
@@ -239,11 +241,12 @@ _CAND = {
 
 @R.add(
     "n16_syntax_candidates",
-    _RAW + " UNION ALL ".join(f"SELECT record_id, '{n}' AS type, unnest(regexp_extract_all(t, '{p}')) AS text FROM raw" for n, p in _CAND.items()),
+    _RAW.rstrip() + ", f AS (" + " UNION ALL ".join(f"SELECT record_id, '{n}' AS type, regexp_extract_all(t, '{p}') AS hits, regexp_split_to_array(t, '{p}') AS parts FROM raw" for n, p in _CAND.items())
+    + "), g AS (SELECT record_id, type, hits, parts, unnest(range(len(hits))) AS i FROM f) SELECT record_id, type, hits[i + 1] AS text, CAST(list_sum(list_transform(parts[1:i + 1], lambda x: length(x))) + coalesce(list_sum(list_transform(hits[1:i], lambda x: length(x))), 0) AS INT) AS start FROM g",
 )
 def n16(spark, d):
     c = _raw(spark, d).select("record_id", F.explode(T.syntax_candidates(F.col("t"))).alias("c"))
-    return c.select("record_id", "c.type", "c.text")
+    return c.select("record_id", "c.type", "c.text", "c.start")
 
 
 @R.add(
@@ -315,7 +318,25 @@ def f06(spark, d):
     return table(spark, d, "civitai_rejected").select("rejected_id", T.reject_reason(F.col("original_prompt")).alias("reject_reason"))
 
 
-@R.add("f07_looks_like_prompt")
+def _re(pattern: str) -> str:
+    """A pattern of the column functions as RE2 takes it."""
+    return re.sub(r"^\(\?(\w*?)U(\w*)\)", lambda m: f"(?{m[1]}{m[2]})" if m[1] + m[2] else "", pattern).replace(r"\s", _S).replace("'", "''")
+
+
+#: Of a normalised line t.
+LOOKS_LIKE = rf"""(length(t) BETWEEN 30 AND 900 AND NOT regexp_matches(t, '{_re(T._NOT_PROMPT)}') AND NOT regexp_matches(t, '^{_S}*[0-9]+(?:\.[0-9]+)+{_S}+{_W}+') AND NOT regexp_matches(t, '{_re(T._LIST)}')
+ AND NOT (length(t) - length(replace(t, '.', '')) >= 5 AND NOT contains(t, ',') AND NOT contains(t, '--')) AND regexp_matches(t, '\pL') AND regexp_matches(t, '{_re(T._IMAGE)}')
+ AND (contains(t, ',') OR contains(t, '--') OR contains(lower(t), '/imagine') OR regexp_matches(t, '{_re(T._OPENING)}')))"""
+
+
+def normal_line(x: str) -> str:
+    """A line with entities, ligatures and dashes written out and single spaces."""
+    for a, b in (("'&lt;'", "'<'"), ("'&gt;'", "'>'"), ("'&quot;'", "chr(34)"), ("'&#39;'", "chr(39)"), ("'&#x27;'", "chr(39)"), ("'&nbsp;'", "chr(160)"), ("'&amp;'", "'&'"), ("chr(64257)", "'fi'"), ("chr(64258)", "'fl'"), ("chr(8212)", "'-'"), ("chr(8211)", "'-'")):
+        x = f"replace({x}, {a}, {b})"
+    return f"trim(regexp_replace({x}, '{_S}+', ' ', 'g'))"
+
+
+@R.add("f07_looks_like_prompt", f"SELECT record_id, {LOOKS_LIKE} AS is_prompt FROM (SELECT record_id, {normal_line('positive_template')} AS t FROM lexica_cleaned WHERE positive_template IS NOT NULL)")
 def f07(spark, d):
     return table(spark, d, "lexica_cleaned").where("positive_template is not null").select("record_id", T.looks_like_prompt(F.col("positive_template")).alias("is_prompt"))
 

@@ -23,20 +23,38 @@ def get_spark(cores: str = "*", partitions: int = 8, memory: str = "8g") -> Spar
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, from spark.checkpoint.dir; a temporary one only where it is unset (tests)."""
+    """The folder all executors share, from spark.checkpoint.dir; a temporary one where it is unset and the session is local.
+    On a cluster without one this raises: executors would write where neither the driver nor the others can read."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not named:
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir is not set: name a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="quillspark-"))
         named = sc.getCheckpointDir()
     return named.rstrip("/")
 
 
+#: Tables written by materialise() and not yet released.
+_WRITTEN: list[str] = []
+
+
+def release(spark: SparkSession) -> int:
+    """Deletes the tables that materialise() wrote in this process and returns how many. To be called when the results that
+    read them have been written or collected."""
+    jvm, n = spark.sparkContext._jvm, len(_WRITTEN)
+    while _WRITTEN:
+        at = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    return n
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write df as a compressed table in the shared folder and read it back: cuts lineage, is read column by column,
     and survives the loss of any executor."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -90,6 +90,25 @@ def zipped(spark: SparkSession, path: str, member: str | None = None) -> DataFra
     return raw.mapInPandas(run, "source_file string, idx bigint, line string, negative string")
 
 
+def archive(spark: SparkSession, path: str, to: str) -> int:
+    """Moves the files of a folder, once read, into another and returns how many; one that is there already is kept beside
+    it under a numbered name."""
+    jvm = spark.sparkContext._jvm
+    at = lambda p: jvm.org.apache.hadoop.fs.Path(p)
+    fs = at(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(at(to))
+    moved = 0
+    for f in fs.listStatus(at(path)):
+        if f.isFile() and not f.getPath().getName().startswith((".", "_")):
+            name, k = f.getPath().getName(), 0
+            stem, dot, end = name.rpartition(".")
+            while fs.exists(at(f"{to}/{name}")):
+                k += 1
+                name = f"{stem}-{k}{dot}{end}" if dot else f"{end}-{k}"
+            moved += bool(fs.rename(f.getPath(), at(f"{to}/{name}")))
+    return moved
+
+
 def books(spark: SparkSession, path: str) -> DataFrame:
     """(source_file, text, error) of .epub and .pdf files. An .epub is a zip of pages, whose text is taken without markup;
     a .pdf needs a library that may not be there, which is then the row's error."""

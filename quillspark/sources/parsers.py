@@ -31,51 +31,82 @@ def detect_format(c: Column) -> Column:
     )
 
 
-def blocks(docs: DataFrame) -> DataFrame:
-    """(doc_id, idx, raw): the parts between blank lines, idx counting those that are not empty."""
-    b = docs.select("doc_id", F.posexplode(F.split("text", r"(?U)\n\s*\n")).alias("pos", "raw")).withColumn("raw", strip(F.col("raw"))).where("raw <> ''")
-    return b.select("doc_id", (F.row_number().over(W.partitionBy("doc_id").orderBy("pos")) - 1).alias("idx"), "raw")
+#: Blank lines, which part blocks; the platforms whose headers name a section.
+_BLANK, _PLATFORM = r"(?U)\n\s*\n", "^(Midjourney|Nano|Flux)"
 
 
 def _lines(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line")).withColumn("line", strip(F.col("line")))
 
 
+def _full(texts: Column) -> Column:
+    """An array of texts stripped, without empty ones."""
+    return F.filter(F.transform(texts, strip), lambda x: x != "")
+
+
+def _parts(c: Column) -> Column:
+    """What stands before, in and after each `###` header, none empty."""
+    return _full(F.split(F.regexp_replace(F.concat(F.lit("\n"), c), r"(?U)\n###\s+([^\n]+?)\s*\n", "\u0001$1\u0001"), "\u0001"))
+
+
+def block_texts(c: Column) -> Column:
+    """The parts of a text between blank lines."""
+    return _full(F.split(c, _BLANK))
+
+
+def section_texts(c: Column) -> Column:
+    """The blocks of all sections of a text, in order."""
+    return F.flatten(F.transform(F.filter(_parts(c), lambda p: ~p.rlike(_PLATFORM)), block_texts))
+
+
+def record_texts(c: Column) -> Column:
+    """The labelled records of a text: a line that is no field begins one where the line before it is a field."""
+    lines = _full(F.split(c, "\n"))
+    starts = lambda x, i: (i > 0) & ~x.rlike(FIELD) & F.get(lines, i - 1).rlike(FIELD)
+    marked = F.transform(lines, lambda x, i: F.concat(F.when(starts(x, i), F.lit("\u0001")).when(i > 0, F.lit("\n")).otherwise(F.lit("")), x))
+    return F.filter(F.split(F.array_join(marked, ""), "\u0001"), lambda x: x != "")
+
+
+def blocks(docs: DataFrame) -> DataFrame:
+    """(doc_id, idx, raw): the parts between blank lines, idx counting those that are not empty."""
+    return docs.select("doc_id", F.posexplode(block_texts(F.col("text"))).alias("idx", "raw"))
+
+
 def sectioned(docs: DataFrame) -> DataFrame:
     """(doc_id, pos, section, raw): blocks under `###` headers. Headers of three known platforms name the section, which is
-    carried forward; any other header is content of its own."""
-    marked = F.regexp_replace(F.concat(F.lit("\n"), F.col("text")), r"(?U)\n###\s+([^\n]+?)\s*(?=\n)", "\u0001$1\u0001")
-    parts = docs.select("doc_id", F.posexplode(F.split(marked, "\u0001")).alias("p", "part")).withColumn("part", strip(F.col("part"))).where("part <> ''")
-    named = F.col("part").rlike("^(Midjourney|Nano|Flux)")
+    carried forward; any other header is content of its own, and so is one right after another."""
+    parts = docs.select("doc_id", F.posexplode(_parts(F.col("text"))).alias("p", "part"))
+    named = F.col("part").rlike(_PLATFORM)
     name = F.replace(F.replace(F.replace(F.lower("part"), F.lit(" prompts"), F.lit("")), F.lit(" prommpts"), F.lit("")), F.lit(" "), F.lit("-"))
     line = W.partitionBy("doc_id").orderBy("p")
     parts = parts.withColumn("section", F.coalesce(F.last(F.when(named, name), ignorenulls=True).over(line), F.lit("stable-diffusion"))).where(~named)
-    out = parts.select("doc_id", "p", "section", F.posexplode(F.split("part", r"(?U)\n\s*\n")).alias("q", "raw")).withColumn("raw", strip(F.col("raw"))).where("raw <> ''")
+    out = parts.select("doc_id", "p", "section", F.posexplode(block_texts(F.col("part"))).alias("q", "raw"))
     return out.select("doc_id", (F.row_number().over(W.partitionBy("doc_id").orderBy("p", "q")) - 1).alias("pos"), "section", "raw")
 
 
 def structured(docs: DataFrame) -> DataFrame:
-    """(doc_id, idx, raw): a line that is no field begins a record where the line before it is one."""
-    lines = _lines(docs).where("line <> ''").withColumn("is_field", F.col("line").rlike(FIELD))
-    line = W.partitionBy("doc_id").orderBy("pos")
-    starts = (~F.col("is_field")) & F.coalesce(F.lag("is_field").over(line), F.lit(False))
-    lines = lines.withColumn("idx", F.sum(starts.cast("int")).over(line))
-    joined = lines.groupBy("doc_id", "idx").agg(F.sort_array(F.collect_list(F.struct("pos", "line"))).alias("ls"))
-    return joined.select("doc_id", F.col("idx").cast("int").alias("idx"), F.array_join(F.transform("ls", lambda x: x["line"]), "\n").alias("raw"))
+    """(doc_id, idx, raw): see record_texts()."""
+    return docs.select("doc_id", F.posexplode(record_texts(F.col("text"))).alias("idx", "raw"))
 
 
-def fields_of(records: DataFrame) -> DataFrame:
-    """(doc_id, idx, concept, fields): fields as a map, values of a repeated label joined by spaces, and the lines that are no
-    fields as concept; without such lines subject and environment."""
-    lines = F.filter(F.transform(F.split("raw", "\n"), strip), lambda x: x != "")
+def fields(raw: Column) -> tuple[Column, Column]:
+    """(concept, fields) of a labelled record: fields as a map, values of a repeated label joined by spaces, and the lines that
+    are no fields as concept; without such lines subject and environment."""
+    lines = _full(F.split(raw, "\n"))
     is_field = lambda x: x.rlike(FIELD)
     pairs = F.transform(F.filter(lines, is_field), lambda x: F.struct(strip(F.regexp_extract(x, FIELD, 1)).alias("k"), strip(F.regexp_extract(x, FIELD, 2)).alias("v")))
     keys = F.array_distinct(F.transform(pairs, lambda p: p["k"]))
     m = F.map_from_arrays(keys, F.transform(keys, lambda k: F.array_join(F.transform(F.filter(pairs, lambda p: p["k"] == k), lambda p: p["v"]), " ")))
     text = F.array_join(F.filter(lines, lambda x: ~is_field(x)), " ")
-    b = records.select("doc_id", "idx", text.alias("t"), m.alias("fields"))
-    fallback = F.btrim(F.concat(F.coalesce(F.try_element_at("fields", F.lit("Subject")), F.lit("")), F.lit(", "), F.coalesce(F.try_element_at("fields", F.lit("Environment")), F.lit(""))), F.lit(", "))
-    return b.select("doc_id", "idx", F.when((F.col("t") == "") & (F.size("fields") > 0), fallback).otherwise(F.col("t")).alias("concept"), "fields")
+    of = lambda label: F.coalesce(F.try_element_at(m, F.lit(label)), F.lit(""))
+    fallback = F.btrim(F.concat(of("Subject"), F.lit(", "), of("Environment")), F.lit(", "))
+    return F.when((text == "") & (F.size(m) > 0), fallback).otherwise(text), m
+
+
+def fields_of(records: DataFrame) -> DataFrame:
+    """(doc_id, idx, concept, fields) of labelled records; see fields()."""
+    concept, m = fields(F.col("raw"))
+    return records.select("doc_id", "idx", concept.alias("concept"), m.alias("fields"))
 
 
 def generator(docs: DataFrame) -> tuple[DataFrame, DataFrame]:

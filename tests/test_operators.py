@@ -135,7 +135,7 @@ def test_similar_pairs_of_the_whole_pool_equal_brute_force(spark, monkeypatch):
         for b in pool[x + 1 :]:
             if a[1] == b[1] and (s := evalset._alike(sets[a[0]], sets[b[0]])) >= evalset.STRICT:
                 want.append((a[1], a[0], b[0], round(s, 6)))
-    assert rows(Q.R.queries["j14_pool_pairs"](spark, "")) == sorted(want) and sum(w[1] > 200 for w in want) > 500
+    assert rows(Q.R.queries["j14_similar_pairs"](spark, "")) == sorted(want) and sum(w[1] > 200 for w in want) > 500
 
 
 def test_rewriting_literals(spark):
