@@ -4,7 +4,11 @@ Greedy string tiling. Texts become streams of letters and digits without case, a
 broken in two and changed quote marks do not matter. A running Karp-Rabin hash over each document's stream is joined
 with the hashes of all item streams (shared seeds); for each document and item that share seeds, the longest matches
 are marked one after another where they overlap none marked before; the marked tiles decide by their coverage: enough
-whole words in one tile, or a passage whose words between the tiles differ in no more than the allowed part.
+whole words in one tile, most of the item in tiles of any order, or a passage whose words between the tiles differ in
+no more than the allowed part.
+
+Items that say the same are one body; a sentence in more than COMMON bodies is common wording and left out of each,
+unless little would be left of a body. Both hold over all items, however they are divided into blocks.
 """
 
 from __future__ import annotations
@@ -12,7 +16,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from bisect import bisect_left, bisect_right
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,14 +24,18 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.session import materialise
+
 #: Letters of a seed: no more than four words in a row have in the items' language, which any passage that counts holds.
 SEED = 12
 #: Words in a row that are a leak; words of a passage that is one if no more than one word in MAX_ERROR is off.
 RUN, PASSAGE, ONE_IN = 10, 18, 6
-#: A sentence that opens or occurs in more items than this is common wording, not an item's own.
+#: A sentence in more than so many different items is common wording, where more than half of an item is left without.
 COMMON = 2
-#: Items held by a task at a time: more are searched in further passes.
-BLOCK = 20_000
+#: Part of an item's letters that makes a leak where tiles hold it, in whatever order.
+COVER = 0.7
+#: Bytes of item text a worker holds at a time, about forty times as much in memory: more is searched in further passes.
+BLOCK = 4_000_000
 _BASE = np.uint64(0x100000001B3)
 _BITS = 22
 _WORD = re.compile(r"[^\W_]+")
@@ -66,31 +74,25 @@ def _hashes(stream: np.ndarray) -> np.ndarray:
         return out * np.uint64(0x9E3779B97F4A7C15)
 
 
-def _own_sentences(texts: list[str]) -> list[str]:
-    """Each text without the sentences that occur in more than COMMON texts."""
-    parts = [re.split(r"(?<=[.!?])\s+", t) for t in texts]
-    key = lambda s: "".join(_WORD.findall(folded(s)))
-    seen = Counter(k for p in parts for k in {key(s) for s in p})
-    return [" ".join(s for s in p if seen[key(s)] <= COMMON) for p in parts]
+def sentences(text: str) -> list[str]:
+    """The sentences of a text as their folded words with single spaces, none empty."""
+    return [x for t in re.split(r"(?<=[.!?])\s+", text) if (x := " ".join(_WORD.findall(folded(t))))]
 
 
 class Items:
-    """The items of a block, with an index of their seeds."""
-
-    def __init__(self, ids: list[int], texts: list[str]) -> None:
-        self.ids, self.words, self.streams, self.starts = ids, [], [], []
-        at, hs = [], []
-        for k, t in enumerate(_own_sentences(texts)):
-            w = _WORD.findall(folded(t))
-            self.words.append(w)
-            self.streams.append("".join(w))
-            self.starts.append(np.concatenate([[0], np.cumsum([len(x) for x in w])]).astype(int).tolist())
-            h = _hashes(np.frombuffer(self.streams[-1].encode("utf-32-le"), np.uint32))
-            hs.append(h)
-            at += [(k, i) for i in range(len(h))]
+    """The item texts of a block as words with single spaces, with an index of their seeds."""
+
+    def __init__(self, ids: list[str], texts: list[str]) -> None:
+        self.ids, self.words = ids, [t.split() for t in texts]
+        self.streams = ["".join(w) for w in self.words]
+        self.starts = [np.concatenate([[0], np.cumsum([len(x) for x in w])]).astype(int).tolist() for w in self.words]
+        hs = [_hashes(np.frombuffer(t.encode("utf-32-le"), np.uint32)) for t in self.streams]
         h = np.concatenate(hs) if hs else np.zeros(0, np.uint64)
         order = np.argsort(h, kind="stable")
-        self.hashes, self.at = h[order], [at[i] for i in order]
+        self.hashes = h[order]
+        #: which item each seed is of, and where in it
+        self.of = np.repeat(np.arange(len(hs)), [len(x) for x in hs])[order] if hs else np.zeros(0, int)
+        self.at = np.concatenate([np.arange(len(x)) for x in hs])[order] if hs else np.zeros(0, int)
         self.filter = np.zeros(1 << _BITS, bool)
         self.filter[h >> np.uint64(64 - _BITS)] = True
 
@@ -185,6 +187,30 @@ def _passage(steps: list[tuple[bool, bool]]) -> bool:
     )
 
 
+def _window(a: list[str], b: list[str]) -> bool:
+    """Whether PASSAGE words in a row of a stand in b with so few errors that they count, by the edit distance of every such
+    stretch to its nearest place in b, all stretches side by side. Where words round a passage match by chance, the one
+    cheapest way through everything may run past it."""
+    n, most = len(a) - PASSAGE + 1, PASSAGE // ONE_IN
+    if n < 1:
+        return False
+    codes: dict[str, int] = {}
+    code = lambda x: codes.setdefault(x, len(codes))
+    stretches = np.lib.stride_tricks.sliding_window_view(np.array([code(x) for x in a]), PASSAGE)
+    single, double = [code(x) for x in b], [-1, *(code(x + y) for x, y in zip(b, b[1:]))]
+    last = np.zeros((len(b) + 1, n), np.int16)
+    for i in range(PASSAGE):
+        word = stretches[:, i]
+        now = np.empty_like(last)
+        now[0] = last[0] + 1
+        for j in range(1, len(b) + 1):
+            now[j] = np.minimum(np.minimum(last[j], now[j - 1]) + 1, last[j - 1] + (word != single[j - 1]))
+            if j > 1:
+                now[j] = np.where(word == double[j - 1], np.minimum(now[j], last[j - 2]), now[j])
+        last = now
+    return bool((last <= most).any())
+
+
 def leaked(doc_words: list[str], doc_starts: list[int], doc: str, items: Items, k: int, seeds: list[tuple[int, int]]) -> bool:
     """Whether the document holds a passage of item k that counts."""
     item, words, starts = items.streams[k], items.words[k], items.starts[k]
@@ -193,6 +219,8 @@ def leaked(doc_words: list[str], doc_starts: list[int], doc: str, items: Items,
         return True
     if len(words) < PASSAGE:
         return False
+    if sum(n for _, _, n in tiles) >= COVER * len(item):
+        return True
     # stretches of tiles near each other in the document, aligned word by word with a margin on both sides
     tiles.sort()
     group: list[tuple[int, int, int]] = []
@@ -207,10 +235,11 @@ def leaked(doc_words: list[str], doc_starts: list[int], doc: str, items: Items,
             margin = PASSAGE - 1
             a = words[max(0, x - margin) : y + margin]
             b = doc_words[max(0, u - margin - 2) : v + margin + 2]
-            # so many words of the item must be right, which is quickly seen; then free ends: words of the document beside
-            # the passage cost nothing
+            # so many of PASSAGE words in a row of the item must be there at all, which is quickly seen; then free ends: words
+            # of the document beside the passage cost nothing
             there = {*b, *map("".join, zip(b, b[1:]))}
-            if sum(w in there for w in a) >= PASSAGE - PASSAGE // ONE_IN and _passage(_align(a, b)):
+            seen = np.cumsum([0, *(w in there for w in a)])
+            if len(a) >= PASSAGE and (seen[PASSAGE:] - seen[:-PASSAGE]).max() >= PASSAGE - PASSAGE // ONE_IN and (_passage(_align(a, b)) or _window(a, b)):
                 return True
             group = []
         if t is not None:
@@ -218,7 +247,7 @@ def leaked(doc_words: list[str], doc_starts: list[int], doc: str, items: Items,
     return False
 
 
-def _search(items: Items, ids: pd.Series, texts: pd.Series) -> Iterator[tuple[int, int]]:
+def _search(items: Items, ids: pd.Series, texts: pd.Series) -> Iterator[tuple[int, str]]:
     words = [_WORD.findall(folded(t)) for t in texts]
     docs = ["".join(w) for w in words]
     ends = np.cumsum([len(d) + 1 for d in docs])
@@ -230,8 +259,7 @@ def _search(items: Items, ids: pd.Series, texts: pd.Series) -> Iterator[tuple[in
         h = items.hashes[s]
         local = p - (int(ends[x - 1]) if x else 0)
         while s < len(items.at) and items.hashes[s] == h:
-            k, i = items.at[s]
-            found[x][k].append((local, i))
+            found[x][int(items.of[s])].append((local, int(items.at[s])))
             s += 1
     ids = ids.tolist()
     for x, by_item in found.items():
@@ -241,20 +269,45 @@ def _search(items: Items, ids: pd.Series, texts: pd.Series) -> Iterator[tuple[in
                 yield ids[x], items.ids[k]
 
 
+def bodies(items: DataFrame, item_id: str = "item_id", item_text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(members, bodies). members: (item_id, body) of every item with a word; bodies: (body, words), what of each different
+    text is its own. Items are the same body where their letters and digits are."""
+    wanted = items.select(items[item_id].cast("bigint").alias("item_id"), items[item_text].alias("t")).where("item_id is not null and t is not null")
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"item_id": b["item_id"], "s": [sentences(t) for t in b["t"]]})
+
+    letters = lambda x: F.replace(x, F.lit(" "), F.lit(""))
+    each = wanted.mapInPandas(cut, "item_id bigint, s array<string>").where("size(s) > 0")
+    each = materialise(each.withColumn("body", F.md5(letters(F.array_join("s", "")))), "leak-items")
+    whole = each.groupBy("body").agg(F.min("s").alias("s"))
+    line = whole.select("body", F.posexplode("s").alias("k", "x")).withColumn("key", F.md5(letters(F.col("x")))).withColumn("n", F.size(F.split("x", " ")))
+    common = line.select("body", "key").distinct().groupBy("key").count().where(F.col("count") > COMMON).select("key", F.lit(True).alias("common"))
+    line = line.join(common, "key", "left").groupBy("body").agg(
+        F.sort_array(F.collect_list(F.struct("k", "x", "common"))).alias("s"), F.sum("n").alias("n"), F.sum(F.when(F.col("common"), 0).otherwise(F.col("n"))).alias("own")
+    )
+    kept = F.filter("s", lambda x: x["common"].isNull() | (F.col("own") * 2 <= F.col("n")))
+    return each.select("item_id", "body").distinct(), line.select("body", F.array_join(F.transform(kept, lambda x: x["x"]), " ").alias("words"))
+
+
 def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", doc_text: str = "text", item_id: str = "item_id", item_text: str = "text", block: int = BLOCK) -> DataFrame:
     """(doc_id, item_id), distinct: the document holds at least RUN words in a row of the item, or a passage of at least
-    PASSAGE words of it with no more than one word in ONE_IN replaced, dropped or added.
+    PASSAGE words of it with no more than one word in ONE_IN replaced, dropped or added, or COVER of its letters in tiles
+    of any order.
 
-    Case, accents, punctuation, spacing and broken words do not matter, and a sentence shared by many items does not
-    count. Items are held block by block, whatever their number; documents are read once a block, whole. Null ids or
-    texts, and items shorter than a seed, match nothing; an empty table gives no rows."""
+    Case, accents, punctuation, spacing and broken words do not matter; an item given several times is found as often, and a
+    sentence shared by many different items does not count. Workers hold item texts of about `block` bytes at a time;
+    documents are read once for each such block, whole. Null ids or texts, and items shorter than a seed, match nothing;
+    an empty table gives no rows."""
     spark = docs.sparkSession
-    wanted = items.select(items[item_id].cast("bigint").alias("i"), items[item_text].alias("t")).where("i is not null and t is not null").distinct()
-    blocks = max(1, -(-wanted.count() // block))
+    members, own = bodies(items, item_id, item_text)
+    own = materialise(own, "leak-bodies")
+    blocks = max(1, -(-(own.agg(F.sum(F.length("words"))).first()[0] or 0) // block))
     whole = docs.select(docs[doc_id].cast("bigint").alias("d"), docs[doc_text].alias("t")).where("d is not null and t is not null")
     out = None
     for b in range(blocks):
-        rows = (wanted.where(F.pmod(F.xxhash64("i"), F.lit(blocks)) == b) if blocks > 1 else wanted).collect()
+        rows = (own.where(F.pmod(F.xxhash64("body"), F.lit(blocks)) == b) if blocks > 1 else own).collect()
         rows.sort()
         shared = spark.sparkContext.broadcast(([r[0] for r in rows], [r[1] for r in rows]))
 
@@ -263,8 +316,8 @@ def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", doc_text: s
             for x in batches:
                 for lo in range(0, len(x), 500):
                     part = x.iloc[lo : lo + 500]
-                    yield pd.DataFrame(list(_search(held, part["d"], part["t"])), columns=["doc_id", "item_id"]).astype("int64")
+                    yield pd.DataFrame(list(_search(held, part["d"], part["t"])), columns=["doc_id", "body"]).astype({"doc_id": "int64", "body": str})
 
-        found = whole.mapInPandas(search, "doc_id bigint, item_id bigint")
+        found = whole.mapInPandas(search, "doc_id bigint, body string")
         out = found if out is None else out.unionByName(found)
-    return out.distinct()
+    return out.distinct().join(members, "body").select("doc_id", "item_id").distinct()
