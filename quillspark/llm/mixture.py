@@ -2,9 +2,11 @@
 
 Sainte-Lague apportionment of equal-token blocks: a mix of so many blocks gives each source the blocks with the highest
 quotients weight / (2k - 1), up to the blocks it can give with its documents repeated as often as is allowed; the
-blocks of a source (the last may be a part of one) are divided among its shards in the same way, in proportion to their tokens. Within a shard documents
-lie in a seeded order, block after block, and the shard's quota takes them from the start, over again where it exceeds
-the shard. A source of any size is spread over shards of bounded size, so no task and no driver holds a source.
+blocks of a source (the last may be a part of one) are divided in the same way, in proportion to tokens: among runs of
+SHARDS shards, then within each run among its shards. Within a shard documents lie in a seeded order, block after block,
+and the shard's quota takes them from the start, over again where it exceeds the shard; a document belongs to the side of
+the cut on which its middle lies, so a shard may miss its quota by half a document. A source of any size is spread over
+shards of bounded size, so no task and no driver holds a source or all its shards.
 """
 
 from __future__ import annotations
@@ -19,8 +21,8 @@ from quillspark.session import materialise
 
 from .tokens import RANKS_FILE, count
 
-#: Tokens of a block, and about how many tokens a shard holds.
-BLOCK, SHARD = 256, 500_000
+#: Tokens of a block, about how many tokens a shard holds, and the shards of a run.
+BLOCK, SHARD, SHARDS = 256, 500_000, 65_536
 
 
 def source_name(c: Column) -> Column:
@@ -76,22 +78,20 @@ def _per_mix(pdf: pd.DataFrame) -> pd.DataFrame:
     return pdf[["mix_name", "source", "target_share", "max_repeats", "seats", "quota"]]
 
 
-def _per_source(pdf: pd.DataFrame) -> pd.DataFrame:
-    """A source's quota divided over its shards: a row for each shard."""
-    pdf = pdf.sort_values("shard").reset_index(drop=True)
-    tokens = pdf["shard_tokens"].to_numpy(float)
-    caps = np.ceil(tokens / BLOCK * float(pdf["max_repeats"].iloc[0]))
-    quota = sainte_lague(tokens, caps, int(pdf["quota"].iloc[0]))
-    pdf["shard_quota"] = quota
-    return pdf[["mix_name", "source", "shard", "shard_quota"]]
+def _divided(pdf: pd.DataFrame, by: str) -> pd.DataFrame:
+    """A quota divided over rows of weight `tokens` and cap `cap`, ties to the lower `by`."""
+    pdf = pdf.sort_values(by).reset_index(drop=True)
+    pdf["given"] = sainte_lague(pdf["tokens"].to_numpy(float), pdf["cap"].to_numpy(), int(pdf["quota"].iloc[0]))
+    return pdf[["mix_name", "source", by, "given"]]
 
 
 def apportion(docs: DataFrame, targets: DataFrame, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", ranks: str = RANKS_FILE) -> tuple[DataFrame, DataFrame]:
     """(chosen, shares) for every mix of targets.
 
     chosen: (mix_name, source, doc_id, tokens, repeats), each document in a mix with how often it is taken, at most
-    max_repeats times. shares: (mix_name, source, target_share, wanted_share, tokens, share, quota_blocks, documents):
-    wanted_share is the target share of the mix's sum of shares, share what is reached of the tokens drawn.
+    max_repeats times. shares: (mix_name, source, target_share, wanted_share, tokens, share, quota_blocks, documents,
+    deviation): wanted_share is the target share of the mix's sum of shares, share what is reached of the tokens drawn,
+    deviation the tokens drawn over those of the quota's blocks.
 
     A source without documents, with a share of 0 or null, or with no repeats allowed gets nothing and its blocks go to
     the others; a mix whose sources cannot fill its size is as large as they allow. Spellings of a source count as one;
@@ -114,12 +114,14 @@ def apportion(docs: DataFrame, targets: DataFrame, seed: int = 7, id_col: str =
     lie = W.partitionBy("source", "shard").orderBy(order, "doc_id")
     placed = sharded.withColumn("start", F.sum("tokens").over(lie.rowsBetween(W.unboundedPreceding, -1))).fillna(0, ["start"])
     sizes = sharded.groupBy("source", "shard").agg(F.sum("tokens").alias("shard_tokens"))
-    per_shard = (
-        sizes.join(quotas.where("quota > 0"), "source")
-        .groupBy("mix_name", "source")
-        .applyInPandas(_per_source, "mix_name string, source string, shard bigint, shard_quota bigint")
-    )
-    per_shard = per_shard.join(sizes, ["source", "shard"]).join(quotas.select("mix_name", "source", "max_repeats"), ["mix_name", "source"])
+    cap = F.ceil(F.col("tokens") / BLOCK * F.col("max_repeats"))
+    asked = sizes.withColumnRenamed("shard_tokens", "tokens").join(quotas.where("quota > 0"), "source")
+    asked = asked.select("mix_name", "source", "shard", F.floor(F.col("shard") / SHARDS).alias("run"), "tokens", "max_repeats", cap.alias("cap"), "quota")
+    runs = asked.groupBy("mix_name", "source", "run").agg(F.sum("tokens").alias("tokens"), F.sum("cap").alias("cap"), F.max("quota").alias("quota"))
+    runs = runs.groupBy("mix_name", "source").applyInPandas(lambda p: _divided(p, "run"), "mix_name string, source string, run bigint, given bigint")
+    given = asked.drop("quota").join(runs.withColumnRenamed("given", "quota"), ["mix_name", "source", "run"])
+    given = given.groupBy("mix_name", "source", "run").applyInPandas(lambda p: _divided(p, "shard"), "mix_name string, source string, shard bigint, given bigint")
+    per_shard = given.withColumnRenamed("given", "shard_quota").join(sizes, ["source", "shard"]).join(quotas.select("mix_name", "source", "max_repeats"), ["mix_name", "source"])
     # the quota runs through the shard's order full times and then up to its rest; a document belongs to the side of
     # the cut on which its middle lies
     full, rest = F.floor(F.col("shard_quota") * BLOCK / F.col("shard_tokens")), F.expr(f"shard_quota * {BLOCK} % shard_tokens")
@@ -136,7 +138,7 @@ def apportion(docs: DataFrame, targets: DataFrame, seed: int = 7, id_col: str =
         .select(
             "mix_name", "source", "target_share",
             (F.col("target_share") / F.sum("target_share").over(of_mix)).alias("wanted_share"),
-            F.col("quota").alias("quota_blocks"), "tokens", "documents", "most_repeats", "max_repeats",
+            F.col("quota").alias("quota_blocks"), (F.col("tokens") - F.col("quota") * BLOCK).alias("deviation"), "tokens", "documents", "most_repeats", "max_repeats",
             F.try_divide(F.col("tokens"), F.sum("tokens").over(of_mix)).alias("share"),
             (F.col("seats") * BLOCK).alias("mix_tokens_wanted"),
         )
