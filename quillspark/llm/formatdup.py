@@ -1,27 +1,28 @@
 """Records that differ in nothing but format: one record of each with its number of copies.
 
 Recursive radix partitioning on canonical bytes. Each record becomes one byte string of what its fields say. Buckets
-are the first bytes of that string; a bucket with more entries than fit is split by further bytes until each fits; then
-a path-compressed trie per bucket, with counters at its terminal nodes, counts the copies. Entries are combined within
-each task before the shuffle, so a group of copies sends at most one entry per task and batch, however large it is.
+are the first bytes of that string; a bucket with more different strings than fit is split by further bytes, after those
+that all its strings share, until each fits; then a path-compressed trie per bucket, with counters at its terminal nodes,
+counts the copies. Copies are combined within each task before anything is counted or shuffled, so a group of copies
+sends at most one entry per task and batch, however large it is, and splits nothing.
 """
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 from quillspark.session import materialise
 
 from .text import format_free, is_blank
 
-#: Entries a bucket may hold before it is split, and the bytes taken at a time.
+#: Different strings a bucket may hold before it is split, and the bytes taken at a time.
 BUCKET_LIMIT, STEP = 20_000, 4
-#: At most this many buckets are split at a level: the limit rises with the data beyond LIMIT x this many entries.
-MOST_SPLIT = 16_384
 
 
 class Trie:
@@ -78,32 +79,32 @@ def keyed(df: DataFrame, id_col: str, fields: list[str]) -> DataFrame:
     )
 
 
-def _too_large(entries: DataFrame, limit: int) -> dict[int, list[bytes]]:
-    """By depth, the prefixes whose buckets hold more than limit entries."""
-    out: dict[int, list[bytes]] = {}
-    left, depth = entries, STEP
-    while True:
-        large = [
-            bytes(r[0])
-            for r in left.groupBy(F.substring("key", 1, depth).alias("p"))
-            .agg(F.count("*").alias("n"), F.max(F.length("key")).alias("longest"))
-            .where((F.col("n") > limit) & (F.col("longest") > depth))
-            .select("p")
-            .limit(MOST_SPLIT)
-            .collect()
-        ]
-        if not large:
-            return out
-        out[depth] = large
-        left = left.where(F.substring("key", 1, depth).isin(large))
-        depth += STEP
-
-
 def _combine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
-        yield b.groupby("digest", sort=False).agg(
-            bucket=("bucket", "first"), key=("key", "first"), n=("id", "size"), first_id=("id", "min")
-        ).reset_index()
+        yield b.groupby("digest", sort=False).agg(key=("key", "first"), n=("id", "size"), first_id=("id", "min")).reset_index()
+
+
+@F.pandas_udf(IntegerType())
+def _shared(low: pd.Series, high: pd.Series) -> pd.Series:
+    """How many bytes the smallest and the largest of some strings share, and so all of them."""
+    return pd.Series([len(os.path.commonprefix([bytes(a), bytes(b)])) for a, b in zip(low, high)], dtype="int32")
+
+
+def bucketed(combined: DataFrame, limit: int) -> DataFrame:
+    """combined (digest, key, ...) with the bucket of each entry: a prefix of its key that at most `limit` different keys of
+    the table begin with, unless they are that prefix. Which buckets are too large is a table that is joined, level by
+    level; only their entries go on to the next level, and every level goes at least STEP bytes past what they share."""
+    left, done = combined.withColumn("bucket", F.substring("key", 1, STEP)), None
+    while True:
+        sizes = left.select("bucket", "digest").distinct().groupBy("bucket").count().where(F.col("count") > limit).select("bucket")
+        ends = left.join(sizes, "bucket", "left_semi").groupBy("bucket").agg(F.min("key").alias("low"), F.max("key").alias("high"))
+        large = materialise(ends.select("bucket", (_shared("low", "high") + STEP).alias("depth")), "formatdup-large")
+        if large.isEmpty():
+            return left if done is None else done.unionByName(left)
+        fits = left.join(large, "bucket", "left_anti")
+        done = fits if done is None else done.unionByName(fits)
+        left = left.join(large, "bucket").withColumn("bucket", F.expr("substring(key, 1, depth)")).drop("depth")
+        left = materialise(left, "formatdup-level")
 
 
 def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -125,13 +126,8 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def copy_groups(entries: DataFrame, bucket_limit: int = BUCKET_LIMIT) -> DataFrame:
     """(digest, first_id, copies) of each group of two or more equal keys in entries, a stored keyed()."""
-    limit = max(bucket_limit, entries.count() // MOST_SPLIT)
-    bucket = F.substring("key", 1, STEP)
-    for depth, large in _too_large(entries, limit).items():
-        bucket = F.when(F.substring("key", 1, depth).isin(large), F.substring("key", 1, depth + STEP)).otherwise(bucket)
-    combined = entries.select("id", "digest", "key", bucket.alias("bucket")).mapInPandas(
-        _combine, "digest binary, bucket binary, key binary, n bigint, first_id bigint"
-    )
+    combined = entries.select("id", "digest", "key").mapInPandas(_combine, "digest binary, key binary, n bigint, first_id bigint")
+    combined = bucketed(materialise(combined, "formatdup-combined"), bucket_limit).select("digest", "bucket", "key", "n", "first_id")
     spread = combined.repartition("bucket").sortWithinPartitions("bucket")
     return spread.mapInPandas(_count, "digest binary, first_id bigint, copies bigint")
 
