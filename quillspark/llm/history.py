@@ -1,25 +1,31 @@
 """New batches against all accepted history: every record of a new batch with the earliest record it repeats.
 
 The metric is the number of words in which two sets differ; a repeat lies within a radius that grows with their sizes.
-Equal sets collapse into one class by aggregation. For the rest a pivot table holds, for each class, its distances to
-fixed pivots: PIVOTS disjoint parts of all words, of which a bit says whether the class has any word. As the parts are
-disjoint, the triangle inequalities over them add up: two classes differ in at least as many words as bits, so a pair
-whose bits differ by more than the radius is pruned without reading its words. Candidates meet in a join partitioned by
-ranges of near pivots: words under random priorities weighted by rarity, of which the ROWS nearest make one partition
-key, BANDS times over. What is left is verified on the words. Rows of new classes are added to the table; history is
-never compared with itself.
+Records of the same words are one class. A stored table holds each class with its words and its distances to fixed
+pivots: PIVOTS disjoint parts of all words, in each of which the distance to the empty set, at most 1, says whether the
+class has a word there, and the empty set itself, from which the distance is the size. As the parts are disjoint, the
+triangle inequalities over them add up: two classes differ in at least as many words as distances, so a pair whose
+distances differ by more than the radius is pruned without reading its words. What is left is verified on the words.
+
+Candidates meet under near pivots: words under random priorities weighted by rarity, of which the ROWS nearest make one
+key, BANDS times over. That misses some pairs at the edge of the radius; `exact` joins by ranges of the distance to the
+empty set instead, which meets all pairs that the triangle inequality allows.
+
+Pivots, priorities and the word frequencies behind them are fixed when the table is made. A new batch reads the table and
+itself, never the texts of history; rows of its new classes are appended, and history is never compared with itself.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.session import materialise
+from quillspark.session import materialise, shared_dir
 
 from .text import prompt_words
 
@@ -32,31 +38,43 @@ ROWS, BANDS, BUCKETS = 3, 14, 1 << 17
 LIGHTEST, HEAVIEST = 2.0, 6.0
 #: Classes under one key from which on it is hot, and about how many of them lead it.
 HOT, LEADERS = 20_000, 64
-#: Far pivots: bits in two longs.
+#: Far pivots: distances of 0 or 1, as bits in two longs.
 PIVOTS = 128
+#: Parts into which either side of a range of the exact join is cut, so that no task holds a range.
+SLICES = 16
 _MASK = (1 << 64) - 1
 
 
-def classes_of(df: DataFrame, id_col: str, text_col: str, batch_col: str) -> tuple[DataFrame, DataFrame]:
-    """(rows, classes). Rows: (class_id, id, batch); classes: (class_id, words, first_id, first_batch, last_batch), words as
-    their 64-bit hashes.
+_DIGEST = ["d1", "d2"]
 
-    Ids rise with the batch, so the smallest id of a class lies in its first batch. Null or blank texts, and texts without
-    a word of their own, are in neither."""
+
+def parsed(df: DataFrame, id_col: str, text_col: str, batch_col: str) -> DataFrame:
+    """(id, batch, d1, d2, words) of each record: its words, sorted, with single spaces, and their digest of 128 bits. Null ids
+    and batches, null or blank texts, and texts without a word of their own, are left out."""
     # through a generator, so that the words are worked out once and not again for the filter
-    words = df.where(df[id_col].isNotNull() & df[batch_col].isNotNull()).select(df[id_col].cast("bigint").alias("id"), df[batch_col].cast("bigint").alias("batch"), F.explode(F.array(prompt_words(df[text_col]))).alias("words"))
-    words = words.where("size(words) > 0")
-    hashes = F.transform("words", lambda w: F.xxhash64(w)).alias("words")
-    rows = materialise(words.select("id", "batch", F.xxhash64(F.array_join("words", " ")).alias("class_id"), hashes), "history-rows")
-    firsts = rows.groupBy("class_id").agg(F.min("id").alias("first_id"), F.min("batch").alias("first_batch"), F.max("batch").alias("last_batch"))
-    own = rows.select("class_id", F.col("id").alias("first_id"), "words").join(firsts, ["class_id", "first_id"])
-    return rows.select("class_id", "id", "batch"), own
+    words = df.where(df[id_col].isNotNull() & df[batch_col].isNotNull()).select(df[id_col].cast("bigint").alias("id"), df[batch_col].cast("bigint").alias("batch"), F.explode(F.array(F.array_join(prompt_words(df[text_col]), " "))).alias("words"))
+    return words.where("words <> ''").select("id", "batch", F.xxhash64("words").alias("d1"), F.xxhash64(F.lit(1), "words").alias("d2"), "words")
+
+
+def _in_order(first: str, batch: str) -> Column:
+    """The least id, which must lie in the least batch: ids rise with the batch, or no one record is the first."""
+    later = F.min(F.struct(batch, first))[first] != F.min(first)
+    return F.when(later, F.raise_error(F.lit("ids do not rise with the batch"))).otherwise(F.min(first))
+
+
+def classes_of(rows: DataFrame) -> DataFrame:
+    """(d1, d2, first_id, first_batch, last_batch, words) of parsed() rows, a row for each set of words."""
+    return rows.groupBy(*_DIGEST).agg(_in_order("id", "batch").alias("first_id"), F.min("batch").alias("first_batch"), F.max("batch").alias("last_batch"), F.first("words").alias("words"))
+
+
+def _hashes() -> Column:
+    return F.transform(F.split("words", " "), lambda w: F.xxhash64(w))
 
 
 def word_frequencies(classes: DataFrame) -> np.ndarray:
     """How many classes hold a word of each hash bucket: a table of fixed size, whatever the data."""
     counts = (
-        classes.select(F.explode("words").alias("w"))
+        classes.select(F.explode(_hashes()).alias("w"))
         .groupBy(F.pmod("w", F.lit(BUCKETS)).alias("b"))
         .count()
     )
@@ -67,7 +85,8 @@ def word_frequencies(classes: DataFrame) -> np.ndarray:
 
 
 def pivot_rows(classes: DataFrame, frequencies: np.ndarray, total: int) -> DataFrame:
-    """The pivot table: classes with keys (partition keys of near pivots), size and the bits of the far pivots."""
+    """The pivot table: (first_id, first_batch, last_batch, size, keys, low, high) of classes: keys are those of the near pivots,
+    size the distance to the empty set, low and high the distances to the far pivots."""
     shared = classes.sparkSession.sparkContext.broadcast(frequencies)
     n = ROWS * BANDS
 
@@ -105,10 +124,11 @@ def pivot_rows(classes: DataFrame, frequencies: np.ndarray, total: int) -> DataF
             b["size"], b["keys"], b["low"], b["high"] = [len(x) for x in b["hashes"]], keys, low, high
             yield b.drop(columns="hashes")
 
-    hashed = classes.select("class_id", "first_id", "first_batch", "last_batch", F.col("words").alias("hashes"))
-    return hashed.mapInPandas(rows, "class_id bigint, first_id bigint, first_batch bigint, last_batch bigint, size int, keys array<bigint>, low bigint, high bigint")
+    hashed = classes.select("first_id", "first_batch", "last_batch", _hashes().alias("hashes"))
+    return hashed.mapInPandas(rows, _PIVOT_ROW)
 
 
+_PIVOT_ROW = "first_id bigint, first_batch bigint, last_batch bigint, size int, keys array<bigint>, low bigint, high bigint"
 #: The triangle inequality over the far pivots: sets within RADIUS differ in at most RADIUS / (2 - RADIUS) of |x| + |y|.
 _NEAR_ENOUGH = f"bit_count(q.low ^ h.low) + bit_count(q.high ^ h.high) <= {RADIUS / (2 - RADIUS)} * (q.size + h.size) + 1e-6"
 
@@ -116,7 +136,7 @@ _NEAR_ENOUGH = f"bit_count(q.low ^ h.low) + bit_count(q.high ^ h.high) <= {RADIU
 def _hot_keys(listed: DataFrame, hot: int) -> DataFrame:
     """(key, leader): partition keys that hold more than about `hot` classes, found by the classes of one hash value in 16,
     and the first_id up to which about LEADERS of their classes reach. Missing a hot key costs time, not rows."""
-    seen = listed.where(F.pmod("class_id", F.lit(16)) == 0).groupBy("key").count().where(F.col("count") > hot / 16).select("key")
+    seen = listed.where(F.pmod(F.xxhash64("first_id"), F.lit(16)) == 0).groupBy("key").count().where(F.col("count") > hot / 16).select("key")
     keys = materialise(seen, "history-hot")
     if keys.isEmpty():
         return keys.withColumn("leader", F.lit(0).cast("bigint"))
@@ -125,62 +145,125 @@ def _hot_keys(listed: DataFrame, hot: int) -> DataFrame:
     return materialise(sizes.select("key", F.element_at("p", nth).alias("leader")), "history-leaders")
 
 
-def repeats(classes: DataFrame, first_new_batch: int, hot: int = HOT) -> DataFrame:
-    """(class_id, first_id, first_batch) of the earliest record that a class with records in new batches repeats: for
-    each such class the smallest first record over itself and all classes within RADIUS that began before its last
-    batch.
-
-    Under a partition key that holds very many classes (a text sent again and again with small changes), new classes meet
-    the earliest classes of the key first; only those that repeat none of them meet the others. As the smallest id is
-    asked for, nothing is lost, and a large family of near copies does not meet itself in all pairs."""
-    total = classes.count()
-    pivots = materialise(pivot_rows(classes, word_frequencies(classes), total), "history-pivots")
-    listed = pivots.select("class_id", "size", "low", "high", "first_id", "first_batch", "last_batch", F.explode("keys").alias("key"))
-    new = listed.where(F.col("last_batch") >= first_new_batch).drop("first_batch", "first_id")
-    old = listed.drop("last_batch")
-    asked = classes.where(F.col("last_batch") >= first_new_batch).select(F.col("class_id").alias("q"), F.col("words").alias("qw"))
-    words = classes.select(F.col("class_id").alias("h"), F.col("words").alias("hw"), "first_id", "first_batch")
-
-    def met(q: DataFrame, h: DataFrame) -> DataFrame:
-        return q.alias("q").join(h.alias("h"), F.expr(f"q.key = h.key and h.first_batch < q.last_batch and q.class_id <> h.class_id and {_NEAR_ENOUGH}"))
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(asked, "q").join(words, "h")
-        shared = F.size(F.array_intersect("qw", "hw"))
-        return both.where(shared >= (1 - RADIUS) * (F.size("qw") + F.size("hw") - shared)).select("q", "h", "first_id", "first_batch")
-
-    ids = [F.col("q.class_id").alias("q"), F.col("h.class_id").alias("h")]
-    keys = _hot_keys(listed, hot)
+def _met(q: DataFrame, h: DataFrame, on: str, *more: str) -> DataFrame:
+    """(q, h, first_batch of h) of different classes that meet and that the pivots do not prune, h begun before the last batch of q."""
+    j = q.alias("q").join(h.alias("h"), F.expr(f"{on} and h.first_batch < q.last_batch and q.first_id <> h.first_id and {_NEAR_ENOUGH}"))
+    return j.select(F.col("q.first_id").alias("q"), F.col("h.first_id").alias("h"), "h.first_batch", *more)
+
+
+def _verified(pairs: DataFrame, asked: DataFrame, words: DataFrame) -> DataFrame:
+    """The pairs whose words lie within the radius."""
+    both = pairs.join(asked.select(F.col("first_id").alias("q"), F.col("words").alias("qw")), "q").join(words.select(F.col("first_id").alias("h"), F.col("words").alias("hw")), "h")
+    both = both.select("q", "h", "first_batch", F.split("qw", " ").alias("qw"), F.split("hw", " ").alias("hw"))
+    shared = F.size(F.array_intersect("qw", "hw"))
+    return both.where(shared >= (1 - RADIUS) * (F.size("qw") + F.size("hw") - shared)).select("q", "h", "first_batch")
+
+
+def _near(new: DataFrame, old: DataFrame, asked: DataFrame, words: DataFrame, hot: int) -> DataFrame:
+    """Pairs within the radius that share a key. Under a key that holds very many classes (a text sent again and again with
+    small changes), new classes meet the earliest classes of the key first; only those that repeat none of them meet the
+    others. As the smallest id is asked for, nothing is lost, and a large family of near copies does not meet itself in
+    all pairs."""
+    new, old = (df.withColumn("key", F.explode("keys")).drop("keys") for df in (new, old))
+    keys = _hot_keys(old.select("key", "first_id"), hot)
     if keys.isEmpty():
-        near = verified(met(new, old).select(*ids).distinct())
-    else:
-        plain = met(new.join(keys, "key", "left_anti"), old.join(keys, "key", "left_anti")).select(*ids)
-        led = materialise(met(new.join(keys, "key").drop("leader"), old.join(keys, "key").where("first_id <= leader").drop("leader")).select(F.col("q.key").alias("key"), *ids), "history-led")
-        near = materialise(verified(plain.unionByName(led.select("q", "h")).distinct()), "history-near")
-        settled = led.join(near.select("q", "h"), ["q", "h"]).select("key", F.col("q").alias("class_id")).distinct()
-        rest = met(new.join(keys, "key").drop("leader").join(settled, ["key", "class_id"], "left_anti"), old.join(keys, "key").where("first_id > leader").drop("leader"))
-        near = near.unionByName(verified(rest.select(*ids).distinct()))
-    own = pivots.where(F.col("last_batch") >= first_new_batch).select(F.col("class_id").alias("q"), "first_id", "first_batch")
-    earliest = near.select("q", "first_id", "first_batch").unionByName(own).groupBy("q").agg(F.min("first_id").alias("first_id"), F.min("first_batch").alias("first_batch"))
-    return earliest.withColumnRenamed("q", "class_id")
-
-
-def check_new(records: DataFrame, batches: DataFrame, id_col: str = "record_id", text_col: str = "original_prompt", hot: int = HOT) -> DataFrame:
+        return _verified(_met(new, old, "q.key = h.key").distinct(), asked, words)
+    plain = _met(new.join(keys, "key", "left_anti"), old.join(keys, "key", "left_anti"), "q.key = h.key")
+    led = materialise(_met(new.join(keys.select("key"), "key"), old.join(keys, "key").where("first_id <= leader"), "q.key = h.key", "q.key"), "history-led")
+    near = materialise(_verified(plain.unionByName(led.drop("key")).distinct(), asked, words), "history-near")
+    # settled under a key: classes that repeat one of its leaders
+    settled = led.join(near.select("q", "h"), ["q", "h"]).select("key", F.col("q").alias("first_id")).distinct()
+    rest = new.join(keys.select("key"), "key").join(settled, ["key", "first_id"], "left_anti")
+    met = _met(rest, old.join(keys, "key").where("first_id > leader"), "q.key = h.key")
+    return near.unionByName(_verified(met.distinct(), asked, words))
+
+
+def _near_exact(new: DataFrame, old: DataFrame, asked: DataFrame, words: DataFrame) -> DataFrame:
+    """All pairs within the radius: the join is partitioned by ranges of the distance to the empty set. Sizes of a pair differ
+    by a factor of 1 - RADIUS at most, so a class meets the ranges on both sides of its own; each range is cut in
+    slices of both sides."""
+    step = float(-np.log(1 - RADIUS))
+    of = F.floor(F.log(F.col("size").cast("double")) / step + 1e-9).cast("int")
+    cut = lambda: F.pmod(F.xxhash64("first_id"), F.lit(SLICES))
+    every = F.explode(F.sequence(F.lit(0), F.lit(SLICES - 1)))
+    q = new.drop("keys").withColumn("bin", F.explode(F.array(of - 1, of, of + 1))).withColumn("a", cut()).withColumn("b", every)
+    h = old.drop("keys").withColumn("bin", of).withColumn("b", cut()).withColumn("a", every)
+    return _verified(_met(q, h, "q.bin = h.bin and q.a = h.a and q.b = h.b").distinct(), asked, words)
+
+
+class HistoryIndex:
+    """The stored table of history under a path: classes (words by digest), pivots and the frequencies they were made with."""
+
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        self.spark, self.path = spark, path.rstrip("/")
+        self._f: np.ndarray | None = None
+
+    @classmethod
+    def create(cls, rows: DataFrame, path: str) -> HistoryIndex:
+        """A table of the parsed() rows of history."""
+        self = cls(rows.sparkSession, path)
+        self._add("classes", classes_of(rows))
+        classes = self._table("classes")
+        counts = np.append(word_frequencies(classes), classes.count())
+        self.spark.createDataFrame([(k, int(n)) for k, n in enumerate(counts.tolist())], "bucket int, n bigint").coalesce(1).write.parquet(f"{self.path}/frequencies")
+        self._add("pivots", self._pivots(classes))
+        return self
+
+    def _add(self, name: str, df: DataFrame) -> None:
+        df.write.mode("append").option("compression", "zstd").parquet(f"{self.path}/{name}")
+
+    def _table(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/{name}")
+
+    def _pivots(self, classes: DataFrame) -> DataFrame:
+        if self._f is None:
+            held = dict(self._table("frequencies").collect())
+            self._f = np.array([held[k] for k in range(BUCKETS + 1)], np.int64)
+        return pivot_rows(classes, self._f[:-1], int(self._f[-1]))
+
+    def check(self, rows: DataFrame, hot: int = HOT, exact: bool = False, append: bool = True) -> DataFrame:
+        """(first_id, record_id, exact) for the parsed() rows of new batches: the smallest id of a record of an earlier batch, in
+        the table or among the rows, that each repeats; exact says that the words are the same. append adds the rows of new
+        classes to the table, once however often a batch is checked.
+
+        Ids must rise with the batch where records repeat each other; else the query fails."""
+        rows = materialise(rows, "history-batch")
+        stored = self._table("classes").select(*_DIGEST, F.col("first_id").alias("_id"), F.col("first_batch").alias("_batch"))
+        asked = classes_of(rows).join(stored, _DIGEST, "left")
+        wrong = (F.col("_id") < F.col("first_id")) != (F.col("_batch") <= F.col("first_batch"))
+        first = F.when(F.col("_id").isNull() | (F.col("_id") == F.col("first_id")), F.col("first_id")).when(wrong, F.raise_error(F.lit("ids do not rise with the batch"))).otherwise(F.least("_id", "first_id"))
+        asked = asked.select(*_DIGEST, first.alias("first_id"), F.least("first_batch", "_batch").alias("first_batch"), "last_batch", "words", F.col("_id").isNotNull().alias("known"))
+        asked = materialise(asked, "history-asked")
+        pivots = materialise(self._pivots(asked.select("first_id", "first_batch", "last_batch", "words")), "history-pivots")
+        known = asked.where("known").select("first_id")
+        fresh, fresh_words = pivots.join(known, "first_id", "left_anti"), asked.where("not known")
+        old = self._table("pivots").unionByName(fresh).drop("last_batch")
+        words = self._table("classes").select("first_id", "words").unionByName(fresh_words.select("first_id", "words"))
+        new = pivots.drop("first_batch")
+        near = _near_exact(new, old, asked, words) if exact else _near(new, old, asked, words, hot)
+        own = asked.select(F.col("first_id").alias("q"), F.col("first_id").alias("h"), "first_batch")
+        earliest = near.select("q", "h", "first_batch").unionByName(own).groupBy("q").agg(_in_order("h", "first_batch").alias("first_id"), F.min("first_batch").alias("first_batch"))
+        found = rows.select("id", "batch", *_DIGEST).join(asked.select(*_DIGEST, F.col("first_id").alias("q")), _DIGEST).join(earliest, "q")
+        found = found.where("first_batch < batch").select("first_id", F.col("id").alias("record_id"), (F.col("first_id") == F.col("q")).alias("exact")).distinct()
+        if append:
+            # what has been found is written first, as it reads the table as it was; classes come last, as they say what is stored
+            found = materialise(found, "history-found")
+            self._add("pivots", fresh)
+            self._add("classes", fresh_words.drop("known"))
+        return found
+
+
+def check_new(records: DataFrame, batches: DataFrame, id_col: str = "record_id", text_col: str = "original_prompt", hot: int = HOT, exact: bool = False) -> DataFrame:
     """(first_id, record_id, exact) for each record of a batch whose state is `new` that repeats a record of an earlier
-    batch; exact says that the words are the same.
+    batch; exact says that the words are the same. The records of all other batches become a HistoryIndex in the shared
+    folder, against which the new ones are checked.
 
     Ids rise with the batch. Records without a batch, an id or a word are no cases; records of one batch are not repeats of each other; a record
     repeated by several is reported with the smallest id. Empty input gives no rows."""
     new = batches.where(F.lower(F.trim("batch_state")) == "new").select(F.col("batch_no").cast("bigint").alias("batch")).distinct()
-    start = new.agg(F.min("batch")).first()[0]
-    rows, classes = classes_of(records, id_col, text_col, "batch_no")
-    classes = materialise(classes, "history-classes")
-    earliest = repeats(classes, start if start is not None else (1 << 62), hot)
-    own = classes.select("class_id", F.col("first_id").alias("own_first"))
-    asked = rows.join(new, "batch", "left_semi")
-    return (
-        asked.join(earliest.join(own, "class_id"), "class_id")
-        .where("first_batch < batch")
-        .select("first_id", F.col("id").alias("record_id"), (F.col("first_id") == F.col("own_first")).alias("exact"))
-        .distinct()
-    )
+    batch = records["batch_no"].cast("bigint")
+    history = records.join(new, batch == new["batch"], "left_anti")
+    arrived = records.join(new, batch == new["batch"], "left_semi")
+    spark = records.sparkSession
+    index = HistoryIndex.create(parsed(history, id_col, text_col, "batch_no"), f"{shared_dir(spark)}/history-index-{uuid.uuid4().hex}")
+    return index.check(parsed(arrived, id_col, text_col, "batch_no"), hot, exact, append=False)
