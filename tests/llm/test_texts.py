@@ -26,7 +26,42 @@ def test_misread_words():
     x = _lexicon()
     got = {w: x.misread(w) for w in ("aftcrwards", "harnmer", "beliind", "liglit", "toucli", "soiind", "tuming", "light", "zzz", "vvarm", "colour")}
     assert got == {"aftcrwards": "afterwards", "harnmer": "hammer", "beliind": "behind", "liglit": "light", "toucli": "touch", "soiind": "sound", "tuming": "turning", "light": None, "zzz": None, "vvarm": "warm", "colour": None}
-    assert x.segments("warmlight") == ["warm", "light"] and x.segments("afterwards") is None
+
+
+def _read(text, lexicon=None):
+    defects, lines = scan.decode(text, "", lexicon or _lexicon())
+    return defects, "\n".join(t for t, _ in lines)
+
+
+def test_one_search_over_splits_merges_confusions_and_hyphens():
+    hyphen, char = (lambda w: ("hyphen_break", w)), (lambda w: ("char_error", w))
+    assert _read("the warmlight shows") == ([], "the warm light shows")
+    assert _read("the rea ders turn") == ([], "the readers turn")
+    # two errors in one place
+    assert _read("the warrnlight shows") == ([char("warm")], "the warm light shows")
+    assert _read("the after wards, behind") == ([], "the afterwards, behind")
+    assert _read("the aftcr wards turn") == ([char("afterwards")], "the afterwards turn")
+    assert _read("the aft-\ncrwards turn") == ([hyphen("afterwards")], "the afterwards\nturn")
+    assert _read("the des-\ncri be sound") == ([hyphen("describe")], "the describe\nsound")
+    # a compound keeps its own hyphen; a broken unknown word is put together, two words of their own are not
+    assert _read("a three-\nquarter view") == ([], "a three-quarter\nview")
+    assert _read("of Zamqua-\nlore here")[0] == [hyphen("zamqualore")] and _read("paper-\nlight old")[0] == []
+    # what stands between parts keeps them apart, and what is no word stays
+    assert _read("(rea) ders, 9:16 --ar f/8 b0x-3") == ([], "(rea) ders, 9:16 --ar f/8 b0x-3")
+    assert _read("LIGHT Liglit LIGLIT, old") == ([char("light")], "LIGHT Light LIGHT, old")
+    assert _read("") == ([], "") and _read("-\n-") == ([], "-\n-") and _read("x" * 5_000)[0] == []
+
+
+def test_a_long_run_of_unknown_text_takes_time_in_proportion():
+    import time
+
+    def took(n):
+        began = time.time()
+        _read(" ".join(f"zq{'abcdefgh'[k % 8]}wv" for k in range(n)))
+        return time.time() - began
+
+    took(200)
+    assert took(8_000) < 14 * max(took(1_000), 0.05)
 
 
 def test_frequent_misread_forms_do_not_pass():
@@ -40,7 +75,7 @@ def test_page_is_decoded():
     page = "CHAPTER 2 MOOD OF KOLTAS | 14\r\nReaders aftcrwards desc-\r\n[15]\r\nribe the three-\r\nquarter view. ISO 100\n9:9\n\nxiv\nA BOOK OF LlGHT".replace("LlGHT", "LIGHT")
     defects, lines = scan.decode(page, scan.title_of("inbox/A Book of Light.txt"), _lexicon())
     assert sorted(defects) == [("char_error", "afterwards"), ("hyphen_break", "describe"), ("page_number", "[15]"), ("page_number", "xiv"), ("running_header", "A BOOK OF LIGHT"), ("running_header", "CHAPTER 2 MOOD OF KOLTAS | 14")]
-    assert " ".join(t for t, _ in lines) == "Readers afterwards describe the three- quarter view. ISO 100 9:9"
+    assert " ".join(t for t, _ in lines) == "Readers afterwards describe the three-quarter view. ISO 100 9:9"
 
 
 def test_furniture():
