@@ -1,9 +1,13 @@
 """Abusive, hateful and sexual content: a score for every text, and rates per source.
 
-Compression-distance classification. A zstandard dictionary is trained on the phrases of each category and one on
-ordinary phrases; a window of a text is as near to a category as the share of bytes that the category's dictionary saves
-over the ordinary one when the window is compressed. The least saving that counts is calibrated for each category on labelled
-texts that its dictionary has not seen. Disguised spellings are undone first.
+Compression-distance classification. zstandard dictionaries are made of the windows of labelled texts, one of ordinary
+text and one of each category; a window of a text is as near to a category as the share of bytes that the category's
+dictionary saves over the ordinary one when the window is compressed. The least saving that counts is calibrated for
+each category on labelled texts that its dictionary has not seen. Every window is scored so, and nothing else decides.
+Disguised spellings are undone first.
+
+The dictionaries hold the mined windows themselves, indexed at every byte. zstandard's own training keeps only what
+recurs most in its samples, and finds less.
 """
 
 from __future__ import annotations
@@ -26,8 +30,10 @@ ORDINARY = "none"
 MAX_LABELLED = 20_000
 #: Words of a window and its step, for phrases of more than LONG words.
 WINDOW, STEP, LONG = 7, 2, 9
-#: Bytes of a dictionary: the windows nearest its end are kept.
-SIZE = 1 << 20
+#: Letters of a match: shorter ones let a rare name save a byte or two by chance.
+MATCH = 6
+#: What a wrongly flagged text weighs against a missed one: labelled samples hold far more cases than the corpus does.
+WRONG = 5
 #: Phrases whose result a worker keeps.
 _KEPT = 400_000
 
@@ -46,8 +52,8 @@ def _grams(window: str) -> list[str]:
     return [*w, *(f"{a} {b}" for a, b in zip(w, w[1:]))]
 
 
-def _mined(texts: list[tuple[str, list[str]]]) -> tuple[dict[str, list[str]], dict[str, set[str]]]:
-    """(windows by category, marks by category) out of (category, windows) of labelled texts.
+def _mined(texts: list[tuple[str, list[str]]]) -> dict[str, list[str]]:
+    """Windows by category out of (category, windows) of labelled texts.
 
     A label is of a whole text, most of which is ordinary. A window is a category's if it holds a word or pair of words
     found in enough texts, most of them of the category, and is labelled so more often than ordinary."""
@@ -78,7 +84,7 @@ def _mined(texts: list[tuple[str, list[str]]]) -> tuple[dict[str, list[str]], di
     close = {g for c in CATEGORIES for w in out[c] for g in w.split()}
     shared = {w: sum(g in close for g in w.split()) / (1 + w.count(" ")) for w in out[ORDINARY]}
     out[ORDINARY].sort(key=lambda w: (shared[w] > 0.5, votes[w].total(), w))
-    return out, marks
+    return out
 
 
 def _core(window: str, marks: set[str]) -> str:
@@ -89,13 +95,14 @@ def _core(window: str, marks: set[str]) -> str:
 
 
 class Compressor:
-    """Bytes of a text compressed with a dictionary of samples. The dictionary is the samples themselves, indexed at every
-    byte with short matches: the fast levels index every third byte and miss most of what a short window shares."""
+    """Bytes of a text compressed with a dictionary of samples. The dictionary is the samples themselves, whole, indexed at
+    every byte: the fast levels index every third byte and miss most of what a short window shares."""
 
     def __init__(self, samples: list[str]) -> None:
-        made = zstandard.ZstdCompressionDict("\n".join(samples).encode()[-SIZE:], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        content = "\n".join(samples).encode()
+        made = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         own = zstandard.ZstdCompressionParameters.from_level(
-            13, source_size=64, dict_size=SIZE, strategy=zstandard.STRATEGY_BTLAZY2, min_match=4,
+            13, source_size=64, dict_size=max(len(content), 1 << 20), strategy=zstandard.STRATEGY_BTLAZY2, min_match=MATCH,
             write_content_size=False, write_checksum=False, write_dict_id=False, format=zstandard.FORMAT_ZSTD1_MAGICLESS,
         )
         made.precompute_compress(compression_params=own)
@@ -106,36 +113,31 @@ class Compressor:
 
 
 class Model:
-    """Dictionaries, marks and the least saving that counts, by category. Holds samples only, so that it can be sent."""
+    """Dictionaries and the least saving that counts, by category. Holds samples only, so that it can be sent."""
 
-    def __init__(self, samples: dict[str, list[str]], marks: dict[str, set[str]], thresholds: dict[str, float]) -> None:
-        self.samples, self.marks, self.thresholds = samples, marks, thresholds
+    def __init__(self, samples: dict[str, list[str]], thresholds: dict[str, float]) -> None:
+        self.samples, self.thresholds = samples, thresholds
         self._by: dict[str, Compressor] | None = None
         self._kept: dict[str, tuple[str, int] | None] = {}
 
     def __getstate__(self):
-        return self.samples, self.marks, self.thresholds
+        return self.samples, self.thresholds
 
     def __setstate__(self, state) -> None:
         self.__init__(*state)
 
     def saving(self, window: str) -> tuple[str, int] | None:
         """The category that saves most of the bytes of the ordinary dictionary, and their share in thousandths; None if
-        none saves any. Only a category of which the window bears a mark counts, so that a byte or two that any
-        larger dictionary saves on a rare name does not."""
+        none saves any."""
         if window in self._kept:
             return self._kept[window]
-        grams = _grams(window)
-        marked = [c for c in CATEGORIES if self.samples.get(c) and not self.marks[c].isdisjoint(grams)]
-        if not marked:
-            return None
         if self._by is None:
             # a category's dictionary is the ordinary one with the category's windows after it, so that only they save
             ordinary = self.samples.get(ORDINARY, [])
             self._by = {c: Compressor([*(ordinary if c != ORDINARY else []), *s]) for c, s in self.samples.items() if s}
         data = window.encode()
         plain = self._by[ORDINARY].size(data) if ORDINARY in self._by else len(data)
-        best = max(((plain - self._by[c].size(data), c) for c in marked), default=(0, ""))
+        best = max(((plain - self._by[c].size(data), c) for c in CATEGORIES if c in self._by), default=(0, ""))
         if len(self._kept) >= _KEPT:
             self._kept.clear()
         out = self._kept[window] = (best[1], 1000 * best[0] // plain) if best[0] > 0 else None
@@ -153,7 +155,8 @@ class Model:
 
 
 def _best_threshold(scored: list[tuple[int, bool]]) -> float:
-    """The least score at which F1 is highest; among equal ones the middle. With no positives nothing passes."""
+    """The least score at which F1 is highest, where a wrong one weighs as WRONG missed ones; among equal ones the middle. With
+    no positives nothing passes."""
     scored.sort(key=lambda x: -x[0])
     positives = sum(y for _, y in scored)
     if not positives:
@@ -163,7 +166,7 @@ def _best_threshold(scored: list[tuple[int, bool]]) -> float:
         hit += y
         following = scored[k + 1][0] if k + 1 < len(scored) else 0
         if following < s and s > 0:
-            f = 2 * hit / (k + 1 + positives)
+            f = 2 * hit / (hit + WRONG * (k + 1 - hit) + positives)
             if f > best:
                 best, at = f, (s + max(following, 0)) / 2
     return at
@@ -176,7 +179,7 @@ def fit(labelled: list[tuple[str, str]], folds: int = 3) -> Model:
     fold = [int(hashlib.md5("|".join(w).encode()).hexdigest(), 16) % folds for _, w in texts]
     scored: dict[str, list[tuple[int, bool]]] = defaultdict(list)
     for k in range(folds):
-        held = Model(*_mined([t for t, f in zip(texts, fold) if f != k]), {})
+        held = Model(_mined([t for t, f in zip(texts, fold) if f != k]), {})
         for (category, own), f in zip(texts, fold):
             if f == k:
                 best: dict[str, int] = {}
@@ -185,7 +188,7 @@ def fit(labelled: list[tuple[str, str]], folds: int = 3) -> Model:
                         best[s[0]] = max(best.get(s[0], 0), s[1])
                 for c in CATEGORIES:
                     scored[c].append((best.get(c, 0), c == category))
-    return Model(*_mined(texts), {c: _best_threshold(scored[c]) for c in CATEGORIES})
+    return Model(_mined(texts), {c: _best_threshold(scored[c]) for c in CATEGORIES})
 
 
 def fit_on(labels: DataFrame, texts: DataFrame, max_labelled: int = MAX_LABELLED) -> Model:

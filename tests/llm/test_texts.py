@@ -183,6 +183,26 @@ def test_content_held_out_accuracy():
     assert 2 * tp / (2 * tp + fp + fn) > 0.95
 
 
+def test_compression_decides_and_no_word_list():
+    rng = random.Random(18)
+    train, test = _texts(rng, 600), _texts(rng, 400)
+    m = abuse.fit(train)
+    # a list of the words that most labelled texts with them make abusive, against the same held-out texts
+    seen: dict[str, list[int]] = {}
+    for c, t in train:
+        for w in set(t.replace(",", "").split()):
+            seen.setdefault(w, []).append(c == "abusive")
+    listed = {w for w, y in seen.items() if len(y) > 2 and sum(y) >= 0.7 * len(y)}
+    f1 = lambda hits: 2 * sum(a and b for a, b in hits) / max(1, sum(a for a, _ in hits) + sum(b for _, b in hits))
+    by_words = f1([(c == "abusive", bool(listed & set(t.replace(",", "").split()))) for c, t in test])
+    by_size = f1([(c == "abusive", m.scores(t).get("abusive", (0, ""))[0] >= m.thresholds["abusive"]) for c, t in test])
+    assert by_size >= by_words and by_size > 0.95
+    # nothing but the dictionaries is kept, and long samples are kept whole
+    assert m.__getstate__() == (m.samples, m.thresholds)
+    long = abuse.Compressor(["you are a stupid fool", *(f"word{k} other{k * 7} filling{k * 13}" for k in range(60_000))])
+    assert long.size(b"you are a stupid fool") < 14
+
+
 def test_content_edge_cases(spark):
     rng = random.Random(9)
     data = [(i, *x) for i, x in enumerate(_texts(rng, 300))]
