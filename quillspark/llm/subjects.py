@@ -1,11 +1,14 @@
-"""Subject areas of texts by propagating labels over a similarity graph.
-
-The graph joins texts to their phrases and phrases to their terms (words and pairs of words); two texts are neighbours
-where they share terms. Trusted seeds, the labelled sample, give each term they hold often enough the subject that most
-of the texts with it bear; a phrase takes the subject that its terms agree on, verified by at least two terms and most
-of their weight, so one shared word makes no link; and phrases hand their subject on to terms that the seeds do not
-know, round by round. The terms of the seeds stay clamped. A text keeps the subjects of all its phrases. Terms that the
-seeds show to be of no subject (mediums, light, materials) drop out of the graph at once, and with them most phrases.
+"""Subject areas of texts by propagating labels over a similarity graph of documents.
+
+Documents are neighbours through what they share: a document is joined to its phrases, and a phrase to its terms (words
+and pairs of words), so that a large group of similar documents is a star and not all its pairs. Labelled documents are
+the seeds. First all seeds vote: a term that enough of them hold takes the subject that most of these bear. A phrase takes
+the subject its terms agree on; that link is verified by at least two terms and most of their weight, so one shared word
+makes none. Seeds whose own phrases then say what their labels say are trusted; the others are released and count no
+more. The votes are taken again among trusted seeds, and from these on labels spread by joins, round by round, from
+phrases to terms that no seed holds and on to the phrases of further documents, until nothing changes. Trusted seeds
+stay clamped, in every round and in the result; a document keeps the subjects of all its phrases. Terms that the seeds
+show to be of no subject (mediums, light, materials) drop out of the graph at once, and with them most phrases.
 """
 
 from __future__ import annotations
@@ -21,8 +24,8 @@ LONG, WINDOW, STEP = 14, 8, 4
 SEEDS, PURITY, PHRASES, PHRASE_PURITY = 4, 0.65, 3, 0.7
 #: A phrase needs so many terms and so much weight for its subject, and this share of all weight.
 TERMS, WEIGHT, MAJORITY = 2, 1.0, 0.6
-#: Rounds of propagation after the seeds.
-ROUNDS = 2
+#: Rounds that cannot be needed: each takes up terms for good, and none has ever needed more than a few.
+ROUNDS = 50
 _BREAKS = "[,.;:!?|\\n\\r\"“”„(){}\\[\\]—–…•<>/\\\\]+|\\s-\\s|\\s--"
 
 
@@ -62,12 +65,42 @@ def _phrase_subjects(edges: DataFrame, known: DataFrame) -> DataFrame:
     return best.where((F.col("b.n") >= TERMS) & (F.col("b.w") >= WEIGHT) & (F.col("b.w") >= MAJORITY * F.col("all"))).select("phrase", F.col("b.subject").alias("subject"))
 
 
+def _votes(held: DataFrame, named: DataFrame, every: DataFrame | None = None) -> DataFrame:
+    """(term, n, subject, k): of each term that enough seeds hold (those of `every`, if given, released ones too), how many of
+    held do and how many of them bear a subject."""
+    n = held.groupBy("term").agg(F.count("*").alias("n"))
+    enough = (held if every is None else every).groupBy("term").agg(F.count("*").alias("_all")).where(F.col("_all") >= SEEDS).select("term")
+    n = n.join(enough, "term", "left_semi")
+    k = held.join(named, "record_id").groupBy("term", "subject").agg(F.count("*").alias("k"))
+    return n.join(k, "term", "left").fillna(0, ["k"])
+
+
+def _decided(votes: DataFrame) -> DataFrame:
+    return votes.where(F.col("k") >= PURITY * F.col("n")).select("term", "subject", _weight("k", "n").alias("weight"))
+
+
+def _of_phrases(phrases: DataFrame) -> DataFrame:
+    """(phrase, term) of distinct phrases p."""
+    return phrases.distinct().select(F.xxhash64("p").alias("phrase"), F.explode(terms(F.col("p"))).alias("term"))
+
+
+def trusted_seeds(seeds: DataFrame, named: DataFrame, known: DataFrame) -> DataFrame:
+    """(record_id) of seeds (record_id, phrases) whose phrases, by what all seeds say of their terms, have the subjects that
+    they are labelled with: all of these, and no other."""
+    marked = _phrase_subjects(_of_phrases(seeds.select(F.explode("phrases").alias("p"))), known)
+    own = seeds.select("record_id", F.explode(F.transform("phrases", lambda p: F.xxhash64(p))).alias("phrase"))
+    found = own.join(marked, "phrase").select("record_id", "subject").distinct().withColumn("found", F.lit(True))
+    wrong = named.withColumn("named", F.lit(True)).join(found, ["record_id", "subject"], "full_outer").where("named is null or found is null")
+    return seeds.select("record_id").distinct().join(wrong.select("record_id").distinct(), "record_id", "left_anti")
+
+
 def assign(records: DataFrame, labels: DataFrame, id_col: str, text_cols: list[str], subjects: list[str] | None = None, rounds: int = ROUNDS) -> DataFrame:
     """(record_id, subject), distinct, for every record and every subject found in it.
 
     labels: (record_id, subject) in any case, with `none` for a record of no subject; subjects, if given, limits them.
-    Wrong labels are outvoted by the other seeds of a term, the seed's own included. Records with a null id, whose first text is null
-    or blank, have none; further texts are read with it. Without labels the result is empty."""
+    Trusted labels hold as they are; wrong ones are outvoted by the other seeds and released. Records with a null id, whose
+    first text is null or blank, have none; further texts are read with it. Without labels the result is empty. More
+    than `rounds` rounds raise."""
     first = records[text_cols[0]]
     text = F.concat_ws("\n", *[records[c] for c in text_cols])
     parsed = materialise(
@@ -78,33 +111,31 @@ def assign(records: DataFrame, labels: DataFrame, id_col: str, text_cols: list[s
     named = given.where(F.col("subject") != "none")
     if subjects is not None:
         named = named.where(F.col("subject").isin([s.lower() for s in subjects]))
-    # seeds: of each term, how many seeds hold it and how many of them bear each subject
-    seeds = parsed.join(given.select("record_id").distinct(), "record_id", "left_semi")
-    held = materialise(seeds.select("record_id", F.explode(F.array_distinct(F.flatten(F.transform("phrases", terms)))).alias("term")), "subjects-seeds")
-    n = held.groupBy("term").agg(F.count("*").alias("n"))
-    k = held.join(named, "record_id").groupBy("term", "subject").agg(F.count("*").alias("k"))
-    shares = n.where(F.col("n") >= SEEDS).join(k, "term", "left")
-    shares = materialise(shares.fillna(0, ["k"]), "subjects-shares")
-    known = shares.where(F.col("k") >= PURITY * F.col("n")).select("term", "subject", _weight("k", "n").alias("weight"))
-    seen = shares.select("term").distinct()
+    seeds = materialise(parsed.join(given.select("record_id").distinct(), "record_id", "left_semi"), "subjects-seeds")
+    named = materialise(named.join(seeds.select("record_id").distinct(), "record_id", "left_semi"), "subjects-named")
+    held = materialise(seeds.select("record_id", F.explode(F.array_distinct(F.flatten(F.transform("phrases", terms)))).alias("term")), "subjects-held")
+    trusted = materialise(trusted_seeds(seeds, named, _decided(_votes(held, named))), "subjects-trusted")
+    clamped = materialise(named.join(trusted, "record_id", "left_semi"), "subjects-clamped")
+    votes = materialise(_votes(held.join(trusted, "record_id", "left_semi"), clamped, held), "subjects-votes")
+    known = materialise(_decided(votes), "subjects-known")
+    seen = votes.select("term").distinct()
     settled = seen.join(known.select("term"), "term", "left_anti")
 
-    listed = parsed.select(F.explode("phrases").alias("p")).distinct()
-    edges = listed.select(F.xxhash64("p").alias("phrase"), F.explode(terms(F.col("p"))).alias("term"))
+    edges = _of_phrases(parsed.select(F.explode("phrases").alias("p")))
     edges = materialise(edges.join(settled, "term", "left_anti"), "subjects-edges")
     for _ in range(rounds):
-        marked = _phrase_subjects(edges, known)
-        new = edges.join(seen, "term", "left_anti")
-        by = new.join(marked, "phrase", "left").groupBy("term", "subject").agg(F.count("*").alias("k"))
+        marked = materialise(_phrase_subjects(edges, known), "subjects-marked")
+        by = edges.join(seen, "term", "left_anti").join(marked, "phrase", "left").groupBy("term", "subject").agg(F.count("*").alias("k"))
         total = by.groupBy("term").agg(F.sum("k").alias("n"), F.max(F.when(F.col("subject").isNotNull(), F.struct("k", "subject"))).alias("b"))
         taken = total.where((F.col("b.k") >= PHRASES) & (F.col("b.k") >= PHRASE_PURITY * F.col("n"))).select("term", F.col("b.subject").alias("subject"), _weight("b.k", "n").alias("weight"))
-        # seeds stay as they are; what phrases gave is worked out anew each round
-        known = materialise(shares.where(F.col("k") >= PURITY * F.col("n")).select("term", "subject", _weight("k", "n").alias("weight")).unionByName(taken), "subjects-known")
-    marked = _phrase_subjects(edges, known)
-    return (
-        parsed.select("record_id", F.explode(F.transform("phrases", lambda p: F.xxhash64(p))).alias("phrase"))
-        .join(marked, "phrase").select("record_id", "subject").distinct()
-    )
+        taken = materialise(taken, "subjects-taken")
+        if taken.isEmpty():
+            break
+        known, seen = known.unionByName(taken), seen.unionByName(taken.select("term"))
+    else:
+        raise RuntimeError(f"labels still spread after {rounds} rounds")
+    found = parsed.select("record_id", F.explode(F.transform("phrases", lambda p: F.xxhash64(p))).alias("phrase")).join(marked, "phrase").select("record_id", "subject").distinct()
+    return found.join(trusted, "record_id", "left_anti").unionByName(clamped.select("record_id", "subject"))
 
 
 def composition(records: DataFrame, assigned: DataFrame, id_col: str, text_col: str) -> DataFrame:

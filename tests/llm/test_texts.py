@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from quillspark.llm import abuse, leak, scan, split, subjects
 from quillspark.llm.spelling import phrases, plain
@@ -137,6 +138,24 @@ def test_subjects_spread_from_seeds(spark):
     assert set(share) == {"music", "food", "none"} and share["none"] >= 25
 
 
+def test_labels_spread_until_nothing_changes_and_trusted_seeds_hold(spark):
+    data = [(i, f"a0 b0 filler{i}") for i in range(8)]
+    for h, n in enumerate((120, 36, 12, 3), 1):  # each step knows two words of the one before and brings two new ones
+        data += [(1000 * h + k, f"a{h - 1} b{h - 1} a{h} b{h} other{h}x{k}") for k in range(n)]
+    data += [(900, "a3 b3 last"), (901, "a0 b0 wrong"), (902, "nothing like it")]
+    df = spark.createDataFrame(data, "record_id bigint, t string")
+    labels = spark.createDataFrame([(i, "food") for i in range(8)] + [(901, "law"), (902, "law")], "record_id bigint, subject string")
+    got = set(rows(subjects.assign(df, labels, "record_id", ["t"])))
+    # a seed against which all others speak is released; nothing tells of the last, which is not trusted either
+    assert got == {(i, "food") for i, _ in data if i != 902}
+    with pytest.raises(RuntimeError):
+        subjects.assign(df, labels, "record_id", ["t"], rounds=2)
+    known = spark.createDataFrame([(1, ["x y", "z"]), (2, ["x y"]), (3, ["z"]), (4, ["x y"])], "record_id bigint, phrases array<string>")
+    named = spark.createDataFrame([(1, "food"), (2, "law"), (4, "food"), (4, "law")], "record_id bigint, subject string")
+    terms = known.where("record_id = 2").select(F.explode(subjects.terms(F.lit("x y"))).alias("term")).selectExpr("term", "'food' as subject", "0.9d as weight")
+    assert rows(subjects.trusted_seeds(known, named, terms)) == [(1,), (3,)]
+
+
 def test_a_phrase_needs_two_terms(spark):
     labels = spark.createDataFrame([(i, "food") for i in range(8)] + [(i, "none") for i in range(8, 16)], "record_id bigint, subject string")
     df = spark.createDataFrame([(i, "bread") for i in range(8)] + [(i, "stone") for i in range(8, 17)], "record_id bigint, t string")
