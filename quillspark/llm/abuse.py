@@ -192,12 +192,12 @@ def fit(labelled: list[tuple[str, str]], folds: int = 3) -> Model:
 
 
 def fit_on(labels: DataFrame, texts: DataFrame, max_labelled: int = MAX_LABELLED) -> Model:
-    """A model of labels (table_name, record_id, category) joined with texts (table_name, record_id, text): at most
-    max_labelled of them, by hash."""
+    """A model of labels (table_name, record_id, category) joined with texts (table_name, record_id, text): of at most
+    max_labelled labels, by hash, and the different texts that stand under their ids."""
     known = labels.select("table_name", "record_id", F.lower(F.trim("category")).alias("category")).where("category is not null").distinct()
     rows = (
         texts.where("text is not null").select("table_name", "record_id", "text").join(F.broadcast(known.orderBy(F.xxhash64("table_name", "record_id")).limit(max_labelled)), ["table_name", "record_id"])
-        .select("category", "text").limit(2 * max_labelled).collect()
+        .select("category", "text").distinct().collect()
     )
     return fit(sorted((r[0], r[1]) for r in rows))
 

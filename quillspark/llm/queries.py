@@ -56,8 +56,7 @@ def p4_members(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .subjects import assign
 
-    areas = [r[0] for r in table(spark, sf_dir, "subject_areas").select("subject").limit(1000).collect() if r[0]]
-    return assign(table(spark, sf_dir, "lexica_cleaned"), table(spark, sf_dir, "subject_labels"), "record_id", ["positive_template", "concept"], areas)
+    return assign(table(spark, sf_dir, "lexica_cleaned"), table(spark, sf_dir, "subject_labels"), "record_id", ["positive_template", "concept"], table(spark, sf_dir, "subject_areas"))
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:

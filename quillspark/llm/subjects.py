@@ -94,11 +94,11 @@ def trusted_seeds(seeds: DataFrame, named: DataFrame, known: DataFrame) -> DataF
     return seeds.select("record_id").distinct().join(wrong.select("record_id").distinct(), "record_id", "left_anti")
 
 
-def assign(records: DataFrame, labels: DataFrame, id_col: str, text_cols: list[str], subjects: list[str] | None = None, rounds: int = ROUNDS) -> DataFrame:
+def assign(records: DataFrame, labels: DataFrame, id_col: str, text_cols: list[str], subjects: DataFrame | None = None, rounds: int = ROUNDS) -> DataFrame:
     """(record_id, subject), distinct, for every record and every subject found in it.
 
-    labels: (record_id, subject) in any case, with `none` for a record of no subject; subjects, if given, limits them.
-    Trusted labels hold as they are; wrong ones are outvoted by the other seeds and released. Records with a null id, whose
+    labels: (record_id, subject) in any case, with `none` for a record of no subject; subjects (subject), if given, limits
+    them. Trusted labels hold as they are; wrong ones are outvoted by the other seeds and released. Records with a null id, whose
     first text is null or blank, have none; further texts are read with it. Without labels the result is empty. More
     than `rounds` rounds raise."""
     first = records[text_cols[0]]
@@ -110,7 +110,7 @@ def assign(records: DataFrame, labels: DataFrame, id_col: str, text_cols: list[s
     given = labels.select(F.col("record_id").cast("bigint").alias("record_id"), F.lower(F.trim("subject")).alias("subject")).where("record_id is not null and subject is not null").distinct()
     named = given.where(F.col("subject") != "none")
     if subjects is not None:
-        named = named.where(F.col("subject").isin([s.lower() for s in subjects]))
+        named = named.join(subjects.select(F.lower(F.trim("subject")).alias("subject")).distinct(), "subject", "left_semi").select("record_id", "subject")
     seeds = materialise(parsed.join(given.select("record_id").distinct(), "record_id", "left_semi"), "subjects-seeds")
     named = materialise(named.join(seeds.select("record_id").distinct(), "record_id", "left_semi"), "subjects-named")
     held = materialise(seeds.select("record_id", F.explode(F.array_distinct(F.flatten(F.transform("phrases", terms)))).alias("term")), "subjects-held")

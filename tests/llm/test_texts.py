@@ -129,7 +129,7 @@ def test_subjects_spread_from_seeds(spark):
             labels += [(i, x.upper() if i % 7 == 0 else x) for x in ({"food", "music"} - truth if wrong and len(truth) == 1 else truth or {"none"})]
     df = spark.createDataFrame([(i, t, "c", "z", 1) for i, t, _ in data] + [(900, None, "old baker", "", 1), (901, " ", "", "", 1), (None, "x", "", "", 1)], "record_id bigint, positive_template string, concept string, phrase string, term int")
     lab = spark.createDataFrame(labels + [labels[0], (None, "food"), (3, None)], "record_id bigint, subject string")
-    got = set(rows(subjects.assign(df, lab, "record_id", ["positive_template"], ["music", "food"])))
+    got = set(rows(subjects.assign(df, lab, "record_id", ["positive_template"], spark.createDataFrame([("Music ",), ("food",), (None,)], "subject string"))))
     want = {(i, s) for i, _, truth in data for s in truth}
     assert len(got & want) >= 0.97 * len(want) and len(got - want) <= 0.02 * len(want)
     assert subjects.assign(df, lab.where("false"), "record_id", ["positive_template"]).count() == 0
