@@ -5,13 +5,13 @@ from __future__ import annotations
 import argparse
 import json
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .catalog import Catalog
 from .operators import library, render
 from .plans.pipelines import import_file
-from .session import get_spark
+from .session import get_spark, release
 from .sources.files import import_document
 
 
@@ -36,6 +36,15 @@ def _listed(df: DataFrame) -> int:
 
 
 def main(argv: list[str] | None = None) -> int:
+    """Runs one command and deletes what it wrote in between."""
+    try:
+        return _run(argv)
+    finally:
+        if spark := SparkSession.getActiveSession():
+            release(spark)
+
+
+def _run(argv: list[str] | None) -> int:
     p = argparse.ArgumentParser(prog="quillspark")
     p.add_argument("--root", default="library", help="folder of the stored tables")
     sub = p.add_subparsers(dest="command", required=True)

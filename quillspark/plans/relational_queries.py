@@ -351,11 +351,14 @@ def u07(spark, d):
     return merge.replace_members(members, chosen.select("set_id"), chosen, [F.desc("prompt_id")])
 
 
-@R.add("u08_json_patch", """SELECT record_id, original_source, 'eval-core' AS picked FROM lexica_cleaned""")
+@R.add(
+    "u08_json_patch",
+    """WITH o AS (SELECT record_id, CASE WHEN json_valid(metadata) AND json_type(metadata) = 'OBJECT' THEN metadata ELSE '{}' END AS m FROM lexica_cleaned),
+    e AS (SELECT record_id, k, json_extract_string(m, '$."' || k || '"') AS v FROM (SELECT record_id, m, unnest(json_keys(m)) AS k FROM o) WHERE k <> 'eval_selection' UNION ALL SELECT record_id, 'eval_selection', 'eval-core' FROM o)
+    SELECT record_id, '{' || string_agg(to_json(k) || ':' || coalesce(to_json(v), 'null'), ',' ORDER BY k) || '}' AS metadata FROM e GROUP BY 1""",
+)
 def u08(spark, d):
-    base = F.to_json(F.struct(F.col("original_source").alias("s"), F.lit("x").alias("eval_selection")), {"ignoreNullFields": "false"})
-    p = table(spark, d, "lexica_cleaned").select("record_id", merge.patch_json(base, "eval_selection", F.lit("eval-core")).alias("j"))
-    return p.select("record_id", F.get_json_object("j", "$.s").alias("original_source"), F.get_json_object("j", "$.eval_selection").alias("picked"))
+    return table(spark, d, "lexica_cleaned").select("record_id", merge.patch_json(F.col("metadata"), "eval_selection", F.lit("eval-core")).alias("metadata"))
 
 
 @R.add("u09_dedupe_lower", r"SELECT record_id FROM (SELECT record_id, row_number() OVER (PARTITION BY lower(trim(regexp_replace(positive_template, '[\s\pZ]+', ' ', 'g'))) ORDER BY record_id) AS n FROM lexica_cleaned WHERE positive_template IS NOT NULL) WHERE n = 1")
@@ -427,11 +430,27 @@ def g08(spark, d):
     return jobs.fold_states(e)
 
 
-@R.add("g07_response_errors", """SELECT record_id, CASE record_id % 5 WHEN 0 THEN 'not an object' WHEN 1 THEN 'missing key: notes' WHEN 2 THEN 'not a string: notes' WHEN 3 THEN 'unbound: zz' ELSE 'omitted: camera' END AS error FROM lexica_cleaned""")
+_RESPONSES = """r AS (SELECT record_id, original_source, concept, negative_template, batch_no, list_sort(list_distinct(list_filter(coalesce(wildcard_refs, []), lambda x: x <> 'concept'))) AS keys FROM lexica_cleaned),
+ g AS (SELECT *, list_filter(keys, lambda x: length(x) % 2 = 0) AS gone FROM r)"""
+
+
+@R.add(
+    "g07_response_errors",
+    f"""WITH {_RESPONSES} SELECT record_id, CASE WHEN original_source IS NULL THEN 'not an object' WHEN concept IS NULL THEN 'missing key: notes' WHEN negative_template IS NULL THEN 'not a string: notes'
+    WHEN batch_no % 7 = 0 THEN 'unbound: zz' WHEN len(gone) > 0 THEN 'omitted: ' || array_to_string(gone, ',') END AS error FROM g""",
+)
 def g07(spark, d):
-    forms = ["[1]", '{"positive_template": "a", "negative_template": ""}', '{"positive_template": "a", "negative_template": "", "notes": 3}', '{"positive_template": "{camera} {zz}", "negative_template": "", "notes": ""}', '{"positive_template": "x", "negative_template": "", "notes": ""}']
-    r = F.element_at(F.array(*[F.lit(f) for f in forms]), (F.col("record_id") % 5 + 1).cast("int"))
-    return table(spark, d, "lexica_cleaned").select("record_id", jobs.response_error(r, F.array(F.lit("camera"))).alias("error"))
+    """Responses made of the records: an array where there is no source, notes left out or a number, a placeholder too many, and
+    some keys left out."""
+    r = table(spark, d, "lexica_cleaned").withColumn("wildcard_refs", F.coalesce("wildcard_refs", F.array().cast("array<string>")))
+    kept = F.array_join(F.transform(F.filter("wildcard_refs", lambda x: F.length(x) % 2 != 0), lambda x: F.concat(F.lit(" {"), x, F.lit("}"))), "")
+    positive = F.concat(F.regexp_replace(F.coalesce("original_prompt", F.lit("")), r"[{}]|__", " "), kept, F.when(F.col("batch_no") % 7 == 0, F.lit(" {zz}")).otherwise(F.lit("")))
+    negative = F.lit("").alias("negative_template")
+    text = F.to_json(F.struct(positive.alias("positive_template"), negative, F.col("concept").alias("notes")))
+    number = F.to_json(F.struct(positive.alias("positive_template"), negative, F.length("concept").alias("notes")))
+    response = F.when(F.col("original_source").isNull(), F.lit("[1]")).when(F.col("negative_template").isNull(), number).otherwise(text)
+    required = F.array_remove(F.array_distinct("wildcard_refs"), "concept")
+    return r.select("record_id", jobs.response_error(response, required).alias("error"))
 
 
 @R.add("g07_tasks", BASE + f", {_TARGETS}, {_JOBS}, {_CELLS} SELECT prompt_id, style_id, identifier FROM cells JOIN prompts ON prompts.id = prompt_id")
@@ -472,9 +491,9 @@ def m08(spark, d):
     return table(spark, d, "lexica_cleaned").select("record_id", seed(F.coalesce("identifier", F.lit("")), F.col("record_id")).alias("seed"))
 
 
-@R.add("m09_quotas", "SELECT * FROM (VALUES ('photography', 21), ('anime-cartoon', 21), ('illustration-painting', 21), ('cgi-render', 20), ('mixed-hard-general', 20)) AS t(domain, quota)")
+@R.add("m09_quotas", "SELECT CAST(n AS BIGINT) AS target, domain, CAST(n // 5 + CASE WHEN k < n % 5 THEN 1 ELSE 0 END AS INT) AS quota FROM range(1, 301) AS r(n), (VALUES ('photography', 0), ('anime-cartoon', 1), ('illustration-painting', 2), ('cgi-render', 3), ('mixed-hard-general', 4)) AS t(domain, k)")
 def m09(spark, d):
-    return spark.createDataFrame(list(evalset.quotas(103).items()), "domain string, quota int")
+    return spark.createDataFrame([(n, k, q) for n in range(1, 301) for k, q in evalset.quotas(n).items()], "target bigint, domain string, quota int")
 
 
 @R.add("g03_diverse")
@@ -525,9 +544,13 @@ def j06(spark, d):
     return lib.prompts.select("id").join(_members(lib).where("enabled").select(F.col("prompt_id").alias("id")), "id", "left_semi")
 
 
-@R.add("j10_unbound_keys", R.sql["g05_validate"])
+@R.add("j10_unbound_keys", BASE + f"SELECT unnest({_KEYS_OF}) AS wildcard_key FROM templates WHERE enabled EXCEPT SELECT wildcard_key FROM bindings JOIN definitions USING (definition_id, wildcard_key) WHERE status = 'active'")
 def j10(spark, d):
-    return g05(spark, d)
+    """Keys that enabled templates use and no prompt binds to an active definition."""
+    lib = Library(spark, d)
+    used = lib.templates.where("enabled").select(F.explode(T.placeholder_keys(F.col("positive"))).alias("wildcard_key")).distinct()
+    bound = lib.bindings.join(lib.definitions.where("status = 'active'").select("definition_id"), "definition_id").select("wildcard_key").distinct()
+    return used.join(bound, "wildcard_key", "left_anti")
 
 
 @R.add("g09_worker", BASE + f", {_TARGETS}, {_JOBS}, {_CELLS} SELECT prompt_id, style_id, CASE WHEN prompt_id % 3 = 0 THEN 'no answer' END AS error FROM cells")

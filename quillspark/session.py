@@ -40,7 +40,7 @@ _WRITTEN: list[str] = []
 
 
 def release(spark: SparkSession) -> int:
-    """Deletes the tables that materialise() wrote in this process and returns how many. To be called when the results that
+    """Deletes what materialise() and others wrote to scratch() in this process and returns how many paths. To be called when the results that
     read them have been written or collected."""
     jvm, n = spark.sparkContext._jvm, len(_WRITTEN)
     while _WRITTEN:
@@ -49,12 +49,18 @@ def release(spark: SparkSession) -> int:
     return n
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, which release() deletes."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
+    return path
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write df as a compressed table in the shared folder and read it back: cuts lineage, is read column by column,
     and survives the loss of any executor."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    _WRITTEN.append(path)
+    path = scratch(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
