@@ -17,7 +17,6 @@ itself, never the texts of history; rows of its new classes are appended, and hi
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,17 +24,17 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.session import materialise, shared_dir
+from quillspark.session import materialise, scratch
 
 from .text import prompt_words
 
 #: Largest distance of a repeat: three quarters of n words stay, so 0.75 n of 1.25 n different words are shared.
 RADIUS = 0.4
 #: Near pivots in a key, keys of a class, buckets of the table of word frequencies (its size is fixed).
-ROWS, BANDS, BUCKETS = 3, 14, 1 << 17
-#: Bounds of a word's weight: a word of most texts still counts, so that large families of near copies meet, and a word of
-#: one text does not outweigh all others.
-LIGHTEST, HEAVIEST = 2.0, 6.0
+ROWS, BANDS, BUCKETS = 3, 20, 1 << 17
+#: Bounds of a word's weight: a word of most texts still counts, so that large families of near copies meet, and rare words
+#: do not outweigh the others, as they may be the ones that were replaced.
+LIGHTEST, HEAVIEST = 1.0, 2.5
 #: Classes under one key from which on it is hot, and about how many of them lead it.
 HOT, LEADERS = 20_000, 64
 #: Far pivots: distances of 0 or 1, as bits in two longs.
@@ -265,5 +264,5 @@ def check_new(records: DataFrame, batches: DataFrame, id_col: str = "record_id",
     history = records.join(new, batch == new["batch"], "left_anti")
     arrived = records.join(new, batch == new["batch"], "left_semi")
     spark = records.sparkSession
-    index = HistoryIndex.create(parsed(history, id_col, text_col, "batch_no"), f"{shared_dir(spark)}/history-index-{uuid.uuid4().hex}")
+    index = HistoryIndex.create(parsed(history, id_col, text_col, "batch_no"), scratch(spark, "history-index"))
     return index.check(parsed(arrived, id_col, text_col, "batch_no"), hot, exact, append=False)
