@@ -6,7 +6,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -30,15 +30,46 @@ def text_sources(templates: DataFrame, prompts: DataFrame) -> DataFrame:
 
 def term_counts(texts: DataFrame, categories: dict[str, list[str]] | None = None, at_least: int = 2) -> DataFrame:
     """(category, term, n): matches of every pattern of every category over all texts, terms of more than two letters found
-    so often. One projection finds all, and counts are combined before the shuffle."""
-    low = F.lower("text")
-    found = [_tagged(low, p, c) for c, patterns in (categories or CATEGORIES).items() for p in patterns]
-    each = texts.where("text is not null").select(F.explode(F.flatten(F.array(*found))).alias("f")).select("f.category", "f.term")
-    return each.where(F.length("term") > 2).groupBy("category", "term").agg(F.count("*").alias("n")).where(F.col("n") >= at_least)
-
-
-def _tagged(low, pattern: str, category: str):
-    return F.transform(F.regexp_extract_all(low, F.lit("(?U)" + pattern), 0), lambda x: F.struct(F.lit(category).alias("category"), strip(x).alias("term")))
+    so often. Equal texts are searched once and count as often as they occur; one projection finds all, and counts are
+    combined before the shuffle."""
+    found = [_tagged(F.col("low"), p, c) for c, patterns in (categories or CATEGORIES).items() for p in patterns]
+    each = texts.where("text is not null").groupBy(F.lower("text").alias("low")).agg(F.count("*").alias("times"))
+    each = each.select("times", F.explode(F.flatten(F.array(*found))).alias("f")).select("f.category", "f.term", "times")
+    return each.where(F.length("term") > 2).groupBy("category", "term").agg(F.sum("times").alias("n")).where(F.col("n") >= at_least)
+
+
+def _tagged(low: Column, pattern: str, category: str) -> Column:
+    """What a pattern finds; it is tried only where one of the letters that its alternatives begin with occurs."""
+    found = F.transform(F.regexp_extract_all(low, F.lit("(?U)" + pattern), 0), lambda x: F.struct(F.lit(category).alias("category"), strip(x).alias("term")))
+    heads = beginnings(pattern)
+    if not heads:
+        return found
+    there = low.contains(heads[0])
+    for h in heads[1:]:
+        there = there | low.contains(h)
+    return F.when(there, found).otherwise(F.array().cast("array<struct<category:string,term:string>>"))
+
+
+def beginnings(pattern: str) -> list[str]:
+    """The letters that every match of a pattern `\\b(one|two|...)\\b` begins with one of; empty if some alternative begins
+    otherwise, or the pattern is of another form."""
+    if not (pattern.startswith(r"\b(") and pattern.endswith(r")\b")):
+        return []
+    body, depth, parts = pattern[3:-3], 0, [""]
+    for k, c in enumerate(body):
+        inside = k and body[k - 1] == "\\"
+        depth += (c in "([") * (not inside) - (c in ")]") * (not inside)
+        if depth < 0:
+            return []
+        if c == "|" and not depth:
+            parts.append("")
+        else:
+            parts[-1] += c
+    heads = [re.match(r"(?:[\w\- ](?![?*{]))*", p)[0] for p in parts]
+    heads = sorted({h for h in heads})
+    if "" in heads:
+        return []
+    return [h for h in heads if not any(h != o and o in h for o in heads)]
 
 
 def vocabulary(counts: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from quillspark.catalog import Catalog
 from quillspark.functions import text as T
 from quillspark.operators.merge import insert_or_ignore, keep_first, number_within, upsert, with_ids
 from quillspark.schema import quarantine
-from quillspark.session import materialise
+from quillspark.session import materialise, spread
 from quillspark.sources import parsers as P
 from quillspark.sources.files import import_document
 
@@ -22,12 +22,13 @@ def clean_records(records: DataFrame, structured: Column | None = None) -> DataF
     concept, identifier, variants and flags; structured says which are labelled records. One stage without a shuffle; kept
     and rejected rows are two filters."""
     positive, negative = T.split_negative(F.col("raw"))
-    structured = F.lit(False) if structured is None else structured
-    concept, fields = P.fields(F.col("raw"))
-    b = records.select("*", positive.alias("positive"), negative.alias("negative_raw")).withColumn("is_json", T.is_json_object(F.col("positive")))
-    b = b.withColumn("fields", F.when(structured, fields).otherwise(F.create_map().cast("map<string,string>"))).withColumn("field_concept", F.when(structured, concept))
+    none = F.struct(F.lit(None).cast("string").alias("concept"), F.create_map().cast("map<string,string>").alias("fields"))
+    held = none if structured is None else F.when(structured, P.fields(F.col("raw"))).otherwise(none)
+    # through generators, so that what is used many times is worked out once
+    b = records.select("*", F.explode(F.array(F.struct(positive.alias("positive"), negative.alias("negative_raw"), held.alias("held")))).alias("_r"))
+    b = b.select("*", "_r.positive", "_r.negative_raw", F.col("_r.held.fields").alias("fields"), F.col("_r.held.concept").alias("field_concept"), T.is_json_object(F.col("_r.positive")).alias("is_json")).drop("_r")
     has_fields = F.size("fields") > 0
-    b = b.withColumn("cleaned", F.when(F.col("is_json") | has_fields, T.strip(F.col("positive"))).otherwise(T.clean_positive(F.col("positive"))))
+    b = b.select("*", F.explode(F.array(F.when(F.col("is_json") | has_fields, T.strip(F.col("positive"))).otherwise(T.clean_positive(F.col("positive"))))).alias("cleaned"))
     concept = F.when(F.col("is_json"), F.lit("structured json prompt")).when(has_fields & (F.col("field_concept") != ""), F.col("field_concept")).otherwise(T.concept(F.col("cleaned")))
     b = b.withColumn("reject_reason", T.reject_reason(F.col("cleaned"))).withColumn("concept", concept)
     name = F.when(F.col("is_json"), T.identifier(F.lit(""), F.col("idx"), "structured_")).otherwise(T.identifier(F.col("concept"), F.col("idx")))
@@ -39,7 +40,7 @@ def clean_documents(docs: DataFrame) -> DataFrame:
     """All documents (doc_id, text) of the three generic formats, each by its detected format. Documents are read once and
     nothing is shuffled: format and records are worked out side by side in one projection."""
     # through a generator, so that the format is worked out once and not again for each use
-    d = docs.where("text is not null").select("doc_id", "text", F.explode(F.array(P.detect_format(F.col("text")))).alias("format"))
+    d = spread(docs.where("text is not null").select("doc_id", "text")).select("doc_id", "text", F.explode(F.array(P.detect_format(F.col("text")))).alias("format"))
     text, form = F.col("text"), F.col("format")
     texts = F.when(form == "raw", P.block_texts(text)).when(form == "sectioned", P.section_texts(text)).when(form == "structured", P.record_texts(text))
     records = d.select("doc_id", "format", F.posexplode(texts).alias("idx", "raw"))

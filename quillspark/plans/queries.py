@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quillspark.functions import scoring as S
 from quillspark.functions import text as T
 from quillspark.operators.evalset import top_per_domain
-from quillspark.session import table
+from quillspark.session import spread, table
 
 from . import relational_queries, source_queries, text_queries
 
@@ -20,7 +20,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     The cleaned text passes through a generator so that the optimiser does not write the whole chain into each of its
     many uses."""
-    r = table(spark, sf_dir, "lexica_cleaned").where("original_prompt is not null")
+    r = spread(table(spark, sf_dir, "lexica_cleaned").where("original_prompt is not null").select("record_id", "original_prompt", "wildcard_refs"))
     positive, _ = T.split_negative(F.col("original_prompt"))
     r = r.select("record_id", F.explode(F.array(T.clean_positive(positive))).alias("cleaned"), F.coalesce("wildcard_refs", F.array().cast("array<string>")).alias("keys"))
     r = r.where(T.reject_reason(F.col("cleaned")).isNull()).select("*", T.concept(F.col("cleaned")).alias("concept"))

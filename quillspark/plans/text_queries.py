@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import scoring as S
 from quillspark.functions import text as T
-from quillspark.session import table
+from quillspark.session import spread, table
 
 from .fixtures import BASE, Library
 from .registry import Registry
@@ -397,7 +397,7 @@ SCORED = f"""scored AS (SELECT record_id, domain, n, tg, df, round(CAST({_SCORE}
 
 def scored(spark, d):
     """(record_id, domain, n_tokens, tags, difficulty, signature, score) of every record, its references as keys."""
-    r = table(spark, d, "lexica_cleaned")
+    r = spread(table(spark, d, "lexica_cleaned").select("record_id", "concept", "positive_template", "wildcard_refs"))
     t = F.concat(F.coalesce("concept", F.lit("")), F.lit(" "), F.coalesce("positive_template", F.lit("")))
     b = r.select("record_id", t.alias("t"), F.coalesce(F.array_distinct("wildcard_refs"), F.array().cast("array<string>")).alias("keys"))
     return S.score_frame(b, F.col("t"), F.col("keys"))

@@ -65,6 +65,15 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A scan with at least a partition a core: a small file is one or two, on which the other cores would wait. A scan of more
+    partitions than cores, as of any large table, is left as it is and nothing is shuffled; so is what is no plain scan."""
+    if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the project's tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -59,12 +59,22 @@ def section_texts(c: Column) -> Column:
     return F.flatten(F.transform(F.filter(_parts(c), lambda p: ~p.rlike(_PLATFORM)), block_texts))
 
 
+def _bound(c: Column, use) -> Column:
+    """use(c) for an array-valued use, in which c is a variable and worked out once, not at every place and element."""
+    return F.flatten(F.transform(F.array(c), use))
+
+
 def record_texts(c: Column) -> Column:
     """The labelled records of a text: a line that is no field begins one where the line before it is a field."""
-    lines = _full(F.split(c, "\n"))
-    starts = lambda x, i: (i > 0) & ~x.rlike(FIELD) & F.get(lines, i - 1).rlike(FIELD)
-    marked = F.transform(lines, lambda x, i: F.concat(F.when(starts(x, i), F.lit("\u0001")).when(i > 0, F.lit("\n")).otherwise(F.lit("")), x))
-    return F.filter(F.split(F.array_join(marked, ""), "\u0001"), lambda x: x != "")
+    # each line with whether it is a field, in one array of pairs
+    lines = F.transform(_full(F.split(c, "\n")), lambda x: F.struct(x.alias("x"), x.rlike(FIELD).alias("f")))
+
+    def cut(held: Column) -> Column:
+        starts = lambda y, i: (i > 0) & ~y["f"] & F.get(held, i - 1)["f"]
+        marked = F.transform(held, lambda y, i: F.concat(F.when(starts(y, i), F.lit("\u0001")).when(i > 0, F.lit("\n")).otherwise(F.lit("")), y["x"]))
+        return F.filter(F.split(F.array_join(marked, ""), "\u0001"), lambda x: x != "")
+
+    return _bound(lines, cut)
 
 
 def blocks(docs: DataFrame) -> DataFrame:
@@ -89,24 +99,30 @@ def structured(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.posexplode(record_texts(F.col("text"))).alias("idx", "raw"))
 
 
-def fields(raw: Column) -> tuple[Column, Column]:
-    """(concept, fields) of a labelled record: fields as a map, values of a repeated label joined by spaces, and the lines that
-    are no fields as concept; without such lines subject and environment."""
-    lines = _full(F.split(raw, "\n"))
-    is_field = lambda x: x.rlike(FIELD)
-    pairs = F.transform(F.filter(lines, is_field), lambda x: F.struct(strip(F.regexp_extract(x, FIELD, 1)).alias("k"), strip(F.regexp_extract(x, FIELD, 2)).alias("v")))
-    keys = F.array_distinct(F.transform(pairs, lambda p: p["k"]))
-    m = F.map_from_arrays(keys, F.transform(keys, lambda k: F.array_join(F.transform(F.filter(pairs, lambda p: p["k"] == k), lambda p: p["v"]), " ")))
-    text = F.array_join(F.filter(lines, lambda x: ~is_field(x)), " ")
-    of = lambda label: F.coalesce(F.try_element_at(m, F.lit(label)), F.lit(""))
-    fallback = F.btrim(F.concat(of("Subject"), F.lit(", "), of("Environment")), F.lit(", "))
-    return F.when((text == "") & (F.size(m) > 0), fallback).otherwise(text), m
+def fields(raw: Column) -> Column:
+    """struct(concept, fields) of a labelled record: fields as a map, values of a repeated label joined by spaces, and the lines
+    that are no fields as concept; without such lines subject and environment."""
+    part = lambda x, k: strip(F.regexp_extract(x, FIELD, k))
+    lines = F.transform(_full(F.split(raw, "\n")), lambda x: F.struct(x.alias("x"), F.when(x.rlike(FIELD), F.struct(part(x, 1).alias("k"), part(x, 2).alias("v"))).alias("p")))
+
+    def read(held: Column) -> Column:
+        pairs = F.transform(F.filter(held, lambda y: y["p"].isNotNull()), lambda y: y["p"])
+        text = F.array_join(F.transform(F.filter(held, lambda y: y["p"].isNull()), lambda y: y["x"]), " ")
+        keys = F.array_distinct(F.transform(pairs, lambda p: p["k"]))
+        values = F.transform(keys, lambda k: F.array_join(F.transform(F.filter(pairs, lambda p: p["k"] == k), lambda p: p["v"]), " "))
+        return F.array(F.struct(text.alias("t"), F.map_from_arrays(keys, values).alias("m")))
+
+    def named(r: Column) -> Column:
+        of = lambda label: F.coalesce(F.try_element_at(r["m"], F.lit(label)), F.lit(""))
+        fallback = F.btrim(F.concat(of("Subject"), F.lit(", "), of("Environment")), F.lit(", "))
+        return F.struct(F.when((r["t"] == "") & (F.size(r["m"]) > 0), fallback).otherwise(r["t"]).alias("concept"), r["m"].alias("fields"))
+
+    return F.get(F.transform(_bound(lines, read), named), F.lit(0))
 
 
 def fields_of(records: DataFrame) -> DataFrame:
     """(doc_id, idx, concept, fields) of labelled records; see fields()."""
-    concept, m = fields(F.col("raw"))
-    return records.select("doc_id", "idx", concept.alias("concept"), m.alias("fields"))
+    return records.select("doc_id", "idx", fields(F.col("raw")).alias("r")).select("doc_id", "idx", "r.concept", "r.fields")
 
 
 def generator(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
