@@ -22,6 +22,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.session import spread
+
 from .spelling import phrases
 
 CATEGORIES = ("abusive", "hateful", "sexual")
@@ -217,7 +219,7 @@ def score(texts: DataFrame, model: Model) -> DataFrame:
                     rows.append((name, i, source, c, s, w, s >= held.thresholds[c]))
             yield pd.DataFrame(rows, columns=["table_name", "record_id", "source", "category", "score", "window", "flagged"])
 
-    cols = texts.select("table_name", F.col("record_id").cast("bigint").alias("record_id"), "source", "text").where("text is not null")
+    cols = spread(texts.select("table_name", F.col("record_id").cast("bigint").alias("record_id"), "source", "text").where("text is not null"))
     return cols.mapInPandas(run, "table_name string, record_id bigint, source string, category string, score int, window string, flagged boolean")
 
 

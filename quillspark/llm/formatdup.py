@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
-from quillspark.session import materialise
+from quillspark.session import materialise, spread
 
 from .text import format_free, is_blank
 
@@ -73,8 +73,9 @@ def keyed(df: DataFrame, id_col: str, fields: list[str]) -> DataFrame:
     whole = df.where(df[id_col].isNotNull())
     for f in fields:
         whole = whole.where(~is_blank(whole[f]))
-    key = F.concat_ws("\x00", *[format_free(whole[f]) for f in fields])
-    return whole.select(whole[id_col].cast("bigint").alias("id"), key.cast("binary").alias("key")).select(
+    whole = spread(whole.select(whole[id_col].cast("bigint").alias("id"), *[whole[f].alias(f"f{k}") for k, f in enumerate(fields)]))
+    key = F.concat_ws("\x00", *[format_free(F.col(f"f{k}")) for k in range(len(fields))])
+    return whole.select("id", key.cast("binary").alias("key")).select(
         "id", F.unhex(F.md5("key")).alias("digest"), "key"
     )
 

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.session import materialise, scratch
+from quillspark.session import materialise, scratch, spread
 
 from .text import prompt_words
 
@@ -260,9 +260,10 @@ def check_new(records: DataFrame, batches: DataFrame, id_col: str = "record_id",
     Ids rise with the batch. Records without a batch, an id or a word are no cases; records of one batch are not repeats of each other; a record
     repeated by several is reported with the smallest id. Empty input gives no rows."""
     new = batches.where(F.lower(F.trim("batch_state")) == "new").select(F.col("batch_no").cast("bigint").alias("batch")).distinct()
-    batch = records["batch_no"].cast("bigint")
+    records = spread(records.select(records[id_col].alias("_id"), records[text_col].alias("_text"), records["batch_no"].cast("bigint").alias("_batch")))
+    batch = records["_batch"]
     history = records.join(new, batch == new["batch"], "left_anti")
     arrived = records.join(new, batch == new["batch"], "left_semi")
     spark = records.sparkSession
-    index = HistoryIndex.create(parsed(history, id_col, text_col, "batch_no"), scratch(spark, "history-index"))
-    return index.check(parsed(arrived, id_col, text_col, "batch_no"), hot, exact, append=False)
+    index = HistoryIndex.create(parsed(history, "_id", "_text", "_batch"), scratch(spark, "history-index"))
+    return index.check(parsed(arrived, "_id", "_text", "_batch"), hot, exact, append=False)

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.session import materialise
+from quillspark.session import materialise, spread
 
 #: Letters of a seed: no more than four words in a row have in the items' language, which any passage that counts holds.
 SEED = 12
@@ -304,7 +304,7 @@ def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", doc_text: s
     members, own = bodies(items, item_id, item_text)
     own = materialise(own, "leak-bodies")
     blocks = max(1, -(-(own.agg(F.sum(F.length("words"))).first()[0] or 0) // block))
-    whole = docs.select(docs[doc_id].cast("bigint").alias("d"), docs[doc_text].alias("t")).where("d is not null and t is not null")
+    whole = spread(docs.select(docs[doc_id].cast("bigint").alias("d"), docs[doc_text].alias("t")).where("d is not null and t is not null"))
     out = None
     for b in range(blocks):
         rows = (own.where(F.pmod(F.xxhash64("body"), F.lit(blocks)) == b) if blocks > 1 else own).collect()

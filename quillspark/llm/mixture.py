@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillspark.session import materialise
+from quillspark.session import materialise, spread
 
 from .tokens import RANKS_FILE, count
 
@@ -64,7 +64,7 @@ def with_tokens(docs: DataFrame, id_col: str, text_col: str, source_col: str, ra
         return pd.Series([count(t, ranks) for t in texts], dtype="int64")
 
     d = docs.select(docs[id_col].cast("bigint").alias("doc_id"), source_name(docs[source_col]).alias("source"), docs[text_col].alias("t"))
-    d = d.where("t is not null and t <> ''")
+    d = spread(d.where("t is not null and t <> ''"))
     return d.select("doc_id", "source", sizes("t").alias("tokens")).where("tokens > 0")
 
 

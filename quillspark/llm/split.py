@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.session import spread
+
 from .tokens import RANKS_FILE, encoder, parts, token_sizes
 
 #: Boundary letters from strong to weak: paragraph, line, sentence, clause, word, character; x is inside a character.
@@ -119,7 +121,7 @@ def pieces(docs: DataFrame, limits: DataFrame, id_col: str = "doc_id", text_col:
     limit without max_tokens or name; a limit below LEAST raises. An overlap of half the limit or more counts as half.
     Equal rows of documents give equal rows of pieces. Time is in proportion to the length of a text."""
     wanted = limits_of(limits)
-    d = docs.select(docs[id_col].cast("bigint").alias("doc_id"), docs[text_col].alias("text")).where("doc_id is not null and text <> ''")
+    d = spread(docs.select(docs[id_col].cast("bigint").alias("doc_id"), docs[text_col].alias("text")).where("doc_id is not null and text <> ''"))
 
     @F.pandas_udf("marks string, ends array<int>, chars array<int>")
     def marked(texts: pd.Series) -> pd.DataFrame:

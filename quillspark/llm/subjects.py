@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.session import materialise
+from quillspark.session import materialise, spread
 
 #: Longest phrase in words that is taken whole; a longer one is read through windows of WINDOW words, STEP apart.
 LONG, WINDOW, STEP = 14, 8, 4
@@ -104,7 +104,7 @@ def assign(records: DataFrame, labels: DataFrame, id_col: str, text_cols: list[s
     first = records[text_cols[0]]
     text = F.concat_ws("\n", *[records[c] for c in text_cols])
     parsed = materialise(
-        with_phrases(records.where(records[id_col].isNotNull() & first.rlike(r"\S")).select(records[id_col].cast("bigint").alias("record_id"), text.alias("_text")), F.col("_text")).drop("_text"),
+        with_phrases(spread(records.where(records[id_col].isNotNull() & first.rlike(r"\S")).select(records[id_col].cast("bigint").alias("record_id"), text.alias("_text"))), F.col("_text")).drop("_text"),
         "subjects-phrases",
     )
     given = labels.select(F.col("record_id").cast("bigint").alias("record_id"), F.lower(F.trim("subject")).alias("subject")).where("record_id is not null and subject is not null").distinct()
