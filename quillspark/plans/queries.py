@@ -29,9 +29,17 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_per_domain(s, 50)
 
 
+_FLAGSHIP = f"""WITH rec AS (SELECT record_id, wildcard_refs, original_prompt AS raw FROM lexica_cleaned WHERE original_prompt IS NOT NULL),
+cc AS (SELECT record_id, wildcard_refs, {source_queries._chain("positive")} AS cleaned FROM (SELECT *, {source_queries._POSITIVE} AS positive FROM rec)),
+ct AS (SELECT *, {source_queries._STRIP.format("cleaned")} AS t FROM cc),
+clean AS (SELECT record_id, wildcard_refs, cleaned AS positive_template, {text_queries._CONCEPT.format("cleaned")} AS concept FROM ct WHERE ({text_queries._REASON}) IS NULL),
+{text_queries.SCORED.replace("FROM lexica_cleaned", "FROM clean")}
+SELECT * FROM (SELECT record_id, concept, domain, score, CAST(row_number() OVER (PARTITION BY domain ORDER BY score DESC, record_id) AS INT) AS rank FROM scored JOIN clean USING (record_id) WHERE score >= {S.LEAST_SCORE}) WHERE rank <= 50"""
+
+
 def queries() -> dict:
     return {"flagship": flagship} | {k: f for r in _PARTS for k, f in r.queries.items()}
 
 
 def oracle_sql() -> dict:
-    return {k: s for r in _PARTS for k, s in r.sql.items()}
+    return {"flagship": _FLAGSHIP} | {k: s for r in _PARTS for k, s in r.sql.items()}

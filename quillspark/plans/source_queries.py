@@ -268,7 +268,8 @@ def n20(spark, d):
 
 
 _CUT = f"list_filter(list_transform(string_split(raw, chr(10)), lambda x: {_STRIP.format('x')}), lambda x: x <> '')"
-_RECORD_SQL = f"""cd AS (SELECT *, {_STRIP.format("array_to_string(list_filter(string_split(raw, chr(10)), lambda x: NOT regexp_matches(" + _STRIP.format("x") + f", '{text_queries._NEG}')), chr(10))")} AS positive,
+_POSITIVE = f"""{_STRIP.format("array_to_string(list_filter(string_split(raw, chr(10)), lambda x: NOT regexp_matches(" + _STRIP.format("x") + f", '{text_queries._NEG}')), chr(10))")}"""
+_RECORD_SQL = f"""cd AS (SELECT *, {_POSITIVE} AS positive,
       {_STRIP.format("regexp_replace(list_extract(list_filter(list_transform(string_split(raw, chr(10)), lambda x: " + _STRIP.format("x") + f"), lambda x: regexp_matches(x, '{text_queries._NEG}')), -1), '{text_queries._NEG}', '')")} AS negative_raw FROM rec),
     cj AS (SELECT *, coalesce(regexp_matches(positive, '(?s)^\\{{.*\\}}$') AND json_valid(positive), false) AS js FROM cd),
     cc AS (SELECT *, CASE WHEN js OR fielded THEN positive ELSE {_chain("positive")} END AS cleaned FROM cj),
