@@ -88,3 +88,27 @@ def test_rewriting_equals_the_longest_first_expression():
     for _ in range(300):
         text = " ".join(rng.choices([*words, "rimlight", "SOFT", "oak,", "light."], k=30))
         assert [(s, e) for s, e, _ in w.hits(text)] == [m.span() for m in pattern.finditer(text)]
+
+
+def test_patterns_are_skipped_only_where_they_cannot_match():
+    rng = random.Random(4)
+    words = sorted({w for ps in mining.CATEGORIES.values() for p in ps for w in re.findall(r"[a-z0-9é/.-]+", p.replace(r"\b", " ").replace(r"\s+", " "))})
+    texts = [" ".join(rng.choices(words, k=14)) for _ in range(400)] + [f"{a} {b}" for a in words for b in rng.sample(words, 3)]
+    hits = 0
+    for ps in mining.CATEGORIES.values():
+        for p in ps:
+            heads = mining.beginnings(p)
+            for t in texts if heads else ():
+                for m in re.finditer(p, t):
+                    hits += 1
+                    assert m[0].startswith(tuple(heads)) or any(h in t for h in heads), (p, m[0], heads)
+    assert hits > 1_000
+    assert mining.beginnings(r"\b(a|b?c)\b") == [] and mining.beginnings(r"x|y") == [] and mining.beginnings(r"\b(lights?|red (?:x|y)|red)\b") == ["light", "red"]
+
+
+def test_small_scans_are_spread_and_nothing_else(spark, tmp_path):
+    spark.range(10).coalesce(1).write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    assert session.spread(df).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism > df.rdd.getNumPartitions()
+    counted = df.groupBy("id").count()
+    assert session.spread(counted) is counted and sorted(r[0] for r in session.spread(df).collect()) == list(range(10))
