@@ -11,7 +11,7 @@ from __future__ import annotations
 import re
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -104,6 +104,14 @@ def limits_of(limits: DataFrame) -> list[tuple[str, int, int]]:
     return sorted((r[0], int(r[1]), max(0, min(int(r[2] or 0), int(r[1]) // 2, int(r[1]) - LEAST))) for r in got)
 
 
+def _lists(arrays: list[np.ndarray | None]) -> pa.Array:
+    """Arrays of integers as one list column, None as null, without turning their elements into objects."""
+    sizes = np.array([0 if x is None else len(x) for x in arrays], np.int64)
+    offsets = np.append(0, np.cumsum(sizes)).astype(np.int32)
+    values = pa.array(np.concatenate([x for x in arrays if x is not None]) if sizes.any() else np.zeros(0, np.int32), pa.int32())
+    return pa.ListArray.from_arrays(pa.array(offsets), values, mask=pa.array([x is None for x in arrays]))
+
+
 #: The sum of sizes up to and with each element, by doubling: each of the log2(n) rounds is one pass over the array, where
 #: an array that grows by an element at a time would be copied for each.
 _SUMS = """aggregate(sequence(0, cast(ceil(log2(greatest(size(r.sizes), 2))) as int) - 1), r.sizes,
@@ -123,10 +131,10 @@ def pieces(docs: DataFrame, limits: DataFrame, id_col: str = "doc_id", text_col:
     wanted = limits_of(limits)
     d = spread(docs.select(docs[id_col].cast("bigint").alias("doc_id"), docs[text_col].alias("text")).where("doc_id is not null and text <> ''"))
 
-    @F.pandas_udf("marks string, ends array<int>, chars array<int>")
-    def marked(texts: pd.Series) -> pd.DataFrame:
-        got = [boundaries(t, ranks) for t in texts]
-        return pd.DataFrame({"marks": [m for m, _, _ in got], "ends": [e for _, e, _ in got], "chars": [c for _, _, c in got]})
+    @F.arrow_udf("marks string, ends array<int>, chars array<int>")
+    def marked(texts: pa.Array) -> pa.Array:
+        got = [boundaries(t.as_py(), ranks) for t in texts]
+        return pa.StructArray.from_arrays([pa.array([m for m, _, _ in got], pa.string()), _lists([e for _, e, _ in got]), _lists([c for _, _, c in got])], ["marks", "ends", "chars"])
 
     # so marked, the optimiser runs the function once and not for each use of its result
     once = marked.asNondeterministic()
