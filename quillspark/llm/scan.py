@@ -8,17 +8,21 @@ word broken by a hyphen, one of several words run together, or any of these at o
 boundaries are then chosen by dynamic programming over the lines.
 
 The lexicon is counted over all pages. Words that make up one in MOST_WORDS running words are broadcast; rarer ones stay a
-table, of which each page gets what its unknown forms look like, so no word is left out at any size.
+table, of which each page gets all that its search may look up (`asked`), so a page is read as if every word were broadcast.
+A filter of fixed size leaves out what is surely none of them before the join.
 """
 
 from __future__ import annotations
 
 import math
 import re
+import zlib
+from array import array
 from bisect import bisect_left, bisect_right
 from collections import ChainMap
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -40,6 +44,8 @@ _FIRST = str.maketrans({k: v.replace("e", "c").replace("f", "t") for k, v in MIS
 MOST_WORDS = 1 << 20
 #: A form is a misreading of a word that looks alike if the word is at least so many times as frequent.
 RATIO = 12
+#: Places of 32 bits in the filter of rare words, a power of 2.
+SIEVE = 1 << 20
 #: Occurrences of a word of the lexicon, and what counts for a form that is none.
 LEAST, NEVER = 2, 0.2
 #: What it costs, in the logarithm of frequencies, to put parts of a word together, to cut words that run together, and to
@@ -63,7 +69,12 @@ _INNER = "-‐‑'’\"“(["
 
 
 def skeleton(word: str) -> str:
-    """A form that a word and its misreadings share."""
+    """A form that a word and its misreadings share, kept for short ones."""
+    return _skeleton(word) if len(word) <= 60 else _skeleton.__wrapped__(word)
+
+
+@lru_cache(1 << 17)
+def _skeleton(word: str) -> str:
     s = word.lower().translate(_FIRST)
     for a, b in CONFUSED:
         if a in s:
@@ -82,7 +93,10 @@ def word_counts(pages: DataFrame, fields: list[str]) -> tuple[DataFrame, float]:
 
 
 class Lexicon:
-    """Words with their counts, by skeleton. extra are rare words of the page at hand, beside those that all pages share."""
+    """Words with their counts, by skeleton. extra are rare words of the page at hand, beside those that all pages share, each
+    of which is more frequent than any of them."""
+
+    shared: Lexicon | None = None
 
     def __init__(self, counts: dict[str, int], total: float | None = None) -> None:
         self.counts = counts
@@ -108,6 +122,7 @@ class Lexicon:
         for w in extra:
             self._list(own, w)
         out.by = ChainMap({k: [*self.by.get(k, ()), *ws] for k, ws in own.items()}, self.by)
+        out.shared = self
         return out
 
     def cost(self, word: str) -> float:
@@ -118,6 +133,8 @@ class Lexicon:
         is misread if any word looks alike, another if a word that does is RATIO times as frequent."""
         if form in self._kept:
             return self._kept[form]
+        if self.shared is not None and form not in self.counts.maps[0] and skeleton(form) not in self.by.maps[0]:
+            return self.shared.misread(form)
         if len(self._kept) > 500_000:
             self._kept.clear()
         own, out = self.counts.get(form, NEVER), None
@@ -132,6 +149,8 @@ class Lexicon:
     def passes(self, form: str) -> bool:
         """Whether a form of the lexicon stands as it is, kept for each: however frequent, one that is misread does not."""
         got = self._passing.get(form)
+        if got is None and self.shared is not None and self.shared.passes(form):
+            return True
         if got is None:
             got = self._passing[form] = form in self.counts and form.isalpha() and not _ODD.intersection(form) and self.misread(form) is None
             if len(self._passing) > 500_000:
@@ -193,10 +212,14 @@ class Unit:
         return self.lead + self.core + self.broken + self.tail
 
 
-def _unit(token: str, line: int, lexicon: Lexicon, head: str = "") -> Unit:
-    """The unit of a token; head is what a hyphen broke off right before it."""
-    if not head and lexicon.passes(token.lower()):
-        return Unit("", token, "", "", line, True, True)
+def _low(core: str) -> str:
+    """A core in small letters, each in its place: where one becomes two only the first is taken."""
+    low = core.lower()
+    return low if len(low) == len(core) else "".join(c.lower()[0] for c in core)
+
+
+def _split(token: str, head: str) -> tuple[str, str, str, str, str]:
+    """(lead, core, broken, tail, short) of a token; short is the core without signs at its end."""
     body = token.lstrip(_EDGES)
     lead, broken = token[: len(token) - len(body)], ""
     core = body.rstrip(_EDGES)
@@ -208,29 +231,46 @@ def _unit(token: str, line: int, lexicon: Lexicon, head: str = "") -> Unit:
         lead, core = lead + core[:k], core[k:]
     if head and (k := min((i for i in map(core.find, _INNER) if i >= 0), default=-1)) > 0:
         core, broken, tail = core[:k], "", core[k:] + broken + tail
+    return lead, core, broken, tail, core.rstrip("!|")
+
+
+def _unit(token: str, line: int, lexicon: Lexicon, head: str = "") -> Unit:
+    """The unit of a token; head is what a hyphen broke off right before it."""
+    if not head and lexicon.passes(token.lower()):
+        return Unit("", token, "", "", line, True, True)
+    lead, core, broken, tail, short = _split(token, head)
     # a sign at the end may be punctuation or a misread letter: punctuation, unless only with it there is a word
-    short = core.rstrip("!|")
     if short != core and short:
         with_sign, without = (lexicon.read((head + x).lower()) for x in (core, short))
         if without or head and not with_sign:
             core, broken, tail = short, "", core[len(short) :] + broken + tail
-    form = core.lower()
+    return _fitted(lead, core, broken, tail, line, lexicon, head)
+
+
+def _fitted(lead: str, core: str, broken: str, tail: str, line: int, lexicon: Lexicon, head: str) -> Unit:
+    """The unit of a token's parts: open if its core may be a word or part of one, known if it is one that stands."""
+    form = _low(core)
     fit = bool(core) and (len(core) > 1 or bool(broken) or bool(head)) and (core[0].isalnum() or core[0] in _ODD)
     fit = fit and sum(map(str.isalpha, core)) * 2 >= len(core) and all(c.isalnum() or c in _ODD for c in core)
     return Unit(lead, core, broken, tail, line, fit, fit and lexicon.passes(form))
 
 
+def _cuts(u: Unit) -> range:
+    """Where a unit may be cut: within an unknown token long enough to be several words."""
+    fit = u.open and not u.known and not u.broken and CUTTABLE <= len(u.core) <= 40 and u.core.isalpha()
+    return range(PART, len(u.core) - PART + 1) if fit else range(0)
+
+
 def _region(units: list[Unit], lexicon: Lexicon, defects: dict[tuple[str, str], None]) -> None:
     """Reads the units of a stretch by the cheapest joint segmentation of their letters, and writes them as read: what is put
     together goes to its first unit, and the others become empty."""
     cores = [u.core for u in units]
-    stream, marks = "".join(cores).lower(), [0]
+    stream, marks = "".join(map(_low, cores)), [0]
     for c in cores:
         marks.append(marks[-1] + len(c))
     at = {p: k for k, p in enumerate(marks)}
-    # where a piece may begin or end: between tokens, and within an unknown token long enough to be several words
-    inner = [k for k, u in enumerate(units) if u.open and not u.known and not u.broken and CUTTABLE <= len(u.core) <= 40 and u.core.isalpha()]
-    cuts = {p for k in inner for p in range(marks[k] + PART, marks[k + 1] - PART + 1)}
+    # where a piece may begin or end: between tokens, and within some
+    cuts = {marks[k] + p for k, u in enumerate(units) for p in _cuts(u)}
     places = sorted(set(marks) | cuts)
     best: dict[int, tuple[float, int, str | None, bool]] = {0: (0.0, 0, None, False)}
 
@@ -320,13 +360,10 @@ def _region(units: list[Unit], lexicon: Lexicon, defects: dict[tuple[str, str],
                 units[m].lead = units[m].core = units[m].broken = units[m].tail = ""
 
 
-def decode(text: str, title: str, lexicon: Lexicon) -> tuple[list[tuple[str, str]], list[tuple[str, bool]]]:
-    """(defects, lines) of a text: each (defect, token), and the repaired lines with whether a blank line or furniture
-    stands before. A word broken across furniture still joins."""
-    defects: dict[tuple[str, str], None] = {}
-    blanks: list[bool] = []
-    units: list[Unit] = []
-    blank, head = False, ""
+def _running(text: str, title: str, defects: dict[tuple[str, str], None]) -> Iterator[tuple[list[str], bool]]:
+    """The tokens of each line of a text that is no furniture, with whether a blank line stands before; furniture goes to
+    defects."""
+    blank = False
     for raw in _LINES.split(text):
         tokens = raw.split()
         if not tokens:
@@ -340,12 +377,23 @@ def decode(text: str, title: str, lexicon: Lexicon) -> tuple[list[tuple[str, str
             if (title or "h" in line or "H" in line) and is_header(line, title):
                 defects["running_header", line] = None
                 continue
+        yield tokens, blank
+        blank = False
+
+
+def decode(text: str, title: str, lexicon: Lexicon) -> tuple[list[tuple[str, str]], list[tuple[str, bool]]]:
+    """(defects, lines) of a text: each (defect, token), and the repaired lines with whether a blank line or furniture
+    stands before. A word broken across furniture still joins."""
+    defects: dict[tuple[str, str], None] = {}
+    blanks: list[bool] = []
+    units: list[Unit] = []
+    head = ""
+    for tokens, blank in _running(text, title, defects):
         for t in tokens:
             u = _unit(t, len(blanks), lexicon, head)
             head = u.core if u.broken else ""
             units.append(u)
         blanks.append(blank)
-        blank = False
     # stretches of unknown units, with their neighbours; a break belongs to what follows it
     odd = [not u.known or bool(u.broken) for u in units]
     k = 0
@@ -380,20 +428,78 @@ def _cased(word: str, like: str) -> str:
 
 
 def forms(text: str, title: str, lexicon: Lexicon) -> set[str]:
-    """The skeletons of what the lexicon does not know in a text: its tokens, and neighbours put together."""
+    """The forms that decode() may look up in a text, with any words at all beside those of the lexicon, none as frequent,
+    and that the lexicon's own words do not settle.
+
+    More words only make more tokens known, so the stretches that decode() searches then lie within those of this lexicon,
+    and so do their pieces. Only a sign at a token's end may be cut off by one set of words and not by another: both ways
+    are followed."""
     out: set[str] = set()
-    before: Unit | None = None
-    for raw in _LINES.split(text):
-        for t in raw.split():
-            u = _unit(t, 0, lexicon, before.core if before is not None and before.broken else "")
-            if u.open and not u.known:
-                out.add(skeleton(u.core))
-            if before is not None and before.open and u.open and not (before.known and u.known and not before.broken):
-                out.add(skeleton(before.core + u.core))
-            before = u
+    # units a piece may begin with, with the one after it where a piece may reach over it; calm if it is but one known word
+    chains: list[tuple[Unit, ...]] = []
+    calm, word = True, ""
+    for tokens, _ in _running(text, title, {}):
+        for t in tokens:
+            if calm and lexicon.passes(t.lower()):
+                chains, word = [], t
+                continue
+            if calm and not chains and word:
+                chains = [(Unit("", word, "", "", 0, True, True),)]
+            grown: list[tuple[Unit, ...]] = []
+            for head in {_head(c[-1]) for c in chains} or {""}:
+                for u in _readings(t, lexicon, head, out):
+                    grown.append((u,))
+                    _pieces((u,), out)
+                    odd = not u.known or bool(u.broken)
+                    for c in chains:
+                        p = c[-1]
+                        if _head(p) == head and p.open and u.open and not p.tail and not u.lead and (odd or not p.known or p.broken):
+                            _pieces((*c, u), out)
+                            if odd and len(c) == 1:
+                                grown.append((p, u))
+            chains = grown
+            calm = len(chains) == 1 and not u.broken and (u.known or not u.open)
     return out
 
 
+def _head(u: Unit) -> str:
+    return u.core if u.broken else ""
+
+
+def _readings(token: str, lexicon: Lexicon, head: str, out: set[str]) -> list[Unit]:
+    """The units that a token may be with more words than the lexicon's; what decides goes to out."""
+    if not head and lexicon.passes(token.lower()):
+        return [Unit("", token, "", "", 0, True, True)]
+    lead, core, broken, tail, short = _split(token, head)
+    ways = [(core, broken, tail)]
+    if short != core and short:
+        with_sign, without = ((head + x).lower() for x in (core, short))
+        out.update((with_sign, without))
+        bare = (short, "", core[len(short) :] + broken + tail)
+        ways = [bare] if lexicon.read(without) else [*ways, bare]
+    return [_fitted(lead, c, b, t, 0, lexicon, head) for c, b, t in ways]
+
+
+def _pieces(units: tuple[Unit, ...], out: set[str]) -> None:
+    """Adds to out what is looked up of pieces that begin in the first of some units and end in the last."""
+    if not units[0].open:
+        return
+    lows = [_low(u.core) for u in units]
+    stream = "".join(lows)
+    last = len(stream) - len(lows[-1])
+    begins, ends = [0, *_cuts(units[0])], [*(last + p for p in _cuts(units[-1])), len(stream)]
+    if len(units) == 1 and not units[0].known:
+        out.add(stream)
+    for i in begins:
+        for j in ends:
+            if PART <= j - i <= LONGEST or 0 < j - i < PART and (i, j) == (0, len(stream)):
+                form = stream[i:j]
+                if len(units) > 1 or not units[0].known:
+                    out.add(form)
+                if len(units) == 2 and units[0].broken and units[0].broken != "\xad":
+                    out.add(f"{stream[i:last]}-{stream[last:j]}")
+
+
 def paragraphs(lines: list[tuple[str, bool]]) -> list[str]:
     """The lines as paragraphs. A boundary before a line gains by a blank line, a sentence's end before it, a numbered
     entry or a short line before it, and costs where the text runs on; the sum over all boundaries is the best where each
@@ -477,57 +583,99 @@ def _header_length(t: str, tokens: list[tuple[int, int]], k: int, title: str, wo
     return ahead + n + 2 * bool(behind)
 
 
+def _texts(lined: str | None, joined: str | None, title: str) -> list[tuple[str, str | None]]:
+    """(field, text) of the fields that are not blank, as they are decoded; no text where it says the same as the lined one."""
+    out: list[tuple[str, str | None]] = []
+    if lined and lined.strip():
+        out.append(("lined", lined))
+    if joined and joined.strip():
+        out.append(("joined", None if out and _in_joined(lined, joined) else _relined(joined, title, title.count(" ") + 1)))
+    return out
+
+
+class _Titles(dict):
+    """The skeleton of each book's title."""
+
+    def __missing__(self, source: str | None) -> str:
+        if len(self) > 10_000:
+            self.clear()
+        self[source] = title_of(source)
+        return self[source]
+
+
 def _pages(batches: Iterator[pd.DataFrame], shared, want: str) -> Iterator[pd.DataFrame]:
-    common = Lexicon(*shared.value)
-    titles: dict[str | None, str] = {}
+    common, titles = Lexicon(*shared.value), _Titles()
     for b in batches:
         rows = []
-        for i, source, lined, joined, extra in b.itertuples(index=False):
-            if source not in titles:
-                if len(titles) > 10_000:
-                    titles.clear()
-                titles[source] = title_of(source)
-            title, got, seen = titles[source], None, set()
-            lexicon = common.with_extra({x["word"]: x["n"] for x in extra}) if extra is not None and len(extra) else common
-            for field, text in (("lined", lined), ("joined", joined)):
-                if not text or not text.strip():
-                    continue
-                if want == "forms":
-                    seen |= forms(text, title, lexicon)
-                    continue
-                if field == "joined" and got is not None and _in_joined(lined, text):
-                    defects = [d for d in got[0] if d[0] != "page_number" or not d[1].isdigit()]
-                    found = (defects, got[1])
+        for i, source, lined, joined, words, ns in b.itertuples(index=False):
+            title, got = titles[source], None
+            lexicon = common.with_extra(dict(zip(words.tolist(), ns.tolist()))) if words is not None else common
+            for field, text in _texts(lined, joined, title):
+                if text is None:
+                    found = ([d for d in got[0] if d[0] != "page_number" or not d[1].isdigit()], got[1])
                 else:
-                    found = decode(text if field == "lined" else _relined(text, title, title.count(" ") + 1), title, lexicon)
+                    found = decode(text, title, lexicon)
                 got = got or found
                 if want == "defects":
                     rows += [(i, field, d, t) for d, t in found[0]]
                 else:
                     rows.append((i, field, paragraphs(found[1]), len(found[0])))
-            rows += [(i, k) for k in seen]
-        yield pd.DataFrame(rows, columns={"defects": ["page_id", "field", "defect", "token"], "forms": ["i", "k"]}.get(want, ["page_id", "field", "paragraphs", "defects"]))
+        yield pd.DataFrame(rows, columns=["page_id", "field", "defect", "token"] if want == "defects" else ["page_id", "field", "paragraphs", "defects"])
+
+
+def _place(k: str) -> tuple[int, int]:
+    """Where a skeleton is in the filter, and its bits there."""
+    h = zlib.crc32(k.encode("utf-8", "surrogatepass"))
+    return h % SIEVE, 1 << (h >> 20 & 31) | 1 << (h >> 25 & 31)
+
+
+def _asked(batches: Iterator[pd.DataFrame], shared, sieve) -> Iterator[pd.DataFrame]:
+    """(i, k): the skeletons of what each page may look up and the common words do not settle, where a rare word may have it."""
+    common, titles, bits = Lexicon(*shared.value), _Titles(), array("I", sieve.value)
+    for b in batches:
+        rows = []
+        for i, source, lined, joined in b.itertuples(index=False):
+            seen: set[str] = set()
+            for _, text in _texts(lined, joined, titles[source]):
+                if text is not None:
+                    seen |= forms(text, titles[source], common)
+            for k in set(map(skeleton, seen)):
+                at, mask = _place(k)
+                if bits[at] & mask == mask:
+                    rows.append((i, k))
+        yield pd.DataFrame(rows, columns=["i", "k"])
 
 
 def _skeletons(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
-        yield b.assign(k=[skeleton(w) for w in b["word"]])
+        ks = [skeleton(w) for w in b["word"]]
+        places = [_place(k) for k in ks]
+        yield b.assign(k=ks, at=[p for p, _ in places], bits=[m for _, m in places])
+
+
+def _sieve(keyed: DataFrame) -> bytes:
+    """The filter of the rare words' skeletons: 4 bytes for each of its places."""
+    got = keyed.groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
+    out = array("I", bytes(4 * SIEVE))
+    for at, bits in zip(got["at"].to_pylist(), got["bits"].to_pylist()):
+        out[at] = bits
+    return out.tobytes()
 
 
 def _run(pages: DataFrame, want: str, schema: str, id_col: str, book_col: str, lined: str, joined: str, most_words: int) -> DataFrame:
     counts, total = word_counts(pages, [lined, joined])
     common = {r[0]: r[1] for r in counts.where(F.col("n") >= total / most_words).collect()}
-    shared = pages.sparkSession.sparkContext.broadcast((common, total))
+    sc = pages.sparkSession.sparkContext
+    shared = sc.broadcast((common, total))
     rows = spread(pages.where(pages[id_col].isNotNull()).select(pages[id_col].cast("bigint").alias("i"), pages[book_col].alias("s"), pages[lined].alias("a"), pages[joined].alias("b")))
-    none = F.lit(None).cast("array<struct<word:string,n:bigint>>").alias("extra")
-    ready = rows.select("i", "s", "a", "b", none)
+    ready = rows.select("i", "s", "a", "b", F.lit(None).cast("array<string>").alias("words"), F.lit(None).cast("array<bigint>").alias("ns"))
     rare = counts.where(F.col("n") < total / most_words)
     if not rare.isEmpty():
-        # the rare words that look like what a page's text holds and the common words do not explain
-        keyed = rare.mapInPandas(_skeletons, "word string, n bigint, k string")
-        asked = ready.mapInPandas(lambda b: _pages(b, shared, "forms"), "i bigint, k string").distinct()
+        keyed = materialise(rare.mapInPandas(_skeletons, "word string, n bigint, k string, at int, bits bigint"), "scan-rare")
+        sieve = sc.broadcast(_sieve(keyed))
+        asked = rows.mapInPandas(lambda b: _asked(b, shared, sieve), "i bigint, k string").distinct()
         extra = asked.join(keyed, "k").groupBy("i").agg(F.collect_set(F.struct("word", "n")).alias("extra"))
-        ready = rows.join(extra, "i", "left").select("i", "s", "a", "b", "extra")
+        ready = rows.join(extra, "i", "left").select("i", "s", "a", "b", F.col("extra.word").alias("words"), F.col("extra.n").alias("ns"))
     name = F.when(F.col("field") == "lined", F.lit(lined)).otherwise(F.lit(joined))
     return ready.mapInPandas(lambda batches: _pages(batches, shared, want), schema).withColumn("field", name)
 

@@ -103,6 +103,47 @@ def test_pages(spark):
     assert scan.defects(df.where("false")).count() == 0
 
 
+def test_results_do_not_depend_on_which_words_are_broadcast(spark):
+    # rare words, and pages that need them: three parts, run together, a compound, a sign, across furniture, in small letters
+    rare = "kestrelwing marigold lanterns three-quarter thistledown orchard pumpernickel saddlebag cobblestone istanbul".split()
+    filler = "the readers describe warm light and old paper " * 30
+    noisy = [
+        "the kes trel wing and old", "the marigoldlanterns shows", "the oldmari gold and", "a three-\nquarter light", "warm orchard! and", "the thistle-\n12\nOLD BOOK\ndown and",
+        "the pumper- 3 | OLD BOOK nickel and", "light sad dlc bag and", "the cobble|-\nstone, warm", "old \u0130stanbul and \u0130stan bul",
+    ]
+    data = [(n, "Old Book.txt", filler, None) for n in range(5)] + [(10 + n, None, f"the {w} and {w} and {w} and", None) for n, w in enumerate(rare)]
+    data += [(100 + n, "Old Book.txt", t, None) for n, t in enumerate(noisy)] + [(200 + n, "Old Book.txt", " ", t.replace("\n", " ")) for n, t in enumerate(noisy)]
+    df = spark.createDataFrame(data, "page_id bigint, source_file string, original_prompt string, positive_template string")
+    texts = [rows(scan.repair(df, most_words=most)) for most in (10, 1 << 40)]
+    assert texts[0] == texts[1]
+    read = {(i, f): " ".join(t) for i, f, t, _ in texts[0]}
+    assert read[100, "original_prompt"] == "the kestrelwing and old" and read[101, "original_prompt"] == "the marigold lanterns shows" and read[103, "original_prompt"] == "a three-quarter light"
+    assert read[105, "original_prompt"] == "the thistledown and" and read[207, "positive_template"] == "light saddlebag and"
+    got = [rows(scan.defects(df, most_words=most)) for most in (10, 1 << 40)]
+    assert got[0] == got[1] and (105, "original_prompt", "hyphen_break", "thistledown") in got[0]
+
+
+def test_what_is_asked_for_is_all_that_is_looked_up():
+    for seed in range(400):
+        rng = random.Random(seed)
+        words = ["".join(rng.choice("abcdehilmnorutfw") for _ in range(rng.randint(2, 9))) for _ in range(40)]
+        words += [a + b for a, b in zip(words[:10], words[10:20])] + [f"{words[0]}-{words[1]}", "three-quarter", "l0ng", words[2] + "|", words[5] + words[6] + words[7], *map(scan.skeleton, words[:6])]
+        words = [w for w in dict.fromkeys(words) if len(w) > 1]
+        counts = {w: rng.choice([2, 3, 30, 400, 5000]) for w in words}
+        bound = rng.choice([3, 30, 400, 10_000])
+        common = scan.Lexicon({w: n for w, n in counts.items() if n >= bound}, sum(counts.values()))
+
+        def noise(w):
+            k, way = rng.randint(1, len(w) - 1), rng.randrange(14)
+            ways = [w[:k] + " " + w[k:], w[:k] + rng.choice("-\xad") + "\n" + w[k:], w[:k] + "|-\n" + w[k:], w[:k] + "-\n12\nOLD BOOK 4\n" + w[k:], w + rng.choice(words), w + rng.choice(["!", "|.", ",", "!-"]), w.replace("o", "0").replace("h", "li")]
+            return ways[way] if way < len(ways) else w
+
+        text = " ".join(noise(rng.choice(words)) for _ in range(rng.randint(1, 60)))
+        keys = set(map(scan.skeleton, scan.forms(text, "old book", common)))
+        extra = {w: n for w, n in counts.items() if n < bound and scan.skeleton(w) in keys}
+        assert scan.decode(text, "old book", common.with_extra(extra)) == scan.decode(text, "old book", scan.Lexicon(counts)), seed
+
+
 # -- subjects
 
 
