@@ -332,12 +332,13 @@ def _region(units: list[Unit], lexicon: Lexicon, defects: dict[tuple[str, str],
         steps.append((i, j, word, wrong))
         j = i
     written = [""] * len(units)
+    letters = "".join(cores)
     joined: dict[int, int] = {}
     ends: dict[int, int] = {}
     for i, j, word, wrong in reversed(steps):
         first = bisect_right(marks, i) - 1
         inside = across(i, j)
-        like = "".join(cores)[i:j]
+        like = letters[i:j]
         if word is None:
             written[first] += "".join(f"{cores[k]}{units[k].broken}" if k < (inside[-1] if inside else first) else cores[k] for k in range(first, (inside[-1] if inside else first) + 1))
         else:
